@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,15 @@ NO_DIALOGUE = "无"
 FILLER_LINES = ["(", ")", "输出：", "输出", "结果："]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, computed once.
+
+    A column that is used inside a lambda would otherwise be put in there by the
+    optimizer and computed anew for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     return F.regexp_replace(col, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.tables import split_table
-from corpusmill.functions.text import is_blank, slices, strip
+from corpusmill.functions.text import is_blank, let, slices, strip
 
 CHILD_SIZE, CHILD_OVERLAP = 300, 30
 PARENT_SIZE, PARENT_OVERLAP = 1500, 150
@@ -294,9 +294,12 @@ def build_chunks_text(
         ),
     )
     count = F.ceil(F.size("_slices") / per_window).cast("int")
-    windows = F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda w: F.array_join(F.slice(F.col("_slices"), w * per_window + 1, per_window), "\n\n"),
+    windows = let(
+        F.col("_slices"),
+        lambda pieces: F.transform(
+            F.sequence(F.lit(0), count - 1),
+            lambda w: F.array_join(F.slice(pieces, w * per_window + 1, per_window), "\n\n"),
+        ),
     )
     return _chunk_rows(filled, chunks), _parent_rows(filled, windows)
 

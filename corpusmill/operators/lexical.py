@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import tokenize
+from corpusmill.functions.text import let, tokenize
 from corpusmill.operators.access import CONTEXT, attach_grants, filter_visible, visible_columns
 from corpusmill.operators.scale import BROADCAST_ROWS, ranked, within
 
@@ -38,9 +38,12 @@ class LexicalIndex:
 
 def term_counts(tokens: Column) -> Column:
     """Distinct tokens with their frequency, inside the row."""
-    return F.transform(
-        F.array_distinct(tokens),
-        lambda t: F.struct(t.alias("term"), (F.size(tokens) - F.size(F.array_remove(tokens, t))).alias("tf")),
+    return let(
+        tokens,
+        lambda all_: F.transform(
+            F.array_distinct(all_),
+            lambda t: F.struct(t.alias("term"), (F.size(all_) - F.size(F.array_remove(all_, t))).alias("tf")),
+        ),
     )
 
 

@@ -7,13 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import dialogue_text, strip
+from corpusmill.functions.text import dialogue_text, let, strip
 from corpusmill.operators.access import CONTEXT, attach_grants, effective_clearance, visible_columns
 from corpusmill.operators.dense import dense_search
 from corpusmill.operators.fusion import KEY, merge_variants, rrf
 from corpusmill.operators.lexical import LexicalIndex, bm25_search
 from corpusmill.operators.models import embed_queries
-from corpusmill.operators.ranking import FUSION_TOP, RERANK_TOP, confidence_floor, dynamic_topk, overlap_logit, rerank
+from corpusmill.operators.ranking import FUSION_TOP, MIN_NORM, RERANK_TOP, confidence_floor, dynamic_topk, overlap_logit, rerank
 from corpusmill.operators.scale import BROADCAST_ROWS, at_most, ranked, row_bound, small_side, stage
 
 LIST_MAX = 15
@@ -77,9 +77,12 @@ def list_keyword(question: Column) -> Column:
 
 def _grams(text: Column) -> Column:
     """All pieces of one to three characters of a short text."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    pieces = [F.transform(places, lambda i, n=n: F.substring(text, i, F.lit(n))) for n in (1, 2, 3)]
-    return F.array_distinct(F.concat(*pieces))
+
+    def pieces(whole: Column, size: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(whole), F.lit(1)))
+        return F.transform(places, lambda i: F.substring(whole, i, F.lit(size)))
+
+    return let(text, lambda whole: F.array_distinct(F.concat(*[pieces(whole, size) for size in (1, 2, 3)])))
 
 
 def _newest_per_caller(docs: DataFrame, callers: DataFrame, acl: DataFrame, limit: int) -> DataFrame:
@@ -171,8 +174,9 @@ def substring_search(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFra
     done = docs.filter(F.col("status") == "completed").select(F.col("id").alias("doc_id"), "title", "content")
     needles = F.collect_list(F.struct("query_id", F.lower("question").alias("needle")))
     batch = queries.agg(needles.alias("batch")).scalar()
-    held = done.withColumn("_text", F.lower(F.coalesce("content", F.lit("")))).select(
-        "doc_id", F.explode(F.filter(batch, lambda q: F.contains(F.col("_text"), q["needle"]))).alias("q")
+    text = F.lower(F.coalesce("content", F.lit("")))
+    held = done.withColumn("_batch", batch).select(
+        "doc_id", F.explode(let(text, lambda t: F.filter("_batch", lambda q: F.contains(t, q["needle"])))).alias("q")
     )
     hits = ranked(held, ["q.query_id"], [F.col("doc_id")], k).select("q.query_id", "doc_id", F.lit(0.5).alias("score"))
     first = done.select("doc_id").orderBy("doc_id").limit(2 * k).agg(F.collect_list("doc_id").alias("ids")).scalar()
@@ -258,6 +262,7 @@ def hybrid_retrieve(
     requested: int = 5,
     scorer=overlap_logit,
     listing: bool = True,
+    floor: float = MIN_NORM,
 ) -> DataFrame:
     """Questions with their caller's context to ranked parent windows with titles."""
     if variants is None:
@@ -265,7 +270,7 @@ def hybrid_retrieve(
     merged = candidates(variants, queries, corpus)[2]
     head = merged.filter(F.col("rank") <= FUSION_TOP)
     hits = rerank(with_text(head, queries, corpus.chunks, _rows_per_query(queries, FUSION_TOP)), scorer)
-    cut = dynamic_topk(confidence_floor(hits), requested)
+    cut = dynamic_topk(confidence_floor(hits, floor), requested)
     # A few hits per query, read by several branches below: fixed once.
     cut = stage(cut.drop("question"), "hits")
     results = expand_parents(cut, corpus.parents)

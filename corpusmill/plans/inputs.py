@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.tables import grid_to_markdown
+from corpusmill.functions.text import let
 from corpusmill.operators.access import permission_context
 from corpusmill.operators.chunking import build_chunks_text
 from corpusmill.operators.lexical import LexicalIndex, corpus_size, document_frequency, index_rows, with_idf
@@ -26,6 +27,7 @@ from corpusmill.sources.tables import load
 ASOF = "2024-01-31 00:00:00"
 BASE = 1_704_067_200  # 2024-01-01 00:00:00 UTC
 GRAM = 3
+FLOOR = 0.15  # the default scorer seldom reaches the floor meant for a trained one
 
 _kept: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -234,8 +236,11 @@ class Inputs:
         )
         wanted = passages.agg(F.collect_set("gram")).scalar()
         docs = self.table("documents").withColumn("words", words(F.col("text")))
-        grams = F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size("words") - GRAM, F.lit(0))), lambda i: triple(F.col("words"), i)
+        grams = let(
+            F.col("words"),
+            lambda ws: F.transform(
+                F.sequence(F.lit(0), F.greatest(F.size(ws) - GRAM, F.lit(0))), lambda i: triple(ws, i)
+            ),
         )
         held = docs.select("doc_id", "text", F.explode(F.array_intersect(grams, wanted)).alias("gram"))
         return (
@@ -325,5 +330,5 @@ class Inputs:
 
     def cut(self) -> DataFrame:
         """Hits with the callers' rights after floor and dynamic cut."""
-        return self.keep("cut", lambda: dynamic_topk(confidence_floor(self.results("hybrid", False)), 5))
+        return self.keep("cut", lambda: dynamic_topk(confidence_floor(self.results("hybrid", False), FLOOR), 5))
 

@@ -201,7 +201,7 @@ def _retrieval(suffix: str, source: str) -> dict[str, str]:
         f"v_rerank_bm25{s}": _rerank(f"v_bm25{s}", f"v_qwords{s}"),
         f"v_floor{s}": f"""
             SELECT * FROM (SELECT *, max(rerank_norm) OVER (PARTITION BY query_id) AS best FROM v_rerank{s})
-            WHERE rerank_norm >= 0.5 OR (best < 0.5 AND rank = 1)""",
+            WHERE rerank_norm >= 0.15 OR (best < 0.15 AND rank = 1)""",
         f"v_cut{s}": f"""
             SELECT * EXCLUDE (top, gap, mean) FROM (
               SELECT *, least(5, CASE WHEN top >= 0.85 AND gap >= 0.15 THEN 3 WHEN mean >= 0.85 THEN 8 WHEN top <= 0.5 THEN 3 ELSE 5 END) AS k_used
