@@ -59,11 +59,11 @@ def histogram_quantile(buckets: Column, bounds: list[float], q: float) -> Column
 
 
 def _trailing(minutes: DataFrame, keys: list[str], width: int, totals: list[Column]) -> DataFrame:
-    """Rows reduced to (keys, minute) summed over the ``width`` minutes that end with ``at``."""
+    """Rows reduced to (keys, minute) summed over the ``width`` minutes that end with ``until``."""
     ends = F.transform(
         F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.timestamp_micros(F.unix_micros("minute") + (i + 1) * MINUTE_US)
     )
-    return minutes.withColumn("at", F.explode(ends)).groupBy(*keys, "at").agg(*totals)
+    return minutes.withColumn("until", F.explode(ends)).groupBy(*keys, "until").agg(*totals)
 
 
 def per_minute(events: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def latency_quantiles(
     summed = _trailing(flat, labels, width, [F.sum(f"b{i}").alias(f"b{i}") for i in range(n)])
     buckets = F.array(*[F.col(f"b{i}") for i in range(n)])
     return summed.select(
-        *labels, "at", F.col(f"b{n - 1}").alias("total"),
+        *labels, "until", F.col(f"b{n - 1}").alias("total"),
         *[F.round(histogram_quantile(buckets, bounds, q), 6).alias(f"p{round(q * 100)}") for q in quantiles],
     )
 
@@ -89,7 +89,7 @@ def event_rate(events: DataFrame, labels: list[str], width: int = 1) -> DataFram
     """Events per second over the trailing ``width`` minutes."""
     counted = per_minute(events).groupBy(*labels, "minute").agg(F.count("*").alias("n"))
     summed = _trailing(counted, labels, width, [F.sum("n").alias("n")])
-    return summed.select(*labels, "at", F.round(F.col("n") / (60.0 * width), 6).alias("rate"))
+    return summed.select(*labels, "until", F.round(F.col("n") / (60.0 * width), 6).alias("rate"))
 
 
 def hit_ratio(lookups: DataFrame, labels: list[str], width: int = 5) -> DataFrame:
@@ -107,13 +107,13 @@ def error_ratio(events: DataFrame, width: int = 1) -> DataFrame:
         F.count_if(F.col("status").startswith("5")).alias("errors"), F.count("*").alias("n")
     )
     summed = _trailing(counted, [], width, [F.sum("errors").alias("errors"), F.sum("n").alias("n")])
-    return summed.select("at", "errors", "n", F.round(F.try_divide("errors", "n"), 6).alias("ratio"))
+    return summed.select("until", "errors", "n", F.round(F.try_divide("errors", "n"), 6).alias("ratio"))
 
 
 def slowest(events: DataFrame, bounds: list[float] = HTTP_BOUNDS, n: int = 10, width: int = 5) -> DataFrame:
     """The ``n`` endpoints with the highest P95 of the trailing minutes, at each minute."""
     p95 = latency_quantiles(events, bounds, ["endpoint"], width, (0.95,)).filter(F.col("p95").isNotNull())
-    return ranked(p95, ["at"], [F.desc("p95"), F.col("endpoint")], n).select("at", "rank", "endpoint", "p95")
+    return ranked(p95, ["until"], [F.desc("p95"), F.col("endpoint")], n).select("until", "rank", "endpoint", "p95")
 
 
 def in_flight(starts: DataFrame, ends: DataFrame) -> DataFrame:

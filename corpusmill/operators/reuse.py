@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import normalize_question
 from corpusmill.operators.dense import nearest
-from corpusmill.operators.scale import latest_before, running, top_n
+from corpusmill.operators.scale import HOUR_US, latest_before, running, stage, top_n
 
 ANSWER_TTL, CONTEXT_TTL = 86_400, 21_600
 SIMILAR = 0.92
@@ -130,9 +132,10 @@ def hot_firings(log: DataFrame, n: int = HOT_ASKS, window_seconds: int = DAY_SEC
     min(counter, other asks in the window) + 1. So each time block of a question
     is a map from its ``n`` possible starting counters to end counters; the maps
     are composed over the blocks, and each block then knows where it starts.
-    No task sees a whole question.
+    Blocks are read as sorted streams, so no task holds a question, or even a
+    block, in memory.
     """
-    block = F.floor(F.unix_micros("ts") / F.lit(TEN_MINUTES_US)).cast("long")
+    block = F.floor(F.unix_micros("ts") / F.lit(HOUR_US)).cast("long")
     # Asks of one instant come in id order, so an ask must not count those after it.
     same = Window.partitionBy("question", "ts").orderBy(F.desc(id_column))
     counted = trailing_asks(log, window_seconds)
@@ -140,38 +143,44 @@ def hot_firings(log: DataFrame, n: int = HOT_ASKS, window_seconds: int = DAY_SEC
         "question", "ts", id_column, block.alias("block"),
         F.least(F.col("asks") - F.row_number().over(same), F.lit(n - 1)).cast("int").alias("others"),
     )
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", id_column])
-        state = np.arange(n)
-        fired = np.zeros((len(pdf), n), dtype=bool)
-        for row, others in enumerate(pdf["others"].to_numpy()):
-            state = np.minimum(state, others) + 1
-            fired[row] = state == n
-            state[fired[row]] = 0
-        pdf["fires"] = list(fired)
-        pdf["ends"] = [state.astype(np.int32)] * len(pdf)
-        return pdf[["question", "block", "ts", id_column, "fires", "ends"]]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, np.arange(n)
+        for pdf in batches:
+            fires, ends = [], []
+            for question, number, others in zip(pdf["question"], pdf["block"], pdf["others"]):
+                if (question, number) != current:
+                    current, state = (question, number), np.arange(n)
+                state = np.minimum(state, others) + 1
+                fires.append(state == n)
+                state = np.where(state == n, 0, state)
+                ends.append(state.astype(np.int32))
+            yield pdf.drop(columns="others").assign(fires=fires, ends=ends)
 
     kind = log.schema[id_column].dataType.simpleString()
-    walked = asks.groupBy("question", "block").applyInPandas(
-        walk, f"question string, block long, ts timestamp, {id_column} {kind}, fires array<boolean>, ends array<int>"
+    keys = ["question", "block"]
+    walked = asks.repartition(*keys).sortWithinPartitions(*keys, "ts", id_column).mapInPandas(
+        walk, f"question string, ts timestamp, {id_column} {kind}, block long, fires array<boolean>, ends array<int>"
     )
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        state, entry = 0, []
-        for ends in pdf["ends"]:
-            entry.append(state)
-            state = int(ends[state])
-        return pd.DataFrame({"question": pdf["question"], "block": pdf["block"], "start": entry})
-
-    maps = walked.groupBy("question", "block").agg(F.first("ends").alias("ends"))
-    entries = maps.groupBy("question").applyInPandas(compose, "question string, block long, start int")
-    return (
-        walked.join(entries, ["question", "block"])
-        .filter(F.get("fires", F.col("start")))
-        .select("question", "ts", id_column)
+    # Read twice below, and Python should walk it once.
+    walked = stage(walked, "hot-walk")
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, counter = None, 0
+        for pdf in batches:
+            starts = []
+            for question, ends in zip(pdf["question"], pdf["ends"]):
+                if question != current:
+                    current, counter = question, 0
+                starts.append(counter)
+                counter = int(ends[counter])
+            yield pdf.drop(columns="ends").assign(start=starts)
+
+    maps = walked.groupBy(*keys).agg(F.max_by("ends", F.struct("ts", id_column)).alias("ends"))
+    entries = maps.repartition("question").sortWithinPartitions(*keys).mapInPandas(
+        compose, "question string, block long, start int"
     )
+    return walked.join(entries, keys).filter(F.get("fires", F.col("start"))).select("question", "ts", id_column)
 
 
 def warmup_candidates(log: DataFrame, min_asks: int = 3, n: int = 50) -> DataFrame:

@@ -1,13 +1,16 @@
 """All registered queries, in the order of their areas."""
 
-import importlib
-
+from corpusmill.plans import (  # noqa: F401
+    access,
+    evaluation,
+    maintenance,
+    metrics,
+    reports,
+    retrieval,
+    reuse,
+    sources,
+    text,
+)
 from corpusmill.plans.registry import ORACLES, QUERIES
 
-for _area in ["text", "access", "retrieval", "reports", "maintenance", "reuse", "evaluation", "metrics", "sources"]:
-    try:
-        importlib.import_module(f"corpusmill.plans.{_area}")
-    except ModuleNotFoundError as e:
-        print("skip", _area, e)
-
 __all__ = ["ORACLES", "QUERIES"]

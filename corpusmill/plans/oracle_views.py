@@ -83,7 +83,7 @@ VIEWS = {
                date_trunc('second', ts) + to_seconds(CAST(floor(value) AS BIGINT) * 60) AS end_second
         FROM events""",
     "v_minute": """
-        SELECT m.*, date_trunc('minute', ts) + to_minutes(CAST(k + 1 AS INT)) AS at, k FROM v_metric m, range(0, 5) r(k)""",
+        SELECT m.*, date_trunc('minute', ts) + to_minutes(CAST(k + 1 AS INT)) AS until, k FROM v_metric m, range(0, 5) r(k)""",
     "v_log": "SELECT event_id, ts, user_id, concat(event_type, ' ', user_id % 5, '？') AS question FROM events",
     "v_question": """
         SELECT b.item_id AS query_id, b.text AS question, c.is_admin, c.user_id, c.caller_tenant, c.clearance
