@@ -73,9 +73,11 @@ def with_idf(frequency: DataFrame, size: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def build_lexical_index(chunks: DataFrame, keep_case: bool = False) -> LexicalIndex:
-    rows = index_rows(chunks, keep_case)
-    terms, stats = with_idf(document_frequency(rows), corpus_size(rows))
-    return LexicalIndex(rows, terms, stats)
+    # Frequencies need the words only, not the counted rows.
+    words = chunks.select(tokenize(F.col("text"), keep_case).alias("words"))
+    frequency = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    terms, stats = with_idf(frequency, corpus_size(words.select(F.size("words").alias("n_tokens"))))
+    return LexicalIndex(index_rows(chunks, keep_case), terms, stats)
 
 
 def bm25_search(

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import let
 from corpusmill.operators.scale import ranked, running
 
 # Upper bounds of the histogram buckets in seconds.
@@ -44,18 +45,21 @@ def histogram_quantile(buckets: Column, bounds: list[float], q: float) -> Column
     A quantile above the last finite bound is that bound; an empty histogram has none.
     """
     uppers = F.array(*[F.lit(float(b)) for b in bounds])
-    total = F.element_at(buckets, -1)
-    target = total * F.lit(q)
-    at = F.size(F.filter(buckets, lambda n: n < target))  # 0-based place of the bucket
-    below = F.when(at == 0, F.lit(0)).otherwise(F.get(buckets, at - 1))
-    lower = F.when(at == 0, F.lit(0.0)).otherwise(F.get(uppers, at - 1))
-    upper = F.get(uppers, at)
-    share = F.coalesce(F.try_divide(target - below, F.get(buckets, at) - below), F.lit(1.0))
-    return (
-        F.when(total == 0, F.lit(None).cast("double"))
-        .when(at >= len(bounds), F.lit(float(bounds[-1])))
-        .otherwise(lower + (upper - lower) * share)
-    )
+
+    def between(counts: Column, target: Column, place: Column) -> Column:
+        below = F.when(place == 0, F.lit(0)).otherwise(F.get(counts, place - 1))
+        lower = F.when(place == 0, F.lit(0.0)).otherwise(F.get(uppers, place - 1))
+        share = F.coalesce(F.try_divide(target - below, F.get(counts, place) - below), F.lit(1.0))
+        return F.when(place >= len(bounds), F.lit(float(bounds[-1]))).otherwise(
+            lower + (F.get(uppers, place) - lower) * share
+        )
+
+    def quantile(counts: Column) -> Column:
+        target = F.element_at(counts, -1) * F.lit(q)
+        found = let(target, lambda t: let(F.size(F.filter(counts, lambda n: n < t)), lambda place: between(counts, t, place)))
+        return F.when(F.element_at(counts, -1) > 0, found)
+
+    return let(buckets, quantile)
 
 
 def _trailing(minutes: DataFrame, keys: list[str], width: int, totals: list[Column]) -> DataFrame:

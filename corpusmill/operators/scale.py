@@ -132,6 +132,12 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], n: int | None =
     return out if n is None else out.filter(F.col(name) <= n)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a table out if it came as fewer splits than there are cores; a large one has more and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a fresh local one only if unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

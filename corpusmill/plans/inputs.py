@@ -21,7 +21,7 @@ from corpusmill.operators.maintenance import file_hash
 from corpusmill.operators.models import embed
 from corpusmill.operators.ranking import confidence_floor, dynamic_topk
 from corpusmill.operators.retrieval import Corpus, retrieve
-from corpusmill.operators.scale import small_side, stage
+from corpusmill.operators.scale import small_side, spread, stage
 from corpusmill.sources.tables import load
 
 ASOF = "2024-01-31 00:00:00"
@@ -81,9 +81,13 @@ class Inputs:
         )
         return roots.unionByName(leaves)
 
-    def docs(self) -> DataFrame:
+    def documents(self) -> DataFrame:
+        """The documents on all cores, for work that reads every character."""
+        return spread(self.table("documents"))
+
+    def docs(self, documents: DataFrame | None = None) -> DataFrame:
         key = F.col("doc_id")
-        return self.table("documents").select(
+        return (documents or self.table("documents")).select(
             key.alias("id"),
             F.concat(F.lit("doc "), "lang", F.lit(" "), key.cast("string")).alias("title"),
             F.col("text").alias("content"),
@@ -235,7 +239,7 @@ class Inputs:
             .select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), triple(F.col("words"), F.lit(1)).alias("gram"))
         )
         wanted = passages.agg(F.collect_set("gram")).scalar()
-        docs = self.table("documents").withColumn("words", words(F.col("text")))
+        docs = self.documents().withColumn("words", words(F.col("text")))
         grams = let(
             F.col("words"),
             lambda ws: F.transform(
@@ -273,17 +277,17 @@ class Inputs:
                 (1 + F.floor(i / 20)).cast("int").alias("page"),
             ),
         )
-        return self.table("documents").select("doc_id", lines.alias("elements"))
+        return self.documents().select("doc_id", lines.alias("elements"))
 
     def text_docs(self) -> DataFrame:
-        return self.docs().select(
+        return self.docs(self.documents()).select(
             F.col("id").alias("doc_id"), F.col("content").alias("text"), "tenant_id", "doc_level", "min_level",
             F.col("upload_by").alias("owner_id"),
         )
 
     def grids(self) -> DataFrame:
         """Documents as grids: lines are rows, commas separate cells."""
-        return self.table("documents").select(
+        return self.documents().select(
             "doc_id", F.transform(F.split("text", "\n"), lambda line: F.split(line, ",")).alias("grid")
         )
 

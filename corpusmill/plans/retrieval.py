@@ -257,7 +257,7 @@ def _(i: Inputs):
       FROM v_document d, v_question b WHERE status = 'completed') WHERE place <= 5""",
 )
 def _(i: Inputs):
-    hits = retrieval.substring_search(i.questions(), i.docs())
+    hits = retrieval.substring_search(i.questions(), i.docs(i.documents()))
     return hits.select("query_id", "doc_id", "title", F.md5("content").alias("digest"), "score")
 
 

@@ -126,7 +126,7 @@ def _(i: Inputs):
 @query("T9_recursive_split")
 def _(i: Inputs):
     pieces = F.get(chunking.recursive_split(F.array("text"), 300, 30), F.lit(0))
-    rows = i.table("documents").select("doc_id", F.posexplode(pieces).alias("piece", "text"))
+    rows = i.documents().select("doc_id", F.posexplode(pieces).alias("piece", "text"))
     return rows.select("doc_id", "piece", F.length("text").alias("chars"), md5(F.col("text")).alias("digest"))
 
 
@@ -228,7 +228,7 @@ def _(i: Inputs):
 )
 def _(i: Inputs):
     tokens, cased = text.tokenize(F.col("text")), text.tokenize(F.col("text"), keep_case=True)
-    return i.table("documents").select(
+    return i.documents().select(
         "doc_id", F.size(tokens).cast("long").alias("tokens"), md5(F.array_join(tokens, " ")).alias("digest"),
         md5(F.array_join(cased, " ")).alias("cased"),
     )
