@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators.scale import small_side
+from corpusmill.operators.scale import at_most, small_side
 
 CONTEXT = ["is_admin", "user_id", "caller_tenant", "clearance"]
 
@@ -65,14 +65,18 @@ def open_columns() -> Column:
     )
 
 
-def attach_grants(chunks: DataFrame, acl: DataFrame, callers: DataFrame, by: list[str] | None = None) -> DataFrame:
+def attach_grants(
+    chunks: DataFrame, acl: DataFrame, callers: DataFrame, by: list[str] | None = None, callers_bound: int | None = None
+) -> DataFrame:
     """Adds ``granted_to``: the callers of one query batch who hold a grant on the chunk's document.
 
     ``callers`` is a bounded batch, so each array is no longer than the batch.
     """
     by = by or []
+    distinct = callers.select("user_id", *by).distinct()
+    known = small_side(distinct) if callers_bound is None else at_most(distinct, callers_bound)
     held = (
-        acl.join(small_side(callers.select("user_id", *by).distinct()), "user_id")
+        acl.join(known, "user_id")
         .groupBy(F.col("document_id").alias("doc_id"), *by)
         .agg(F.collect_set("user_id").alias("granted_to"))
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import let, tokenize
 from corpusmill.operators.access import CONTEXT, attach_grants, filter_visible, visible_columns
-from corpusmill.operators.scale import BROADCAST_ROWS, ranked, within
+from corpusmill.operators.scale import BROADCAST_ROWS, ranked, row_bound, within
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 CHUNK_KEY = ["doc_id", "chunk_index"]
@@ -106,10 +106,11 @@ def bm25_search(
     carried = [c for c in CARRIED if c in index.chunks.columns]
     rows = index.chunks
     if bounded:
-        if not within(queries, PAIRS_TO_ROWS):
+        n = row_bound(queries)
+        if n is None or n > PAIRS_TO_ROWS:
             rows = rows.repartition(*CHUNK_KEY)
         if acl is not None:
-            rows = attach_grants(rows, acl, queries)
+            rows = attach_grants(rows, acl, queries, callers_bound=n)
     avg = index.stats.select("avg_tokens").scalar()
     entries = rows.select("*", F.explode("terms").alias("entry")).select(
         *CHUNK_KEY,
@@ -128,9 +129,11 @@ def bm25_search(
         salted = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
         spread = entries.withColumn("salt", F.pmod(F.xxhash64(*CHUNK_KEY), F.lit(TERM_SALTS)).cast("int"))
         matched = spread.join(salted, ["term", "salt"])
-    first = [F.first(c).alias(c) for c in [*carried, *([] if bounded else context)]]
-    scored = matched.groupBy(*CHUNK_KEY, "query_id").agg(
-        F.sum(F.col("weight") * F.col("saturation")).alias("score"), *first
+    # Columns that depend on the chunk or the query alone ride along as keys: text
+    # cannot sit in a hash aggregate's buffer. Visibility was settled above if bounded.
+    along = (["parent_id"] if "parent_id" in carried else []) if bounded else [*carried, *context]
+    scored = matched.groupBy(*CHUNK_KEY, "query_id", *along).agg(
+        F.sum(F.col("weight") * F.col("saturation")).alias("score")
     )
     if acl is not None and not bounded:
         scored = filter_visible(scored, acl)

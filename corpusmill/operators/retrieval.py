@@ -243,13 +243,13 @@ def retrieve(
     ``hybrid`` fuses and reranks, ``bm25`` reranks the lexical list, ``no_rerank``
     returns the head of the fused list.
     """
-    variants = queries.select("query_id", F.lit(0).alias("variant"), F.col("question").alias("text"))
+    if mode not in {"hybrid", "bm25", "no_rerank"}:
+        raise ValueError(f"unknown mode {mode}")
     if mode == "bm25":
         merged = bm25_search(queries, corpus.lexical, corpus.acl, k)
-    elif mode in {"hybrid", "no_rerank"}:
-        merged = candidates(variants, queries, corpus, k)[2]
     else:
-        raise ValueError(f"unknown mode {mode}")
+        variants = queries.select("query_id", F.lit(0).alias("variant"), F.col("question").alias("text"))
+        merged = candidates(variants, queries, corpus, k)[2]
     top = RERANK_TOP if mode == "no_rerank" else FUSION_TOP
     hits = with_text(merged.filter(F.col("rank") <= top), queries, corpus.chunks, _rows_per_query(queries, top))
     return hits if mode == "no_rerank" else rerank(hits, scorer)

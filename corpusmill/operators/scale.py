@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -138,13 +139,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+@functools.cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"corpusmill-{application}-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a fresh local one only if unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder or _own_folder(spark.sparkContext.applicationId)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
