@@ -125,11 +125,10 @@ def ablate_context(
     rows = asked.join(shown, ["query_id", "k", "parent"], "left")
     if semantic:
         fact_vectors = embed(facts.select(F.explode("facts").alias("fact")).distinct(), "fact", model)
-        contexts = embed(rows.select(F.coalesce("context", F.lit("")).alias("context")).distinct(), "context", model)
-        single = rows.withColumn("context", F.coalesce("context", F.lit(""))).withColumn("fact", F.explode("facts"))
+        contexts = embed(rows.withColumn("context", F.coalesce("context", F.lit(""))), "context", model)
         near = (
-            single.join(fact_vectors.withColumnRenamed("embedding", "fact_vector"), "fact")
-            .join(contexts, "context")
+            contexts.select("query_id", "k", "parent", "embedding", F.explode("facts").alias("fact"))
+            .join(fact_vectors.withColumnRenamed("embedding", "fact_vector"), "fact")
             .withColumn("near", (cosine(F.col("fact_vector"), F.col("embedding")) >= SEMANTIC_COVER).cast("int"))
         )
         covered = near.groupBy("query_id", "k", "parent").agg(F.sum("near").alias("covered"))

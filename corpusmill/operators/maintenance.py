@@ -37,12 +37,22 @@ def dedup_exact(new: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def plan_load(new: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Adds ``action``: skip for a known hash, replace for a known title, else insert."""
+    """Adds ``action``: skip for a known hash, replace for a known title, else insert.
+
+    A hash is known if the corpus before the load or an earlier file (lower id)
+    of the load has it. Titles are file names, so a load holds each once.
+    """
     hashes = corpus.select("file_hash").distinct().withColumn("_hash", F.lit(True))
     titles = corpus.select("title").distinct().withColumn("_title", F.lit(True))
-    action = F.when(F.col("_hash"), "skip").when(F.col("_title"), "replace").otherwise("insert")
+    first = new.groupBy("file_hash").agg(F.min("id").alias("_first"))
+    known = F.coalesce("_hash", F.lit(False)) | (F.col("id") > F.col("_first"))
+    action = F.when(known, "skip").when(F.col("_title"), "replace").otherwise("insert")
     return (
-        new.join(hashes, "file_hash", "left").join(titles, "title", "left").withColumn("action", action).drop("_hash", "_title")
+        new.join(hashes, "file_hash", "left")
+        .join(first, "file_hash")
+        .join(titles, "title", "left")
+        .withColumn("action", action)
+        .drop("_hash", "_title", "_first")
     )
 
 

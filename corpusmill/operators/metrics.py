@@ -89,6 +89,15 @@ def latency_quantiles(
     )
 
 
+def latency_percentiles(
+    events: DataFrame, labels: list[str], quantiles: tuple[float, ...] = (0.5, 0.95, 0.99), accuracy: int = 10_000
+) -> DataFrame:
+    """Percentiles from a mergeable summary of the values instead of fixed buckets; its size is bounded."""
+    found = F.percentile_approx("latency_s", list(quantiles), accuracy)
+    rows = events.groupBy(*labels).agg(F.count("latency_s").alias("n"), found.alias("p"))
+    return rows.select(*labels, "n", *[F.get("p", F.lit(i)).alias(f"p{round(q * 100)}") for i, q in enumerate(quantiles)])
+
+
 def event_rate(events: DataFrame, labels: list[str], width: int = 1) -> DataFrame:
     """Events per second over the trailing ``width`` minutes."""
     counted = per_minute(events).groupBy(*labels, "minute").agg(F.count("*").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from corpusmill.operators.ranking import FUSION_TOP, MIN_NORM, RERANK_TOP, confi
 from corpusmill.operators.scale import BROADCAST_ROWS, at_most, ranked, row_bound, small_side, stage
 
 LIST_MAX = 15
+NEEDLES = 2000
 
 # Wording of questions that ask for a list of documents.
 LIST_INTENT = r"有哪些|有什么|列出|列举|清单|全部|所有|多少(个|份|类|种|篇)|都有什么|包含哪些"
@@ -164,26 +166,31 @@ def with_titles(results: DataFrame, docs: DataFrame, rows: int | None = None) ->
     return titles.join(_small(results, rows), "doc_id", "right")
 
 
-def substring_search(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
+def substring_search(queries: DataFrame, docs: DataFrame, k: int = 5, batch_rows: int = NEEDLES) -> DataFrame:
     """Fallback without an index: documents that hold the question score 0.5, others 0.3.
 
     Only documents that hold a question are emitted for it. Others fill up its
     list in id order, and the first 2k documents are enough for that: a question
-    with fewer than k matches has fewer than k among them.
+    with fewer than k matches has fewer than k among them. Questions go to the
+    documents in batches of bounded size.
     """
     done = docs.filter(F.col("status") == "completed").select(F.col("id").alias("doc_id"), "title", "content")
-    needles = F.collect_list(F.struct("query_id", F.lower("question").alias("needle")))
-    batch = queries.agg(needles.alias("batch")).scalar()
+    n = row_bound(queries)
+    parts = 1 if n is not None and n <= batch_rows else math.ceil(queries.count() / batch_rows)
     text = F.lower(F.coalesce("content", F.lit("")))
-    held = done.withColumn("_batch", batch).select(
-        "doc_id", F.explode(let(text, lambda t: F.filter("_batch", lambda q: F.contains(t, q["needle"])))).alias("q")
-    )
-    hits = ranked(held, ["q.query_id"], [F.col("doc_id")], k).select("q.query_id", "doc_id", F.lit(0.5).alias("score"))
+    needles = F.collect_list(F.struct("query_id", F.lower("question").alias("needle")))
+    hits = None
+    for part in range(parts):
+        some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part) if parts > 1 else queries
+        held = done.withColumn("_batch", some.agg(needles.alias("batch")).scalar()).select(
+            "doc_id", F.explode(let(text, lambda t: F.filter("_batch", lambda q: F.contains(t, q["needle"])))).alias("q")
+        )
+        found = ranked(held, ["q.query_id"], [F.col("doc_id")], k).select("q.query_id", "doc_id", F.lit(0.5).alias("score"))
+        hits = found if hits is None else hits.unionByName(found)
     first = done.select("doc_id").orderBy("doc_id").limit(2 * k).agg(F.collect_list("doc_id").alias("ids")).scalar()
     fill = queries.select("query_id", F.explode(first).alias("doc_id")).withColumn("score", F.lit(0.3))
     both = hits.unionByName(fill).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     top = ranked(both, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
-    n = row_bound(queries)
     texts = done.select("doc_id", "title", F.substring(F.coalesce("content", F.lit("")), 1, 500).alias("content"))
     return texts.join(at_most(top, None if n is None else n * k), "doc_id")
 

@@ -21,12 +21,12 @@ from corpusmill.operators.maintenance import file_hash
 from corpusmill.operators.models import embed
 from corpusmill.operators.ranking import confidence_floor, dynamic_topk
 from corpusmill.operators.retrieval import Corpus, retrieve
-from corpusmill.operators.scale import small_side, spread, stage
+from corpusmill.operators.scale import at_most, row_bound, small_side, spread, stage
 from corpusmill.sources.tables import load
 
 ASOF = "2024-01-31 00:00:00"
 BASE = 1_704_067_200  # 2024-01-01 00:00:00 UTC
-GRAM = 3
+GRAM, GRAMS = 3, 10_000
 FLOOR = 0.15  # the default scorer seldom reaches the floor meant for a trained one
 
 _kept: dict[tuple[str, str, str], DataFrame] = {}
@@ -238,7 +238,6 @@ class Inputs:
             .filter(F.size("words") >= GRAM + 2)
             .select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), triple(F.col("words"), F.lit(1)).alias("gram"))
         )
-        wanted = passages.agg(F.collect_set("gram")).scalar()
         docs = self.documents().withColumn("words", words(F.col("text")))
         grams = let(
             F.col("words"),
@@ -246,9 +245,16 @@ class Inputs:
                 F.sequence(F.lit(0), F.greatest(F.size(ws) - GRAM, F.lit(0))), lambda i: triple(ws, i)
             ),
         )
-        held = docs.select("doc_id", "text", F.explode(F.array_intersect(grams, wanted)).alias("gram"))
+        n = row_bound(passages, GRAMS)
+        if n is not None:
+            wanted = passages.agg(F.collect_set("gram")).scalar()
+            held = docs.select("doc_id", "text", F.explode(F.array_intersect(grams, wanted)).alias("gram"))
+        else:
+            all_grams = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram"))
+            some = all_grams.join(passages.select("gram").distinct(), "gram", "left_semi")
+            held = some.join(self.table("documents").select("doc_id", "text"), "doc_id")
         return (
-            held.join(small_side(passages), "gram")
+            held.join(at_most(passages, n), "gram")
             .filter(F.contains("text", F.col("passage")))
             .select("query_id", "doc_id")
             .distinct()

@@ -49,8 +49,8 @@ def _(i: Inputs):
 
 @query(
     "D2_plan_load",
-    """SELECT id, title, CASE WHEN file_hash IN (SELECT file_hash FROM corpus) THEN 'skip' WHEN title IN (SELECT title FROM corpus) THEN 'replace' ELSE 'insert' END AS action
-    FROM (SELECT id, file_hash, CASE WHEN id % 4 = 0 THEN coalesce((SELECT min(title) FROM corpus), '') ELSE title END AS title FROM arrivals)""",
+    """SELECT id, title, CASE WHEN file_hash IN (SELECT file_hash FROM corpus) OR id > (SELECT min(id) FROM arrivals f WHERE f.file_hash = n.file_hash) THEN 'skip' WHEN title IN (SELECT title FROM corpus) THEN 'replace' ELSE 'insert' END AS action
+    FROM (SELECT id, file_hash, CASE WHEN id % 4 = 0 THEN coalesce((SELECT min(title) FROM corpus), '') ELSE title END AS title FROM arrivals) n""",
     SPLIT,
 )
 def _(i: Inputs):

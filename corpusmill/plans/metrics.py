@@ -51,6 +51,13 @@ def _(i: Inputs):
     return metrics.latency_quantiles(i.metrics(), metrics.HTTP_BOUNDS, ["endpoint"])
 
 
+@query(
+    "M2_percentiles_approx",
+)
+def _(i: Inputs):
+    return metrics.latency_percentiles(i.metrics(), ["endpoint"])
+
+
 @query(
     "M3_event_rate",
     "SELECT method, endpoint, until, round(count(*) / 60e0, 6) AS rate FROM v_minute WHERE k = 0 GROUP BY ALL",

@@ -11,7 +11,7 @@ from corpusmill.operators.chunking import build_chunks_text
 from corpusmill.operators.lexical import index_rows
 from corpusmill.operators.maintenance import dedup_exact, file_hash
 from corpusmill.operators.models import BatchModel, embed
-from corpusmill.operators.scale import stage
+from corpusmill.operators.scale import small_side, stage
 
 STAGED = "id long, title string, text string, tenant_id int, doc_level string, min_level int, owner_id long"
 
@@ -37,6 +37,9 @@ def ingest_batch(batch: DataFrame, batch_id: int, out_dir: str, model: BatchMode
             .filter((F.col("batch") != batch_id) & (F.col("status") == "completed"))
             .select("id", "title", "file_hash")
         )
+        # Only the hashes that arrive can repeat, so the corpus is filtered where it is read.
+        arriving = small_side(hashed.select("file_hash").distinct())
+        stored = stored.join(arriving, "file_hash", "left_semi")
     usable = hashed.filter(~is_blank(F.coalesce("text", F.lit(""))))
     accepted, rejected = dedup_exact(usable, stored)
     docs = accepted.withColumnRenamed("id", "doc_id")

@@ -149,7 +149,7 @@ def test_recursive_split_properties():
             following = numbers[-1] + 1
         assert following == len(words)
         assert "".join("".join(chunking.split_text(body, 7, 0)).split()) == "".join(words)
-    assert chunking.split_text("aaa bbb ccc", 7, 4) == ["aaa bbb", "bbb ccc"]
+    assert chunking.split_text("aaa bbb ccc", 8, 4) == ["aaa bbb", "bbb ccc"]
     assert chunking.split_text("x" * 10, 4, 1) == ["xxxx", "xxxx", "xxxx"]
     assert chunking.split_text("", 4, 1) == []
 
