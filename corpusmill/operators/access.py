@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators.scale import at_most, small_side
+from corpusmill.operators.scale import at_most, ranked, small_side, stage
 
 CONTEXT = ["is_admin", "user_id", "caller_tenant", "clearance"]
 
@@ -123,6 +123,32 @@ def visible_docs(docs: DataFrame, users: DataFrame, acl: DataFrame, user_id: int
     return _visible_to(docs, users, acl, user_id, "id", "upload_by")
 
 
+def first_visible(
+    rows: DataFrame, callers: DataFrame, acl: DataFrame, key: list[str], order: list[Column], n: int
+) -> DataFrame:
+    """The first ``n`` visible rows of each caller: (user_id, rank, key).
+
+    Taken from the first of each (tenant, level) class, of each owner, of each
+    grantee and overall, so no caller meets every row.
+    """
+    callers = small_side(callers)
+    plain = callers.filter(~F.col("is_admin"))
+    public = rows.filter(F.col("doc_level") == "public").withColumn("min_level", F.coalesce("min_level", F.lit(1)))
+    classes = ranked(public, ["tenant_id", "min_level"], order, n)
+    shared = classes.join(
+        plain, (F.col("tenant_id") == F.col("caller_tenant")) & (F.col("min_level") <= effective_clearance(F.col("clearance")))
+    )
+    owned = ranked(rows.join(plain, F.col("owner_id") == F.col("user_id")), ["user_id"], order, n)
+    grants = acl.select("user_id", F.col("document_id").alias("doc_id")).distinct().join(plain.select("user_id"), "user_id")
+    granted = ranked(rows.select("doc_id", *[c for c in key if c != "doc_id"]).join(grants, "doc_id"), ["user_id"], order, n)
+    first = rows.select(*key).orderBy(*order).limit(n).agg(F.collect_list(F.struct(*key)).alias("keys")).scalar()
+    admins = callers.filter("is_admin").select("user_id", F.explode(first).alias("k")).select("user_id", "k.*")
+    united = admins
+    for part in [shared, owned, granted]:
+        united = united.unionByName(part.select("user_id", *key))
+    return ranked(united.distinct(), ["user_id"], order, n)
+
+
 def visible_counts(chunks: DataFrame, users: DataFrame, acl: DataFrame) -> DataFrame:
     """Number of chunks each user may see, without forming (user, chunk) pairs.
 
@@ -132,6 +158,8 @@ def visible_counts(chunks: DataFrame, users: DataFrame, acl: DataFrame) -> DataF
     """
     context = permission_context(users)
     docs = chunks.groupBy("doc_id", "owner_id", "tenant_id", "doc_level", "min_level").agg(F.count("*").alias("n"))
+    # One row per document, read four times below; the chunks are read once.
+    docs = stage(docs, "chunks-per-document")
     classes = (
         docs.filter(F.col("doc_level") == "public")
         .groupBy("tenant_id", F.coalesce("min_level", F.lit(1)).alias("min_level"))

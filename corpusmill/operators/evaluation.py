@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import json_ids, normalize_cjk, split_facts, strip
 from corpusmill.functions.vectors import cosine
 from corpusmill.operators.models import BatchModel, embed
-from corpusmill.operators.scale import ranked
+from corpusmill.operators.scale import ranked, small_side
 
 SEMANTIC_COVER = 0.82
 GRID_K = (3, 5, 8)
@@ -79,7 +79,8 @@ def compare_modes(results: dict[str, DataFrame], golden: DataFrame, k: int = 5)
 def _grid(results: DataFrame, parents: DataFrame) -> DataFrame:
     """Hits copied to each (k, parent on/off) they belong to, with the text that setting shows."""
     windows = parents.select("parent_id", F.col("text").alias("window"))
-    hits = results.join(windows, "parent_id", "left")
+    # A few hits per question go to the parents, never the other way.
+    hits = windows.join(small_side(results), "parent_id", "right")
     settings = [
         F.struct(F.lit(k).alias("k"), F.lit(on).alias("parent")) for k in GRID_K for on in ("on", "off")
     ]

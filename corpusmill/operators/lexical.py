@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import let, tokenize
-from corpusmill.operators.access import CONTEXT, attach_grants, filter_visible, visible_columns
+from corpusmill.operators.access import CONTEXT, attach_grants, filter_visible, first_visible, visible_columns
 from corpusmill.operators.scale import BROADCAST_ROWS, ranked, row_bound, within
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -87,12 +87,14 @@ def bm25_search(
     k: int = 20,
     keep_case: bool = False,
     max_broadcast: int = BROADCAST_ROWS,
+    pad_zero: bool = False,
 ) -> DataFrame:
     """Best ``k`` chunks per query: (query_id, rank, score, chunk key, parent_id).
 
     ``queries`` has query_id, question and, with ``acl``, the caller's context.
     Corpus statistics are global; visibility is applied before the cut. Chunks
-    that share no term with the query are not returned.
+    that share no term with the query are not returned, unless ``pad_zero`` fills
+    short lists with them in chunk order, at score 0.
     """
     context = CONTEXT if acl is not None else []
     words = queries.select("query_id", *context, F.explode(tokenize(F.col("question"), keep_case)).alias("term"))
@@ -138,9 +140,31 @@ def bm25_search(
     if acl is not None and not bounded:
         scored = filter_visible(scored, acl)
     top = ranked(scored, ["query_id"], by_score(), k)
+    if pad_zero:
+        top = _padded(top, queries, index, acl, k)
     return top.select("query_id", "rank", "score", *CHUNK_KEY, *(["parent_id"] if "parent_id" in carried else []))
 
 
+def _padded(top: DataFrame, queries: DataFrame, index: LexicalIndex, acl: DataFrame | None, k: int) -> DataFrame:
+    """Lists of fewer than ``k`` hits filled with visible chunks that match nothing.
+
+    Such a list holds every match of its query, so the first 2k visible chunks
+    contain enough others.
+    """
+    columns = ["query_id", "score", *CHUNK_KEY, *(["parent_id"] if "parent_id" in top.columns else [])]
+    parents = index.chunks.select(*columns[2:])
+    order = [F.col(c) for c in CHUNK_KEY]
+    if acl is None:
+        first = parents.orderBy(*order).limit(2 * k).agg(F.collect_list(F.struct(*columns[2:])).alias("c")).scalar()
+        fill = queries.select("query_id", F.explode(first).alias("c")).select("query_id", "c.*")
+    else:
+        seen = first_visible(index.chunks, queries.select(*CONTEXT).distinct(), acl, columns[2:], order, 2 * k)
+        fill = seen.drop("rank").join(queries.select("query_id", "user_id"), "user_id")
+    fill = fill.join(top.select("query_id", *CHUNK_KEY), ["query_id", *CHUNK_KEY], "left_anti")
+    both = top.select(*columns).unionByName(fill.withColumn("score", F.lit(0.0)).select(*columns))
+    return ranked(both, ["query_id"], by_score(), k)
+
+
 def by_score() -> list[Column]:
     """Descending score; equal scores (to 9 decimals) in chunk order."""
     return [F.desc(F.round("score", 9)), *[F.col(c) for c in CHUNK_KEY]]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import dialogue_text, let, strip
-from corpusmill.operators.access import CONTEXT, attach_grants, effective_clearance, visible_columns
+from corpusmill.operators.access import CONTEXT, attach_grants, first_visible, visible_columns
 from corpusmill.operators.dense import dense_search
 from corpusmill.operators.fusion import KEY, merge_variants, rrf
 from corpusmill.operators.lexical import LexicalIndex, bm25_search
@@ -87,30 +87,6 @@ def _grams(text: Column) -> Column:
     return let(text, lambda whole: F.array_distinct(F.concat(*[pieces(whole, size) for size in (1, 2, 3)])))
 
 
-def _newest_per_caller(docs: DataFrame, callers: DataFrame, acl: DataFrame, limit: int) -> DataFrame:
-    """The newest visible documents of each caller: (user_id, rank, doc_id).
-
-    Taken from the newest of each (tenant, level) class, of each owner, of each
-    grantee and overall, so no caller meets every document.
-    """
-    newest = [F.desc("doc_id")]
-    callers = small_side(callers)
-    plain = callers.filter(~F.col("is_admin"))
-    public = docs.filter(F.col("doc_level") == "public").withColumn("min_level", F.coalesce("min_level", F.lit(1)))
-    classes = ranked(public, ["tenant_id", "min_level"], newest, limit)
-    shared = classes.join(
-        plain, (F.col("tenant_id") == F.col("caller_tenant")) & (F.col("min_level") <= effective_clearance(F.col("clearance")))
-    )
-    owned = ranked(docs.join(plain, F.col("owner_id") == F.col("user_id")), ["user_id"], newest, limit)
-    grants = acl.select("user_id", F.col("document_id").alias("doc_id")).join(plain.select("user_id"), "user_id")
-    granted = ranked(docs.select("doc_id").join(grants, "doc_id"), ["user_id"], newest, limit)
-    latest = docs.select("doc_id").orderBy(*newest).limit(limit).agg(F.collect_list("doc_id").alias("ids")).scalar()
-    admins = callers.filter("is_admin").select("user_id", F.explode(latest).alias("doc_id"))
-    parts = [part.select("user_id", "doc_id") for part in [shared, owned, granted]]
-    united = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(admins).distinct()
-    return ranked(united, ["user_id"], newest, limit)
-
-
 def listing_docs(queries: DataFrame, docs: DataFrame, acl: DataFrame, requested: int = 5, max_docs: int = LIST_MAX) -> DataFrame:
     """Documents for questions that ask for a list: (query_id, rank, doc_id, content).
 
@@ -137,10 +113,13 @@ def listing_docs(queries: DataFrame, docs: DataFrame, acl: DataFrame, requested:
         .filter(F.contains(F.lower("title"), F.col("keyword")) & visible_columns())
     )
     by_title = ranked(titled, ["query_id"], [F.desc("doc_id")], limit).select("query_id", "rank", "doc_id")
+    # A few rows per question, read twice below; the titles are read once.
+    by_title = stage(by_title, "listed-by-title")
     missed = asked.join(by_title.select("query_id").distinct(), "query_id", "left_anti")
     # Questions that list everything differ only in their caller: one list per caller.
     open_ended = missed.filter((F.col("keyword") == "") | F.col("strong"))
-    per_caller = _newest_per_caller(done, asked.select(*CONTEXT).distinct(), acl, limit)
+    callers = asked.select(*CONTEXT).distinct()
+    per_caller = first_visible(done, callers, acl, ["doc_id"], [F.desc("doc_id")], limit)
     everything = per_caller.join(open_ended.select("query_id", "user_id"), "user_id").select("query_id", "rank", "doc_id")
     found = by_title.unionByName(everything)
     n = row_bound(asked)

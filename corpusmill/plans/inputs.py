@@ -102,7 +102,13 @@ class Inputs:
         )
 
     def hashed_docs(self) -> DataFrame:
-        return self.docs().select("id", "title", "file_size", file_hash(F.col("content")).alias("file_hash"))
+        """Ids, titles and content hashes, as the document table stores them."""
+        key = F.col("doc_id")
+        title = F.concat(F.lit("doc "), "lang", F.lit(" "), key.cast("string"))
+        rows = self.table("documents").select(
+            key.alias("id"), title.alias("title"), "source", file_hash(F.col("text")).alias("file_hash")
+        )
+        return self.keep("hashes", lambda: rows)
 
     def acl(self) -> DataFrame:
         key = F.col("doc_id")

@@ -21,9 +21,8 @@ SPLIT = f"""
 
 
 def _split(i: Inputs):
-    stored = i.table("documents").select(F.col("doc_id").alias("id"), F.expr(IN_CORPUS).alias("stored"))
-    rows = i.hashed_docs().join(stored, "id").select("id", "title", "file_hash", "stored")
-    return rows.filter(~F.col("stored")).drop("stored"), rows.filter("stored").drop("stored")
+    rows, stored = i.hashed_docs(), F.expr(IN_CORPUS)
+    return rows.filter(~stored).drop("source"), rows.filter(stored).drop("source")
 
 
 @query(

@@ -48,6 +48,25 @@ def _(i: Inputs):
     return hits.select("query_id", "rank", "doc_id", "chunk_index", "parent_id", r6("score"))
 
 
+PADDED = f"""
+    words AS (SELECT query_id, user_id, is_admin, caller_tenant, clearance, lower(regexp_extract_all(question, '[A-Za-zÀ-ÿ]+')[3]) AS term FROM v_question),
+    scored AS (SELECT query_id, doc_id, chunk_index, CASE WHEN tf IS NULL THEN 0e0 ELSE idf * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * n_tokens / (SELECT avg_tokens FROM v_stats))) END AS score
+      FROM words w JOIN v_pair USING (query_id) JOIN v_size USING (doc_id, chunk_index) LEFT JOIN v_tf USING (doc_id, chunk_index, term) LEFT JOIN v_idf USING (term)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id, chunk_index) AS rank FROM scored)"""
+
+
+@query(
+    "R2_bm25_padded",
+    "SELECT query_id, CAST(rank AS INT) AS rank, doc_id, chunk_index, round(score, 6) AS score FROM placed WHERE rank <= 20",
+    PADDED,
+)
+def _(i: Inputs):
+    """Questions of one word, many of which few chunks hold."""
+    word = F.get(F.regexp_extract_all("question", F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0)), F.lit(2))
+    hits = lexical.bm25_search(i.questions().withColumn("question", word), i.lexical(), i.grants(), pad_zero=True)
+    return hits.select("query_id", "rank", "doc_id", "chunk_index", r6("score"))
+
+
 VECTOR_PAIRS = f"""
     stored AS (SELECT e.vec_id, CAST(e.embedding AS DOUBLE[]) AS v, d.upload_by AS owner_id, d.tenant_id, d.doc_level, d.min_level, e.vec_id AS doc_id
                FROM embeddings e LEFT JOIN v_document d ON d.id = e.vec_id),
