@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from corpusmill.plans.inputs import Inputs
 from corpusmill.plans.oracle_views import VIEWS
+from corpusmill.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +49,7 @@ def query(name: str, sql: str | None = None, locals_: str = "") -> Callable:
     def register(build: Callable[[Inputs], DataFrame]) -> Callable:
         def run(spark: SparkSession, folder: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship_package(spark)
             return _plain_times(build(Inputs(spark, folder)))
 
         if name in QUERIES:

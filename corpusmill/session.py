@@ -1,5 +1,12 @@
 """Session settings the operators rely on."""
 
+from __future__ import annotations
+
+import functools
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -11,6 +18,21 @@ SETTINGS = {
 }
 
 
+@functools.cache
+def _shipped(application: str) -> str:
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix=f"corpusmill-{application}-")
+    return shutil.make_archive(f"{folder}/corpusmill", "zip", package.parent, package.name)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers of a session that was started without it."""
+    context = spark.sparkContext
+    archive = _shipped(context.applicationId)
+    if not any(Path(file).name == Path(archive).name for file in context.listFiles):
+        context.addPyFile(archive)
+
+
 def local_session(cores: str = "8", memory: str = "8g", partitions: int | None = None) -> SparkSession:
     """A session for tests and benchmarks on one machine; a cluster brings its own."""
     builder = (
