@@ -52,11 +52,13 @@ def visible(queries: pd.DataFrame, vectors: pd.DataFrame) -> np.ndarray:
 class _Best:
     """Running best k per query over blocks of vectors."""
 
-    def __init__(self, queries: pd.DataFrame, keys: list[str], k: int, max_distance: float, metric: str, mask: Mask):
+    def __init__(
+        self, queries: pd.DataFrame, keys: list[str], carried: list[str], k: int, max_distance: float, metric: str, mask: Mask
+    ):
         self.queries = queries.reset_index(drop=True)
         self.matrix = np.stack(self.queries["embedding"]).astype(np.float64)
         self.norms = (self.matrix**2).sum(axis=1)
-        self.keys, self.k, self.metric, self.mask = keys, k, metric, mask
+        self.keys, self.carried, self.k, self.metric, self.mask = keys, carried, k, metric, mask
         self.bound = np.full(len(queries), max_distance)
         self.parts: list[pd.DataFrame] = []
         self.rows = 0
@@ -77,7 +79,7 @@ class _Best:
         if block.shape[0] > self.k:
             limit = np.minimum(limit, np.partition(distance, self.k - 1, axis=1)[:, self.k - 1])
         query, vector = np.nonzero((distance <= limit[:, None]) & np.isfinite(distance))
-        part = vectors[self.keys].iloc[vector].reset_index(drop=True)
+        part = vectors[[*self.keys, *self.carried]].iloc[vector].reset_index(drop=True)
         part["_query"], part["distance"] = query, distance[query, vector]
         self.parts.append(part)
         self.rows += len(part)
@@ -112,15 +114,17 @@ def nearest(
     query_block: int = QUERY_BLOCK,
     vector_block: int = VECTOR_BLOCK,
     prepare: Callable[[DataFrame, DataFrame, list[str]], DataFrame] | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """The ``k`` nearest vectors per query within ``max_distance``: (query_id, rank, distance, keys).
 
     ``l2`` is the squared distance, ``cosine`` one minus the cosine. Distances
     are compared to nine decimals and ties go by ``keys``. ``mask`` restricts the
     pairs of a block; ``prepare`` may add columns to the vectors that depend on
-    the queries of the same block.
+    the queries of the same block. ``carry`` names further columns to return.
     """
-    fields = [queries.schema["query_id"], *[vectors.schema[c] for c in keys], T.StructField("distance", T.DoubleType())]
+    carried = carry or []
+    fields = [queries.schema["query_id"], *[vectors.schema[c] for c in [*keys, *carried]], T.StructField("distance", T.DoubleType())]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
 
     if within(queries, query_block):
@@ -131,7 +135,7 @@ def nearest(
         else:
 
             def scan(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                best = _Best(batch, keys, k, max_distance, metric, mask)
+                best = _Best(batch, keys, carried, k, max_distance, metric, mask)
                 for block in blocks:
                     for start in range(0, len(block), SCAN_ROWS):
                         best.add(block.iloc[start : start + SCAN_ROWS].reset_index(drop=True))
@@ -156,7 +160,7 @@ def nearest(
             empty = pd.DataFrame({f.name: [] for f in schema})
             if left.empty or right.empty:
                 return empty
-            best = _Best(left, keys, k, max_distance, metric, mask)
+            best = _Best(left, keys, carried, k, max_distance, metric, mask)
             for start in range(0, len(right), SCAN_ROWS):
                 best.add(right.iloc[start : start + SCAN_ROWS].reset_index(drop=True))
             out = best.result()
@@ -176,13 +180,14 @@ def dense_search(
     keys: list[str] | None = None,
     query_block: int = QUERY_BLOCK,
     vector_block: int = VECTOR_BLOCK,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """Nearest visible chunk vectors per query by squared distance; visibility comes before the search."""
     keys = keys or ["doc_id", "chunk_index"]
     if acl is None:
-        plain = vectors.select(*keys, "embedding")
+        plain = vectors.select(*keys, *(carry or []), "embedding")
         return nearest(queries.select("query_id", "embedding"), plain, keys, k, max_distance,
-                       query_block=query_block, vector_block=vector_block)
+                       query_block=query_block, vector_block=vector_block, carry=carry)
     number = lambda c, default: F.coalesce(F.col(c).cast("long"), F.lit(default)).alias(c)
     asked = queries.select(
         "query_id",
@@ -194,10 +199,10 @@ def dense_search(
     )
     assert set(CONTEXT) <= set(asked.columns)
     stored = vectors.select(
-        *keys, *([] if "doc_id" in keys else ["doc_id"]), "embedding", "doc_level",
+        *keys, *(carry or []), *([] if "doc_id" in keys else ["doc_id"]), "embedding", "doc_level",
         number("owner_id", -1), number("tenant_id", -1), number("min_level", 1),
     )
     return nearest(
         asked, stored, keys, k, max_distance, mask=visible, query_block=query_block, vector_block=vector_block,
-        prepare=lambda rows, batch, by: attach_grants(rows, acl, batch, by),
+        prepare=lambda rows, batch, by: attach_grants(rows, acl, batch, by), carry=carry,
     )

@@ -189,24 +189,21 @@ def qa_history(history: DataFrame, users: DataFrame, user_id: int, page: int = 1
 
 
 def conversation_list(conversations: DataFrame, history: DataFrame, user_id: int | None = None) -> DataFrame:
-    """Conversations with message count and last question, most recently used first."""
+    """Conversations with message count and last question; one user's come most recently used first."""
     own = conversations if user_id is None else conversations.filter(F.col("user_id") == user_id)
     used = history.groupBy(F.col("conversation_id").alias("id")).agg(
         F.count("*").alias("message_count"), F.max_by("question", F.struct("created_at", F.col("id"))).alias("last_question")
     )
-    return (
-        own.join(used, "id", "left")
-        .select(
-            "id", "user_id", "title", "updated_at",
-            F.coalesce("message_count", F.lit(0)).alias("message_count"),
-            F.coalesce("last_question", F.lit("")).alias("last_question"),
-        )
-        .orderBy(F.desc("updated_at"), "id")
+    rows = own.join(used, "id", "left").select(
+        "id", "user_id", "title", "updated_at",
+        F.coalesce("message_count", F.lit(0)).alias("message_count"),
+        F.coalesce("last_question", F.lit("")).alias("last_question"),
     )
+    return rows if user_id is None else rows.orderBy(F.desc("updated_at"), "id")
 
 
 def transcript(history: DataFrame, docs: DataFrame, conversation_id: int | None = None) -> DataFrame:
-    """Messages by time, each with its cited documents as ordered [{id, title}]."""
+    """Messages, each with its cited documents as ordered [{id, title}]; one conversation's come by time."""
     rows = history if conversation_id is None else history.filter(F.col("conversation_id") == conversation_id)
     titles = docs.select(F.col("id").alias("cited"), "title")
     cited = rows.select("id", F.posexplode(json_ids(F.col("documents"))).alias("pos", "cited"))
@@ -217,12 +214,12 @@ def transcript(history: DataFrame, docs: DataFrame, conversation_id: int | None
         .select("id", F.transform("d", lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title"))).alias("documents"))
     )
     none = F.array().cast("array<struct<id:bigint,title:string>>")
-    return (
+    out = (
         rows.drop("documents")
         .join(named, "id", "left")
         .select("conversation_id", "id", "question", "answer", "created_at", F.coalesce("documents", none).alias("documents"))
-        .orderBy("conversation_id", "created_at", "id")
     )
+    return out if conversation_id is None else out.orderBy("created_at", "id")
 
 
 def recent_turns(history: DataFrame, n: int = 3) -> DataFrame:
@@ -241,19 +238,18 @@ def turns_array(history: DataFrame, n: int = 3) -> DataFrame:
 
 def category_tree(categories: DataFrame) -> DataFrame:
     """Categories reachable from the roots with depth and pre-order path; siblings by (sort_order, id)."""
-    spark = categories.sparkSession
-    categories.createOrReplaceTempView("tree_categories")
-    return spark.sql(
+    return categories.sparkSession.sql(
         """
         WITH RECURSIVE tree AS (
           SELECT id, name, parent_id, 0 AS depth, array(struct(sort_order, id)) AS path
-          FROM tree_categories WHERE parent_id = 0
+          FROM {categories} WHERE parent_id = 0
           UNION ALL
           SELECT c.id, c.name, c.parent_id, t.depth + 1, concat(t.path, array(struct(c.sort_order, c.id)))
-          FROM tree_categories c JOIN tree t ON c.parent_id = t.id
+          FROM {categories} c JOIN tree t ON c.parent_id = t.id
         )
         SELECT id, name, parent_id, depth, path FROM tree
-        """
+        """,
+        categories=categories,
     )
 
 

@@ -44,7 +44,10 @@ PROMPT = (
 
 @dataclass
 class Corpus:
-    """What retrieval reads: chunks, parents, documents (keyed by id), both indexes, grants."""
+    """What retrieval reads: chunks, parents, documents (keyed by id), both indexes, grants.
+
+    ``vectors`` are keyed like chunks and carry parent_id and the permission columns.
+    """
 
     chunks: DataFrame
     parents: DataFrame
@@ -182,7 +185,6 @@ def candidates(
     Every variant of every question is searched in the same two passes.
     """
     context = queries.select("query_id", *CONTEXT)
-    n = row_bound(variants)
     asked = variants.join(context, "query_id").select(
         F.struct(F.col("query_id").alias("q"), F.col("variant").alias("v")).alias("query_id"),
         F.col("text").alias("question"),
@@ -192,18 +194,13 @@ def candidates(
     sparse = bm25_search(asked, corpus.lexical, corpus.acl, k)
     sparse = sparse.select(*split, "rank", "score", *KEY)
     flat = asked.select(F.concat_ws("|", "query_id.q", "query_id.v").alias("query_id"), "question", *CONTEXT)
-    dense = dense_search(embed_queries(flat, instruction), corpus.vectors, corpus.acl, k, max_distance)
+    dense = dense_search(embed_queries(flat, instruction), corpus.vectors, corpus.acl, k, max_distance, carry=["parent_id"])
     kind = queries.schema["query_id"].dataType
     parts = F.split("query_id", r"\|(?=\d+$)")
     dense = dense.select(
         parts[0].cast(kind).alias("query_id"), parts[1].cast("int").alias("variant"), "rank",
-        F.col("distance").alias("score"), "doc_id", "chunk_index",
-    )
-    # Chunk ids alone identify a vector; the parent comes with the chunk table.
-    named = corpus.chunks.select("doc_id", "chunk_index", "parent_id").join(
-        at_most(dense, None if n is None else n * k), ["doc_id", "chunk_index"]
+        F.col("distance").alias("score"), *KEY,
     )
-    dense = named.select("query_id", "variant", "rank", "score", *KEY)
     fused = rrf(dense, sparse, by=["query_id", "variant"])
     return dense, sparse, merge_variants(fused)
 

@@ -319,7 +319,7 @@ class Inputs:
         return LexicalIndex(rows, terms, stats)
 
     def chunk_vectors(self) -> DataFrame:
-        columns = ["doc_id", "chunk_index", "owner_id", "tenant_id", "doc_level", "min_level"]
+        columns = ["doc_id", "chunk_index", "parent_id", "owner_id", "tenant_id", "doc_level", "min_level"]
         return self.keep("vectors", lambda: embed(self.chunks().select(*columns, "text")).select(*columns, "embedding"))
 
     def corpus(self) -> Corpus:

@@ -162,11 +162,12 @@ def _(i: Inputs):
 
 @query(
     "D9_index_consistency",
-    """SELECT doc_id, count(*) AS lexical, CASE WHEN doc_id % 10 = 3 THEN 0 ELSE count(*) END AS vector, doc_id % 10 <> 3 AS consistent FROM v_chunk GROUP BY doc_id""",
+    """SELECT doc_id, count(*) AS lexical, CASE WHEN lost THEN 0 ELSE count(*) END AS vector, NOT lost AS consistent
+    FROM (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS lost FROM v_chunk) GROUP BY doc_id, lost""",
 )
 def _(i: Inputs):
-    # As if the vectors of some documents had been lost.
-    vectors = i.chunk_vectors().filter(F.col("doc_id") % 10 != 3)
+    # As if the vectors of the documents labelled toxic had been lost.
+    vectors = i.chunk_vectors().join(i.table("labels").filter("toxic = 1"), "doc_id", "left_anti")
     return maintenance.index_consistency(i.lexical().chunks, vectors)
 
 

@@ -119,9 +119,8 @@ def _(i: Inputs):
 )
 def _(i: Inputs):
     sparse = lexical.bm25_search(i.questions(), i.lexical(), i.grants())
-    found = dense.dense_search(models.embed_queries(i.questions()), i.chunk_vectors(), i.grants())
-    names = i.chunks().select("doc_id", "chunk_index", "parent_id")
-    found = found.join(names, ["doc_id", "chunk_index"]).withColumn("score", F.col("distance"))
+    found = dense.dense_search(models.embed_queries(i.questions()), i.chunk_vectors(), i.grants(), carry=["parent_id"])
+    found = found.withColumn("score", F.col("distance"))
     fused = fusion.rrf(found, sparse)
     filled = [F.round(F.coalesce(c, F.lit(-1.0)), 6).alias(c) for c in ["dense_score", "sparse_score"]]
     return fused.select("query_id", "rank", "doc_id", "parent_id", "chunk_index", r6("score"), *filled)
@@ -141,9 +140,8 @@ VARIANTS = """
 )
 def _(i: Inputs):
     sparse = lexical.bm25_search(i.questions(), i.lexical(), i.grants()).select("query_id", "rank", *fusion.KEY)
-    found = dense.dense_search(models.embed_queries(i.questions()), i.chunk_vectors(), i.grants())
-    names = i.chunks().select("doc_id", "chunk_index", "parent_id")
-    found = found.join(names, ["doc_id", "chunk_index"]).select("query_id", "rank", *fusion.KEY)
+    found = dense.dense_search(models.embed_queries(i.questions()), i.chunk_vectors(), i.grants(), carry=["parent_id"])
+    found = found.select("query_id", "rank", *fusion.KEY)
     both = sparse.withColumn("variant", F.lit(0)).unionByName(found.withColumn("variant", F.lit(1)))
     merged = fusion.merge_variants(both.withColumn("score", 1.0 / (60 + F.col("rank"))))
     return merged.select("query_id", "doc_id", "chunk_index", r6("score"), "rank")
