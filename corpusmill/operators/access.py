@@ -99,16 +99,22 @@ def filter_visible(pairs: DataFrame, acl: DataFrame) -> DataFrame:
 
 
 def _visible_to(rows: DataFrame, users: DataFrame, acl: DataFrame, user_id: int, doc: str, owner: str) -> DataFrame:
-    """Rows one caller may see; the caller's context comes from scalar subqueries."""
-    caller = permission_context(users.filter(F.col("id") == user_id))
-    is_admin, tenant, clearance = (caller.select(c).scalar() for c in ["is_admin", "caller_tenant", "clearance"])
+    """Rows one caller may see; the caller's context comes from one scalar subquery."""
+    context = permission_context(users.filter(F.col("id") == user_id)).select(F.struct(*CONTEXT)).scalar()
     mine = (
         acl.filter(F.col("user_id") == user_id)
         .select(F.col("document_id").alias(doc), F.lit(True).alias("_granted"))
         .distinct()
     )
     seen = open_to(
-        is_admin, F.lit(user_id), tenant, clearance, F.col(owner), F.col("tenant_id"), F.col("doc_level"), F.col("min_level")
+        context["is_admin"],
+        F.lit(user_id),
+        context["caller_tenant"],
+        context["clearance"],
+        F.col(owner),
+        F.col("tenant_id"),
+        F.col("doc_level"),
+        F.col("min_level"),
     )
     return rows.join(mine, doc, "left").filter(seen | F.coalesce("_granted", F.lit(False))).drop("_granted")
 

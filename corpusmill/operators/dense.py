@@ -66,6 +66,7 @@ class _Best:
     def add(self, vectors: pd.DataFrame) -> None:
         if not len(vectors):
             return
+        vectors = vectors.sort_values(self.keys, ignore_index=True)
         block = np.stack(vectors["embedding"]).astype(np.float64)
         product = self.matrix @ block.T
         if self.metric == "cosine":
@@ -78,7 +79,11 @@ class _Best:
         limit = self.bound
         if block.shape[0] > self.k:
             limit = np.minimum(limit, np.partition(distance, self.k - 1, axis=1)[:, self.k - 1])
-        query, vector = np.nonzero((distance <= limit[:, None]) & np.isfinite(distance))
+        # At most k per query: of many equal vectors, those first in key order.
+        nearer = distance < limit[:, None]
+        equal = (distance == limit[:, None]) & np.isfinite(distance)
+        room = self.k - nearer.sum(axis=1)
+        query, vector = np.nonzero(nearer | (equal & (np.cumsum(equal, axis=1) <= room[:, None])))
         part = vectors[[*self.keys, *self.carried]].iloc[vector].reset_index(drop=True)
         part["_query"], part["distance"] = query, distance[query, vector]
         self.parts.append(part)
