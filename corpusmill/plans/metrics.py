@@ -11,6 +11,7 @@ from corpusmill.operators import maintenance, metrics
 from corpusmill.operators.scale import shared_folder
 from corpusmill.plans.inputs import Inputs
 from corpusmill.plans.registry import query
+from corpusmill.plans.reuse import FIRINGS
 from corpusmill.streaming import live
 
 
@@ -150,7 +151,7 @@ def _(i: Inputs):
     return _run(i, live.request_counts_stream(_stream(i, rows)), "complete")
 
 
-@query("M10_hot_questions_stream")
+@query("M10_hot_questions_stream", "SELECT question, ts FROM walk WHERE fired", FIRINGS)
 def _(i: Inputs):
     asks = i.query_log().select("ts", "question")
     return _run(i, live.hot_questions_stream(_stream(i, asks)), "append")

@@ -328,8 +328,12 @@ def _(i: Inputs):
     return retrieval.extractive_answer(i.questions(), retrieval.expand_parents(i.cut(), i.parents()))
 
 
-@query("R23_generate")
+@query(
+    "R23_generate",
+    "SELECT query_id, substring(concat(question, chr(10), chr(10), '请根据文档内容给出回答：'), 1, 200) AS answer FROM v_question",
+)
 def _(i: Inputs):
+    """A model that repeats the end of its prompt."""
     prompts = retrieval.build_prompt(i.questions(), retrieval.expand_parents(i.cut(), i.parents()))
     answers = models.generate(prompts, lambda texts: texts.str.rsplit("用户问题: ", n=1).str[-1].str.slice(0, 200))
     return answers.select("query_id", "answer")

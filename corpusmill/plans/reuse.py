@@ -125,10 +125,8 @@ def _(i: Inputs):
     return hot.select("event_id", "question", "ts", F.col("asks").cast("long").alias("asks"))
 
 
-@query(
-    "C5_hot_firings",
-    """SELECT question, ts, event_id FROM walk WHERE fired""",
-    """asked AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY ts, event_id) AS n FROM v_log),
+# The counter of each question, one ask after the other.
+FIRINGS = """asked AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY ts, event_id) AS n FROM v_log),
     walk AS (
       SELECT question, ts, event_id, n, [epoch_us(ts)] AS times, false AS fired FROM asked WHERE n = 1
       UNION ALL
@@ -136,8 +134,10 @@ def _(i: Inputs):
         CASE WHEN len(list_filter(w.times, lambda t: epoch_us(a.ts) - t <= 86400000000)) >= 4 THEN CAST([] AS BIGINT[])
              ELSE list_append(list_filter(w.times, lambda t: epoch_us(a.ts) - t <= 86400000000), epoch_us(a.ts)) END,
         len(list_filter(w.times, lambda t: epoch_us(a.ts) - t <= 86400000000)) >= 4
-      FROM walk w JOIN asked a ON a.question = w.question AND a.n = w.n + 1)""",
-)
+      FROM walk w JOIN asked a ON a.question = w.question AND a.n = w.n + 1)"""
+
+
+@query("C5_hot_firings", "SELECT question, ts, event_id FROM walk WHERE fired", FIRINGS)
 def _(i: Inputs):
     return reuse.hot_firings(i.query_log())
 

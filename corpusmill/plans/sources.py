@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import chunking, evaluation
 from corpusmill.operators.scale import shared_folder
+from corpusmill.plans.evaluation import HYBRID
 from corpusmill.plans.inputs import Inputs
 from corpusmill.plans.registry import query
 from corpusmill.sources import files, golden, index_store, reports
@@ -105,7 +106,7 @@ def _(i: Inputs):
     return out
 
 
-@query("S7_write_report")
+@query("S7_write_report", "SELECT query_id, round(recall, 4) AS recall, round(mrr, 4) AS mrr, hit FROM judged_hybrid", HYBRID)
 def _(i: Inputs):
     path = _folder(i, "report")
     detail = evaluation.eval_questions(i.results(), i.golden())
