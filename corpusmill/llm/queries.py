@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontaminate, packing, pii, rules, simhash
+from corpusmill.llm import decontaminate, packing, pii, rules, secrets, simhash, slots, toxicity, url_trust, weak_labels
 from corpusmill.llm.common import table
 from corpusmill.session import ship_package
 
@@ -109,3 +109,63 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents").select("doc_id", "text", "source"))
+
+
+URL_PARTS_SQL = r"""coalesce(translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"""
+
+
+def _op1_sql() -> str:
+    """The rules as a table, links from anchors, and the rounds of propagation one after the other."""
+    rows = ", ".join(f"('{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}', '{action}')" for rule, action in url_trust.RULES)
+    host = URL_PARTS_SQL.format("url")
+    waves = ["w0 AS MATERIALIZED (SELECT side, host, 1.0::DOUBLE AS mass FROM seeds)"]
+    for i in range(url_trust.ROUNDS):
+        waves.append(
+            f"w{i + 1} AS MATERIALIZED (SELECT side, next AS host, sum(mass * share) * {url_trust.DAMPING} AS mass FROM w{i} JOIN moves USING (side, host) GROUP BY side, next)"
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM w{i}" for i in range(url_trust.ROUNDS + 1))
+    return rf"""
+WITH rules(rule, rhost, rpath, action) AS (VALUES {rows}),
+p AS (SELECT row_number() OVER () AS r, page_id, html, {host} AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+fit AS (SELECT r, arg_max(rule, (length(rule), rule)) AS rule, arg_max(action, (length(rule), rule)) AS action FROM p JOIN rules
+    ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY r),
+ruled AS (SELECT p.*, rule, action FROM p LEFT JOIN fit USING (r)),
+counts AS (SELECT host, count(*) AS n, count(*) FILTER (action = 'allow') AS a, count(*) FILTER (action = 'block') AS b FROM ruled WHERE host <> '' GROUP BY host),
+seeds AS (SELECT CASE WHEN a >= 0.5 * n THEN 1 ELSE -1 END AS side, host FROM counts WHERE a >= 0.5 * n OR b >= 0.5 * n),
+hrefs AS (SELECT host AS a, unnest(regexp_extract_all(html, '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["'']?([^"''\s>]+)', 1)) AS t FROM p),
+named AS (SELECT a, {URL_PARTS_SQL.format("CASE WHEN starts_with(t, '//') THEN 'http:' || t ELSE t END")} AS b FROM hrefs WHERE starts_with(t, '//') OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://')),
+links AS (SELECT a, b, count(*) AS weight FROM named WHERE a <> '' AND b <> '' AND a <> b GROUP BY a, b),
+moves AS MATERIALIZED (SELECT 1 AS side, a AS host, b AS next, weight / sum(weight) OVER (PARTITION BY a) AS share FROM links
+    UNION ALL SELECT -1, b, a, weight / sum(weight) OVER (PARTITION BY b) FROM links),
+{", ".join(waves)},
+scores AS (SELECT host, {1 - url_trust.DAMPING} * sum(CASE WHEN side = 1 THEN mass ELSE 0 END) AS trust, {1 - url_trust.DAMPING} * sum(CASE WHEN side = -1 THEN mass ELSE 0 END) AS distrust
+    FROM ({every}) GROUP BY host)
+SELECT page_id, ruled.host, path, rule, coalesce(action, CASE WHEN round(distrust - trust, 9) > {url_trust.MARGIN} THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN scores USING (host)
+"""
+
+
+@query("op1_url_trust", _op1_sql())
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return url_trust.judge(table(spark, folder, "pages"))
+
+
+@query("op2_secrets")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"))
+
+
+@query("op3_slots")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return slots.shard(table(spark, folder, "documents"))
+
+
+@query("op5_weak_labels")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return weak_labels.classify(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
