@@ -1,26 +1,27 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 Every window of ``window`` consecutive words of an item is a phrase query. One pass
-over the corpus counts the words of the queries. A second stores token postings
-(term, text key, position) of the rarest terms of each query; the lists of a query are
-moved by the term's offset and intersected, so that what is left has all of its rarest
-terms in place. A third verifies these few places word by word on the texts.
-
-All of it is DataFrame operations. Postings are made inside the scan, without a
-shuffle by term, so a word that fills a third of the corpus isn't one task's work. The
-queries are broadcast only while they are few (counted first), else joined by shuffle.
-Texts are told apart by their hash: copies share their postings, and since every place
-is verified on the row's own text, neither a repeated or null ``doc_id`` nor a
-collision can add or lose a match.
+over the corpus counts the words of the queries. A second makes the postings
+(text key, position) of the rarest term of each query, moves them by the term's offset,
+and intersects them with the places of the next rarest terms in the same text. Only what
+has all rarest terms in place is compared word by word, and the postings that stay are
+stored. Proximity matches intersect stored postings within a span instead.
+
+All of it is DataFrame operations. Postings are made and intersected inside the scan, so
+no word list is shuffled and a word that fills a third of the corpus isn't one task's
+work. Queries are broadcast in blocks of a fixed number of rows, one pass for each block.
+Texts are told apart by a 64-bit hash: copies share their places, and a repeated or null
+``doc_id`` makes no difference.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import let
-from corpusmill.llm.common import keep, small
+from corpusmill.llm.common import BROADCAST_ROWS, keep, small
 
 WINDOW = 10
 #: Rarest terms of a query whose lists are intersected before words are compared.
@@ -86,51 +87,56 @@ def _rarest(terms: DataFrame, by: str, counts: DataFrame, lists: int) -> DataFra
 
 
 def phrase_places(docs: DataFrame, queries: DataFrame, lists: int = LISTS) -> DataFrame:
-    """(text_key, wid, start): where the ``lists`` rarest terms of a query stand at their offsets, a superset of its occurrences."""
+    """(text_key, start, length, ids): every occurrence of every query in the texts of ``docs``, stored."""
     terms = queries.select("wid", F.posexplode("words").alias("off", "term"))
     counts = keep(term_counts(docs, terms))
-    anchors = keep(_rarest(terms, "wid", counts, lists))
-    postings = store_postings(docs, anchors)
-    moved = postings.join(small(anchors), "term").select("text_key", "wid", (F.col("pos") - F.col("off")).alias("start"), "rank", "all_ranks")
-    return (
-        moved.where("start >= 0")
-        .groupBy("text_key", "wid", "start", "all_ranks")
-        .agg(F.bit_or(F.expr("bigint(shiftleft(1, rank))")).alias("found"))
-        .where("found = all_ranks")
-        .select("text_key", "wid", "start")
+    rarest = _rarest(terms, "wid", counts, lists)
+    others = F.array_sort(F.collect_list(F.struct("rank", "off", "term")))
+    plans = rarest.groupBy("wid").agg(others.alias("lists")).join(queries, "wid").select(
+        F.col("lists")[0]["term"].alias("term"), F.col("lists")[0]["off"].alias("off"), F.slice("lists", 2, lists).alias("others"), "words", "ids", "wid"
     )
+    plans = keep(plans)
+    blocks = max(1, math.ceil(plans.count() / BROADCAST_ROWS))
+    split = docs.select(F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
+    tokens = split.select("text_key", "w", F.posexplode("w").alias("pos", "term"))
+    start = F.col("pos") - F.col("off")
+    in_place = F.forall("others", lambda o: F.get("w", start + o["off"]) == o["term"])
+    found = None
+    for block in range(blocks):
+        # a block has about as many rows as may be broadcast, whatever the number of queries
+        part = plans.where(F.pmod("wid", F.lit(blocks)) == block).drop("wid")
+        met = tokens.join(F.broadcast(part), "term").where((start >= 0) & F.coalesce(in_place, F.lit(False)))
+        exact = met.where(F.slice("w", start + 1, F.size("words")) == F.col("words")).select("text_key", start.alias("start"), F.size("words").alias("length"), "ids")
+        found = exact if found is None else found.union(exact)
+    return keep(found)
+
+
+def _by_text(places: DataFrame) -> DataFrame:
+    """(_text_key, n_hit, hit_items, hits): what is hit in each text that has any place; as many rows as such texts."""
+    spans = F.array_sort(F.collect_set(F.struct("start", "length")))
+    grouped = places.groupBy(F.col("text_key").alias("_text_key")).agg(spans.alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("hit_items"))
+    covered = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(p["start"], p["start"] + p["length"] - 1))))
+    return grouped.select("_text_key", F.size(covered).cast("bigint").alias("n_hit"), "hit_items", "hits")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, lists: int = LISTS) -> DataFrame:
     """All columns of ``docs`` with n_words, n_hit, hit_items (ids as strings, sorted), hits (start, length) and contaminated.
 
     A word inside any occurrence of any window is hit. Null and wordless texts have
-    neither words nor hits; no items, no hits. Columns of these names are replaced.
+    neither words nor hits; no items, no hits. Columns of these names are replaced. Texts
+    aren't shuffled unless the caller keeps them.
     """
-    queries = keep(phrase_queries(items, window))
-    places = phrase_places(docs.select("text").where("text IS NOT NULL"), queries, lists)
-    found = (
-        places.join(small(queries), "wid")
-        .groupBy("text_key")
-        .agg(F.collect_list(F.struct("start", "words", "ids")).alias("places"))
-        .withColumnRenamed("text_key", "_text_key")
-    )
-    none = F.from_json(F.lit("[]"), "array<struct<start:int,words:array<string>,ids:array<string>>>")
+    places = phrase_places(docs.select("text").where("text IS NOT NULL"), keep(phrase_queries(items, window)), lists)
     mine = [c for c in docs.columns if c not in ("n_words", "n_hit", "hit_items", "hits", "contaminated")]
-    joined = docs.select(*mine).withColumn("_text_key", F.xxhash64("text")).join(small(keep(found), 5000), "_text_key", "left")
-
-    def verified(words: Column) -> Column:
-        return F.filter(F.coalesce("places", none), lambda p: F.slice(words, p["start"] + 1, F.size(p["words"])) == p["words"])
-
-    seen = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), verified(w).alias("real")))
-    covered = F.array_distinct(F.flatten(F.transform("_seen.real", lambda p: F.sequence(p["start"], p["start"] + F.size(p["words"]) - 1))))
-    return joined.withColumn("_seen", seen).select(
+    counted = docs.select(*mine, F.xxhash64("text").alias("_text_key"), F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"))
+    joined = counted.join(small(keep(_by_text(places)), 20_000), "_text_key", "left")
+    return joined.select(
         *mine,
-        F.col("_seen.n_words").alias("n_words"),
-        F.size(covered).cast("bigint").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.col("_seen.real.ids")))).alias("hit_items"),
-        F.array_sort(F.transform("_seen.real", lambda p: F.struct(p["start"].alias("start"), F.size(p["words"]).alias("length")))).alias("hits"),
-        (F.size("_seen.real") > 0).alias("contaminated"),
+        "n_words",
+        F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
+        F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"),
+        F.coalesce("hits", F.from_json(F.lit("[]"), "array<struct<start:int,length:int>>")).alias("hits"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
 
@@ -176,8 +182,9 @@ def proximity_matches(docs: DataFrame, items: DataFrame, terms: int = NEAR_TERMS
     return docs.select("doc_id", F.xxhash64("text").alias("text_key")).join(spans, "text_key").select("doc_id", "item_id", "first", "last").distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, lists: int = LISTS) -> DataFrame:
     """The rows of ``docs``, with their own columns, in which no window of any item occurs."""
-    own = [F.col(c).alias(f"_own_{c}") for c in docs.columns]
-    marked = contamination(docs.select("text", *own), items, window)
-    return marked.where("NOT contaminated").select(*[F.col(f"_own_{c}").alias(c) for c in docs.columns])
+    places = phrase_places(docs.select("text").where("text IS NOT NULL"), keep(phrase_queries(items, window)), lists)
+    hit = places.select(F.col("text_key").alias("_hit_key")).distinct()
+    keyed = docs.select("*", F.xxhash64("text").alias("_own_text_key"))
+    return keyed.join(small(keep(hit)), F.col("_own_text_key") == F.col("_hit_key"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
