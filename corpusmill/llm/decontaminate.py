@@ -9,7 +9,7 @@ stored. Proximity matches intersect stored postings within a span instead.
 
 All of it is DataFrame operations. Postings are made and intersected inside the scan, so
 no word list is shuffled and a word that fills a third of the corpus isn't one task's
-work. Queries are broadcast in blocks of a fixed number of rows, one pass for each block.
+work. Rarest terms are looked up in blocks of a fixed number, one pass for each block.
 Texts are told apart by a 64-bit hash: copies share their places, and a repeated or null
 ``doc_id`` makes no difference.
 """
@@ -17,15 +17,19 @@ Texts are told apart by a 64-bit hash: copies share their places, and a repeated
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import BROADCAST_ROWS, keep, small
+from corpusmill.functions.text import let
+from corpusmill.llm.common import keep, small
 
 WINDOW = 10
 #: Rarest terms of a query whose lists are intersected before words are compared.
 LISTS = 2
+#: Rarest terms that one pass over the corpus looks up; more queries take more passes.
+TERMS = 20_000
 #: Proximity: so many rarest terms of an item within so many words.
 NEAR_TERMS = 4
 NEAR_SPAN = 30
@@ -86,7 +90,20 @@ def _rarest(terms: DataFrame, by: str, counts: DataFrame, lists: int) -> DataFra
     )
 
 
-def phrase_places(docs: DataFrame, queries: DataFrame, lists: int = LISTS) -> DataFrame:
+def _posted(terms: list[str], window: int) -> Callable[[Column], Column]:
+    """Postings of ``terms`` in an array of words: place, term, and the words around it that a query can cover."""
+
+    def of(words: Column) -> Column:
+        places = F.filter(F.transform(words, lambda word, i: F.when(word.isin(terms), i)), lambda i: i.isNotNull())
+        low = lambda i: F.greatest(i - (window - 1), F.lit(0))
+        return F.transform(
+            places, lambda i: F.struct(i.alias("pos"), low(i).alias("low"), F.get(words, i).alias("term"), F.slice(words, low(i) + 1, i - low(i) + window).alias("around"))
+        )
+
+    return of
+
+
+def phrase_places(docs: DataFrame, queries: DataFrame, window: int = WINDOW, lists: int = LISTS) -> DataFrame:
     """(text_key, start, length, ids): every occurrence of every query in the texts of ``docs``, stored."""
     terms = queries.select("wid", F.posexplode("words").alias("off", "term"))
     counts = keep(term_counts(docs, terms))
@@ -96,17 +113,19 @@ def phrase_places(docs: DataFrame, queries: DataFrame, lists: int = LISTS) -> Da
         F.col("lists")[0]["term"].alias("term"), F.col("lists")[0]["off"].alias("off"), F.slice("lists", 2, lists).alias("others"), "words", "ids", "wid"
     )
     plans = keep(plans)
-    blocks = max(1, math.ceil(plans.count() / BROADCAST_ROWS))
-    split = docs.select(F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
-    tokens = split.select("text_key", "w", F.posexplode("w").alias("pos", "term"))
-    start = F.col("pos") - F.col("off")
-    in_place = F.forall("others", lambda o: F.get("w", start + o["off"]) == o["term"])
+    blocks = max(1, math.ceil(plans.select("term").distinct().count() / TERMS))
     found = None
     for block in range(blocks):
-        # a block has about as many rows as may be broadcast, whatever the number of queries
-        part = plans.where(F.pmod("wid", F.lit(blocks)) == block).drop("wid")
-        met = tokens.join(F.broadcast(part), "term").where((start >= 0) & F.coalesce(in_place, F.lit(False)))
-        exact = met.where(F.slice("w", start + 1, F.size("words")) == F.col("words")).select("text_key", start.alias("start"), F.size("words").alias("length"), "ids")
+        # a block has about as many terms as one pass looks up, whatever the number of queries
+        part = plans.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block)
+        wanted = [r["term"] for r in part.select("term").distinct().collect()]
+
+        postings = docs.select(F.xxhash64("text").alias("text_key"), F.inline(let(words_of(F.col("text")), _posted(wanted, window))))
+        start = F.col("pos") - F.col("off")
+        in_place = F.forall("others", lambda o: F.coalesce(F.get("around", F.col("pos") - F.col("off") - F.col("low") + o["off"]) == o["term"], F.lit(False)))
+        met = postings.join(small(part.drop("wid")), "term").where((start >= 0) & in_place)
+        exact = met.where(F.slice("around", start - F.col("low") + 1, F.size("words")) == F.col("words"))
+        exact = exact.select("text_key", start.alias("start"), F.size("words").alias("length"), "ids")
         found = exact if found is None else found.union(exact)
     return keep(found)
 
@@ -126,7 +145,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, lists
     neither words nor hits; no items, no hits. Columns of these names are replaced. Texts
     aren't shuffled unless the caller keeps them.
     """
-    places = phrase_places(docs.select("text").where("text IS NOT NULL"), keep(phrase_queries(items, window)), lists)
+    places = phrase_places(docs.select("text").where("text IS NOT NULL"), keep(phrase_queries(items, window)), window, lists)
     mine = [c for c in docs.columns if c not in ("n_words", "n_hit", "hit_items", "hits", "contaminated")]
     counted = docs.select(*mine, F.xxhash64("text").alias("_text_key"), F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"))
     joined = counted.join(small(keep(_by_text(places)), 20_000), "_text_key", "left")
@@ -184,7 +203,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, terms: int = NEAR_TERMS
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, lists: int = LISTS) -> DataFrame:
     """The rows of ``docs``, with their own columns, in which no window of any item occurs."""
-    places = phrase_places(docs.select("text").where("text IS NOT NULL"), keep(phrase_queries(items, window)), lists)
+    places = phrase_places(docs.select("text").where("text IS NOT NULL"), keep(phrase_queries(items, window)), window, lists)
     hit = places.select(F.col("text_key").alias("_hit_key")).distinct()
     keyed = docs.select("*", F.xxhash64("text").alias("_own_text_key"))
     return keyed.join(small(keep(hit)), F.col("_own_text_key") == F.col("_hit_key"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
