@@ -42,6 +42,8 @@ BLOCK = 4096
 PROPOSE_SEEDS = (42, 43, 44)
 VERIFY_SHINGLE = 5
 SIMILAR = 0.8
+#: Hashes by which similarity is verified.
+SKETCH = 256
 #: Hashes whose bits are counted at a time.
 AT_ONCE = 200_000
 
@@ -240,12 +242,13 @@ def simhash_components(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, s
     return marked.join(classes, "f", "left").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(text_key, shingles): the distinct hashed word shingles of each distinct text; a shorter text is one shingle, a wordless one has none."""
+def _sketches(docs: DataFrame, size: int) -> DataFrame:
+    """(text_key, lowest): the ``SKETCH`` lowest hashes of each distinct text's word shingles, all of them where there are fewer; a shorter text is one shingle, a wordless one has none."""
     words = F.array_remove(F.split(ascii_lower(text_or_empty()), r"[ \t\n\x0B\f\r]+"), "")
     starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1)))
-    hashed = let(words, lambda w: F.when(F.size(w) > 0, F.array_distinct(F.transform(starts(w), lambda i: F.xxhash64(F.slice(w, i, size))))))
-    return docs.select("text_key", F.coalesce(hashed, F.array().cast("array<bigint>")).alias("shingles")).dropDuplicates(["text_key"])
+    hashed = let(words, lambda w: F.when(F.size(w) > 0, F.array_distinct(F.transform(starts(w), lambda i: F.hash(F.slice(w, i, size))))))
+    lowest = F.slice(F.sort_array(F.coalesce(hashed, F.array().cast("array<int>"))), 1, SKETCH)
+    return docs.select("text_key", lowest.alias("lowest")).dropDuplicates(["text_key"])
 
 
 def near_duplicate_links(docs: DataFrame, rows: DataFrame, similar: float = SIMILAR, size: int = VERIFY_SHINGLE) -> DataFrame:
@@ -268,13 +271,13 @@ def near_duplicate_links(docs: DataFrame, rows: DataFrame, similar: float = SIMI
     proposals = keep(proposals.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = keep(proposals.select("a").union(proposals.select("b")).distinct().join(rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")), F.col("a") == F.col("text_key")).select("text_key", "doc_id"))
     keyed = docs.select(F.xxhash64(text_or_empty()).alias("text_key"), "text", F.col("doc_id").cast("bigint").alias("of")).join(small(wanted), "text_key")
-    sets = keep(_shingle_sets(keyed.where(F.col("of").eqNullSafe(F.col("doc_id"))), size))
+    sets = keep(_sketches(keyed.where(F.col("of").eqNullSafe(F.col("doc_id"))), size))
     pairs = proposals
     for end in "ab":
-        pairs = pairs.join(sets.select(F.col("text_key").alias(end), F.col("shingles").alias(f"of_{end}")), end)
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    either = F.size("of_a") + F.size("of_b") - common
-    return pairs.where((either == 0) | (common >= F.lit(similar) * either)).select("a", "b")
+        pairs = pairs.join(sets.select(F.col("text_key").alias(end), F.col("lowest").alias(f"of_{end}")), end)
+    lowest = F.slice(F.sort_array(F.array_union("of_a", "of_b")), 1, SKETCH)
+    common = F.size(F.array_intersect(lowest, F.array_intersect("of_a", "of_b")))
+    return pairs.where(common >= F.lit(similar) * F.size(lowest)).select("a", "b")
 
 
 def near_deduplicate(docs: DataFrame, similar: float = SIMILAR, size: int = VERIFY_SHINGLE) -> DataFrame:
