@@ -88,15 +88,28 @@ def with_fingerprints(docs: DataFrame, size: int = SHINGLE, seeds: tuple[int, ..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes: list[list[int]] = [[] for _ in seeds]
-            counts = []
+            done: list[list[np.ndarray]] = [[] for _ in seeds]
+            pending: list[list[np.ndarray]] = [[] for _ in seeds]
+            counts: list[int] = []
+
+            def flush() -> None:
+                for into, parts in zip(done, pending, strict=True):
+                    into.append(fingerprints(np.concatenate([*parts, np.empty(0, "<u8")]), np.array(counts, dtype=np.int64)).view(np.int64))
+                    parts.clear()
+                counts.clear()
+
+            held = 0
             for value in batch.column(2):
-                words = ascii_words(value.as_py())
-                parts = shingles(words, size)
+                parts = shingles(ascii_words(value.as_py()), size)
                 counts.append(len(parts))
-                for seed, into in zip(seeds, hashes, strict=True):
-                    into.extend([xxhash.xxh64_intdigest(part, seed) for part in parts])
-            made = [fingerprints(np.array(h, dtype="<u8"), np.array(counts, dtype=np.int64)).view(np.int64) for h in hashes]
+                for seed, into in zip(seeds, pending, strict=True):
+                    into.append(np.fromiter((xxhash.xxh64_intdigest(part, seed) for part in parts), dtype="<u8", count=len(parts)))
+                held += len(parts)
+                if held >= AT_ONCE:  # the words of a batch are never held together
+                    flush()
+                    held = 0
+            flush()
+            made = [np.concatenate(parts) for parts in done]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, made)], names=["doc_id", "text_key", *names])
 
     schema = "doc_id bigint, text_key bigint, " + ", ".join(f"{n} bigint" for n in names)
