@@ -179,7 +179,18 @@ def _smallest(size: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.n
     return label
 
 
-def _compare(bits: int):
+def _noting_closest(prints: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], closest: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Passes pairs on and leaves in ``closest`` every row's partner of the fewest differing bits, the lowest of several. A block has a row once on each side."""
+    differ = np.full(len(prints), 65)
+    for a, b in pairs:
+        apart = np.bitwise_count(prints[a] ^ prints[b]).astype(np.int64)
+        for row, other in ((a, b), (b, a)):
+            better = (apart < differ[row]) | ((apart == differ[row]) & (other < closest[row]))
+            closest[row[better]], differ[row[better]] = other[better], apart[better]
+        yield a, b
+
+
+def _compare(bits: int, closest_too: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in itertools.chain(batches, [None]):
@@ -203,20 +214,26 @@ def _compare(bits: int):
             key, pair, part = (now.column(c).to_numpy() for c in ("k", "pair", "part"))
             prints = now.column("f").to_numpy().view(np.uint64)
             groups = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))])
-            label = _smallest(len(groups), _pairs_of(groups, prints, part, bits))
-            linked = np.nonzero(label != np.arange(len(label)))[0]
-            if len(linked):
-                made = prints.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(made[linked]), pa.array(made[label[linked]])], names=["a", "b"])
+            pairs = _pairs_of(groups, prints, part, bits)
+            own = np.arange(len(groups))
+            closest = own.copy()
+            label = _smallest(len(groups), _noting_closest(prints, pairs, closest) if closest_too else pairs)
+            made = prints.view(np.int64)
+            for to in (label, closest):
+                linked = np.nonzero(to != own)[0]
+                if len(linked):
+                    yield pa.RecordBatch.from_arrays([pa.array(made[linked]), pa.array(made[to[linked]])], names=["a", "b"])
 
     return run
 
 
-def fingerprint_links(prints: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+def fingerprint_links(prints: DataFrame, bits: int = BITS, block: int = BLOCK, closest_too: bool = False) -> DataFrame:
     """Links (a, b) that connect all of the distinct fingerprints ``f`` which are joined by pairs at ``bits`` or fewer differing bits.
 
     Exact: every such pair is connected, directly or over others, and every link joins
-    a pair connected by such pairs. Nulls are left out.
+    a pair connected by such pairs. With ``closest_too`` each fingerprint also gets a link to its
+    closest partner under each key, at most one more for each. The links don't depend on
+    the order of rows. Nulls are left out.
     """
     distinct = prints.where("f IS NOT NULL").select("f").distinct()
     keyed = distinct.select("f", F.explode(_keys(bits)).alias("k"))
@@ -236,8 +253,8 @@ def fingerprint_links(prints: DataFrame, bits: int = BITS, block: int = BLOCK) -
         )
         # rows of a chunk that meet another chunk carry their number, those that meet their own carry -1
         rows = found.where("chunks IS NULL").select("k", F.lit(0).alias("pair"), F.lit(-1).alias("part"), "f").union(split)
-    dealt = rows.repartition("k", "pair").sortWithinPartitions("k", "pair")
-    return dealt.mapInArrow(_compare(bits), "a bigint, b bigint").distinct()
+    dealt = rows.repartition("k", "pair").sortWithinPartitions("k", "pair", "f")
+    return dealt.mapInArrow(_compare(bits, closest_too), "a bigint, b bigint").distinct()
 
 
 def simhash_components(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, seed: int = SEED, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -268,7 +285,7 @@ def near_duplicate_links(docs: DataFrame, rows: DataFrame, similar: float = SIMI
     """Links (a, b) between text keys whose sets of ``size``-word shingles have a Jaccard similarity of ``similar`` or more.
 
     Proposed by SimHash of single words, which a few changed words hardly move: a text meets
-    the smallest of its part under each seed and each table, so its number of proposals
+    the smallest and the closest of its part under each seed and each table, so its number of proposals
     is bounded by their number and not by the size of its group. Proposals are then verified.
     """
     columns = [c for c in rows.columns if c.startswith("f")]
@@ -276,7 +293,7 @@ def near_duplicate_links(docs: DataFrame, rows: DataFrame, similar: float = SIMI
     for column in columns:
         nodes = rows.groupBy(F.col(column).alias("f")).agg(F.min("text_key").alias("rep"))
         alike = rows.select("text_key", F.col(column).alias("f")).join(nodes, "f").where("text_key <> rep").select(F.col("rep").alias("a"), F.col("text_key").alias("b"))
-        near = fingerprint_links(rows.select(F.col(column).alias("f")))
+        near = fingerprint_links(rows.select(F.col(column).alias("f")), closest_too=True)
         for end in "ab":
             near = near.join(nodes.select(F.col("f").alias(end), F.col("rep").alias(f"rep_{end}")), end)
         both = alike.union(near.select("rep_a", "rep_b"))

@@ -80,6 +80,15 @@ def test_split_keys_find_the_same_links(spark):
         assert _classes(values, links) == want
 
 
+def test_closest_partners_whatever_the_order_of_rows(spark):
+    first, second, third = values = [0x10, 0x10 ^ 0x7, 0x10 ^ 0x7 ^ 0x600]
+    found = []
+    for parts in (1, 5):
+        frame = spark.createDataFrame([(v,) for v in values[:: 1 if parts == 1 else -1]], "f bigint").repartition(parts)
+        found.append({(r.a, r.b) for r in simhash.fingerprint_links(frame, closest_too=True).collect()})
+    assert found[0] == found[1] and {(third, second), (first, second)} <= found[0]
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7), (None, 3)], "a bigint, b bigint")
     roots = {r.node: r.root for r in connected_components(links).collect()}
