@@ -93,14 +93,14 @@ def _(i: Inputs):
 
 @query(
     "R4_embed_chunks",
-    "SELECT doc_id, chunk_index, count(*) AS filled, round(sum(CAST(v AS DOUBLE) * v), 6) AS size, round(sum(CAST(v AS DOUBLE) * (place + 1)), 6) + 0e0 AS weighted FROM v_cvec WHERE v <> 0 GROUP BY ALL",
+    "SELECT doc_id, chunk_index, count(*) FILTER (v <> 0) AS filled, round(sum(CAST(v AS DOUBLE) * v), 6) AS size, round(sum(CAST(v AS DOUBLE) * (place + 1)), 6) + 0e0 AS weighted FROM (SELECT doc_id, chunk_index, coalesce(v, 0) AS v, coalesce(place, 0) AS place FROM v_chunk LEFT JOIN v_cvec USING (doc_id, chunk_index)) GROUP BY ALL",
 )
 def _(i: Inputs):
     vectors = models.embed(i.chunks().select("doc_id", "chunk_index", "text"))
     entry = F.col("x").cast("double")
-    rows = vectors.select("doc_id", "chunk_index", F.posexplode("embedding").alias("place", "x")).filter("x != 0")
+    rows = vectors.select("doc_id", "chunk_index", F.posexplode("embedding").alias("place", "x"))
     return rows.groupBy("doc_id", "chunk_index").agg(
-        F.count("*").alias("filled"), F.round(F.sum(entry * entry), 6).alias("size"), F.round(F.sum(entry * (F.col("place") + 1)), 6).alias("weighted")
+        F.count_if(F.col("x") != 0).alias("filled"), F.round(F.sum(entry * entry), 6).alias("size"), F.round(F.sum(entry * (F.col("place") + 1)), 6).alias("weighted")
     )
 
 
@@ -294,7 +294,7 @@ def _(i: Inputs):
       (SELECT count(*) FROM v_dense d WHERE d.query_id = q.query_id) AS dense_count,
       (SELECT count(*) FROM v_bm25 d WHERE d.query_id = q.query_id) AS sparse_count,
       (SELECT count(*) FROM v_fused d WHERE d.query_id = q.query_id) AS fused_count,
-      (SELECT count(*) FROM v_floor d WHERE d.query_id = q.query_id) AS rerank_count,
+      (SELECT count(*) FROM v_rerank d WHERE d.query_id = q.query_id) AS rerank_count,
       (SELECT count(*) FROM listing d WHERE d.query_id = q.query_id AND rank <= 15) AS enum_docs,
       (SELECT CAST(coalesce(max(k_used), -1) AS INT) FROM v_cut d WHERE d.query_id = q.query_id) AS topk_used
     FROM v_question q""",
@@ -304,7 +304,7 @@ def _(i: Inputs):
     questions = i.questions()
     variants = questions.select("query_id", F.lit(0).alias("variant"), F.col("question").alias("text"))
     found, sparse, merged = retrieval.candidates(variants, questions, i.corpus())
-    reranked = ranking.confidence_floor(i.results("hybrid", False), FLOOR)
+    reranked = i.results("hybrid", False)  # as ranked, before the floor
     listing = retrieval.listing_docs(i.list_questions(), i.docs(), i.grants())
     stats = retrieval.retrieval_stats(variants, found, sparse, merged, reranked, i.cut(), listing)
     return stats.withColumn("topk_used", F.coalesce("topk_used", F.lit(-1)))

@@ -52,8 +52,12 @@ def hot_questions_stream(stream: DataFrame, n: int = HOT_ASKS, window_seconds: i
 
 
 def dedup_stream(stream: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Arriving documents (file_hash, ts) that neither the corpus nor the recent stream holds."""
-    fresh = stream.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark(["file_hash"])
+    """Arriving documents (file_hash, ts) that neither the corpus nor the stream so far holds.
+
+    The state keeps every hash of the stream for good, however late its copy arrives; it is
+    dealt by hash and grows with the distinct hashes.
+    """
+    fresh = stream.dropDuplicates(["file_hash"])
     return fresh.join(corpus.select("file_hash").distinct(), "file_hash", "left_anti")
 
 
