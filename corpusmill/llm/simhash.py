@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import let
-from corpusmill.llm.common import keep, small, text_or_empty
+from corpusmill.llm.common import keep, scratch_path, small, text_or_empty
 from corpusmill.llm.components import connected_components
 from corpusmill.llm.decontaminate import ascii_lower
 
@@ -44,6 +44,8 @@ VERIFY_SHINGLE = 5
 SIMILAR = 0.8
 #: Hashes by which similarity is verified.
 SKETCH = 256
+#: Hashes of a first test, and the share of them that both texts must hold: fewer happen to a pair at ``SIMILAR`` 3 times in a million.
+FIRST, FIRST_SHARE = 16, 0.3
 #: Hashes whose bits are counted at a time.
 AT_ONCE = 200_000
 
@@ -273,12 +275,36 @@ def simhash_components(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, s
 
 
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(text_key, lowest): the ``SKETCH`` lowest hashes of each distinct text's word shingles, all of them where there are fewer; a shorter text is one shingle, a wordless one has none."""
+    """(text_key, doc_id, lowest, few): the ``SKETCH`` and the ``FIRST`` lowest hashes of each row's word shingles, all of them where there are fewer; a shorter text is one shingle, a wordless one has none.
+
+    Written to the shared folder in the scan of the texts, so no text is shuffled and later steps read only the columns they need.
+    """
     words = F.array_remove(F.split(ascii_lower(text_or_empty()), r"[ \t\n\x0B\f\r]+"), "")
     starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1)))
     hashed = let(words, lambda w: F.when(F.size(w) > 0, F.array_distinct(F.transform(starts(w), lambda i: F.hash(F.slice(w, i, size))))))
     lowest = F.slice(F.sort_array(F.coalesce(hashed, F.array().cast("array<int>"))), 1, SKETCH)
-    return docs.select("text_key", lowest.alias("lowest")).dropDuplicates(["text_key"])
+    rows = docs.select(F.xxhash64(text_or_empty()).alias("text_key"), F.col("doc_id").cast("bigint").alias("doc_id"), lowest.alias("lowest"))
+    rows = rows.withColumn("few", F.slice("lowest", 1, FIRST))
+    path = scratch_path(docs.sparkSession, "sketches")
+    rows.write.parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _of_texts(sketches: DataFrame, texts: DataFrame, column: str) -> DataFrame:
+    """(text_key, ``column``) once for each of ``texts`` (text_key, doc_id), from the row of that document; copies of a text meet in no key."""
+    wanted = texts.select("text_key", F.col("doc_id").alias("of"))
+    own = sketches.select("text_key", "doc_id", column).withColumnRenamed("text_key", "key")
+    met = own.join(wanted, (F.col("key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    return met.select("text_key", column).dropDuplicates(["text_key"])
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, column: str, hashes: int, share: float) -> DataFrame:
+    """Pairs (a, b) of which at least ``share`` of the ``hashes`` lowest hashes of both texts together are in both."""
+    for end in "ab":
+        pairs = pairs.join(sets.select(F.col("text_key").alias(end), F.col(column).alias(f"of_{end}")), end)
+    lowest = F.slice(F.sort_array(F.array_union("of_a", "of_b")), 1, hashes)
+    common = F.size(F.array_intersect(lowest, F.array_intersect("of_a", "of_b")))
+    return pairs.where(common >= F.lit(share) * F.size(lowest)).select("a", "b")
 
 
 def near_duplicate_links(docs: DataFrame, rows: DataFrame, similar: float = SIMILAR, size: int = VERIFY_SHINGLE) -> DataFrame:
@@ -286,7 +312,8 @@ def near_duplicate_links(docs: DataFrame, rows: DataFrame, similar: float = SIMI
 
     Proposed by SimHash of single words, which a few changed words hardly move: a text meets
     the smallest and the closest of its part under each seed and each table, so its number of proposals
-    is bounded by their number and not by the size of its group. Proposals are then verified.
+    is bounded by their number and not by the size of its group. Proposals are then verified: most
+    fall at a first test on few hashes, and only the rest carry whole sketches.
     """
     columns = [c for c in rows.columns if c.startswith("f")]
     proposals = None
@@ -299,15 +326,11 @@ def near_duplicate_links(docs: DataFrame, rows: DataFrame, similar: float = SIMI
         both = alike.union(near.select("rep_a", "rep_b"))
         proposals = both if proposals is None else proposals.union(both)
     proposals = keep(proposals.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    wanted = keep(proposals.select("a").union(proposals.select("b")).distinct().join(rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")), F.col("a") == F.col("text_key")).select("text_key", "doc_id"))
-    keyed = docs.select(F.xxhash64(text_or_empty()).alias("text_key"), "text", F.col("doc_id").cast("bigint").alias("of")).join(small(wanted), "text_key")
-    sets = keep(_sketches(keyed.where(F.col("of").eqNullSafe(F.col("doc_id"))), size))
-    pairs = proposals
-    for end in "ab":
-        pairs = pairs.join(sets.select(F.col("text_key").alias(end), F.col("lowest").alias(f"of_{end}")), end)
-    lowest = F.slice(F.sort_array(F.array_union("of_a", "of_b")), 1, SKETCH)
-    common = F.size(F.array_intersect(lowest, F.array_intersect("of_a", "of_b")))
-    return pairs.where(common >= F.lit(similar) * F.size(lowest)).select("a", "b")
+    sketches = _sketches(docs, size)
+    texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
+    first = keep(_alike(proposals, _of_texts(sketches, texts, "few"), "few", FIRST, FIRST_SHARE * similar / SIMILAR))
+    left = first.select(F.col("a").alias("text_key")).union(first.select("b")).distinct()
+    return _alike(first, _of_texts(sketches, texts.join(left, "text_key"), "lowest"), "lowest", SKETCH, similar)
 
 
 def near_deduplicate(docs: DataFrame, similar: float = SIMILAR, size: int = VERIFY_SHINGLE) -> DataFrame:
