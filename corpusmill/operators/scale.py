@@ -145,9 +145,16 @@ def _own_folder(application: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a fresh local one only if unset."""
+    """The folder that ``spark.checkpoint.dir`` names, which all executors share.
+
+    Only a local master, where all tasks run on one machine, may go without one and gets a fresh folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or _own_folder(spark.sparkContext.applicationId)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder(spark.sparkContext.applicationId)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

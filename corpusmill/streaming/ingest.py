@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusmill.functions.text import is_blank
 from corpusmill.operators.chunking import build_chunks_text
-from corpusmill.operators.lexical import index_rows
+from corpusmill.operators.lexical import CARRIED, CHUNK_KEY, index_rows
 from corpusmill.operators.maintenance import dedup_exact, file_hash
 from corpusmill.operators.models import BatchModel, embed
 from corpusmill.operators.scale import small_side, stage
@@ -62,7 +62,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, out_dir: str, model: BatchMode
         "chunks": chunks,
         "parents": parents,
         "postings": index_rows(chunks),
-        "vectors": embed(chunks.select("doc_id", "chunk_index", "text"), model=model).drop("text"),
+        "vectors": embed(chunks.select(*CHUNK_KEY, *[c for c in CARRIED if c in chunks.columns], "text"), model=model).drop("text"),
         # Last: a document counts as known only when everything else of its batch is written.
         "documents": outcome,
     }

@@ -1,8 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import chunking, maintenance
+from corpusmill.operators.scale import shared_folder
 from corpusmill.sources import files, golden, index_store, tables
 from corpusmill.streaming import ingest
 
@@ -99,3 +101,17 @@ def test_ingest_stream_is_incremental_and_isolates_failures(spark, tmp_path):
     # A batch that runs again replaces its own output.
     ingest.ingest_batch(spark.createDataFrame([row(4, "alpha " * 100), row(5, "beta")], ingest.STAGED), 1, out)
     assert spark.read.parquet(f"{out}/documents").count() == 5
+
+
+def test_stages_need_a_shared_folder_on_a_cluster():
+    class Session:
+        def __init__(self, master, folder):
+            self.conf = {"spark.checkpoint.dir": folder}
+            self.sparkContext = type("Context", (), {"master": master, "applicationId": "app"})
+
+    assert shared_folder(Session("spark://host:7077", "hdfs:///shared")) == "hdfs:///shared"
+    assert shared_folder(Session("local[4]", None))
+    with pytest.raises(ValueError):
+        shared_folder(Session("spark://host:7077", None))
+    with pytest.raises(ValueError):
+        shared_folder(Session("local-cluster[2,1,1024]", None))
