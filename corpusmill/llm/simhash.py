@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import let
@@ -42,10 +42,10 @@ BLOCK = 4096
 PROPOSE_SEEDS = (42, 43, 44)
 VERIFY_SHINGLE = 5
 SIMILAR = 0.8
-#: Hashes by which similarity is verified.
-SKETCH = 256
-#: Hashes of a first test, and the share of them that both texts must hold: fewer happen to a pair at ``SIMILAR`` 3 times in a million.
-FIRST, FIRST_SHARE = 16, 0.3
+#: Hashes that settle clear cases: an estimate further than ``CLEAR`` from the similarity asked for is six standard errors off.
+SKETCH, CLEAR = 256, 0.15
+#: Hashes of a first test, and the share of them that both texts must hold: fewer happen to a pair at ``SIMILAR`` less than once in a thousand million.
+FIRST, FIRST_SHARE = 32, 0.3
 #: Hashes whose bits are counted at a time.
 AT_ONCE = 200_000
 
@@ -192,30 +192,36 @@ def _noting_closest(prints: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.nda
         yield a, b
 
 
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables that cut no (k, pair) in two, of batches sorted by it, with the number of each row's (k, pair)."""
+    rest = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            frame = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+            if not frame.num_rows:
+                continue
+            key = frame.column("k").to_numpy()
+            pair = frame.column("pair").to_numpy()
+            # the rows of the last key may go on in the next batch
+            changes = np.nonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))[0]
+            if not len(changes):
+                rest = frame.to_batches()[0]
+                continue
+            cut = int(changes[-1]) + 1
+            now, rest = frame.slice(0, cut), frame.slice(cut).combine_chunks().to_batches()[0]
+        elif rest is not None:
+            now, rest = pa.Table.from_batches([rest]), None
+        else:
+            return
+        key, pair = (now.column(c).to_numpy() for c in ("k", "pair"))
+        yield now, np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))])
+
+
 def _compare(bits: int, closest_too: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                frame = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
-                if not frame.num_rows:
-                    continue
-                key = frame.column("k").to_numpy()
-                pair = frame.column("pair").to_numpy()
-                # the rows of the last key may go on in the next batch
-                changes = np.nonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))[0]
-                if not len(changes):
-                    rest = frame.to_batches()[0]
-                    continue
-                cut = int(changes[-1]) + 1
-                now, rest = frame.slice(0, cut), frame.slice(cut).combine_chunks().to_batches()[0]
-            elif rest is not None:
-                now, rest = pa.Table.from_batches([rest]), None
-            else:
-                return
-            key, pair, part = (now.column(c).to_numpy() for c in ("k", "pair", "part"))
+        for now, groups in _whole_keys(batches):
+            part = now.column("part").to_numpy()
             prints = now.column("f").to_numpy().view(np.uint64)
-            groups = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))])
             pairs = _pairs_of(groups, prints, part, bits)
             own = np.arange(len(groups))
             closest = own.copy()
@@ -229,34 +235,39 @@ def _compare(bits: int, closest_too: bool):
     return run
 
 
-def fingerprint_links(prints: DataFrame, bits: int = BITS, block: int = BLOCK, closest_too: bool = False) -> DataFrame:
-    """Links (a, b) that connect all of the distinct fingerprints ``f`` which are joined by pairs at ``bits`` or fewer differing bits.
-
-    Exact: every such pair is connected, directly or over others, and every link joins
-    a pair connected by such pairs. With ``closest_too`` each fingerprint also gets a link to its
-    closest partner under each key, at most one more for each. The links don't depend on
-    the order of rows. Nulls are left out.
-    """
-    distinct = prints.where("f IS NOT NULL").select("f").distinct()
-    keyed = distinct.select("f", F.explode(_keys(bits)).alias("k"))
+def _dealt(keyed: DataFrame, own: str, block: int) -> DataFrame:
+    """``keyed`` with ``pair`` and ``part``, dealt and sorted by (k, pair): a key of more than ``block`` rows is split into pairs of chunks, by the hash of ``own``."""
+    columns = keyed.columns
     crowded = keep(keyed.groupBy("k").count().where(F.col("count") > block).select("k", F.ceil(F.col("count") / block).cast("int").alias("chunks")))
-    rows = keyed.select("k", F.lit(0).alias("pair"), F.lit(-1).alias("part"), "f")
+    whole = (F.lit(0).alias("pair"), F.lit(-1).alias("part"))
+    rows = keyed.select(*columns, *whole)
     if not crowded.isEmpty():
         found = keyed.join(small(crowded), "k", "left")
-        mine = F.pmod(F.xxhash64("f"), F.col("chunks")).cast("int")
+        mine = F.pmod(F.xxhash64(own), F.col("chunks")).cast("int")
         # chunk x of n meets every other chunk once and itself: the pairs (x, y) with x <= y
         other = F.explode(F.expr("sequence(0, chunks - 1)"))
-        split = found.where("chunks IS NOT NULL").select("k", "f", "chunks", mine.alias("mine"), other.alias("other"))
+        split = found.where("chunks IS NOT NULL").select(*columns, "chunks", mine.alias("mine"), other.alias("other"))
         split = split.select(
-            "k",
+            *columns,
             (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other") + 1).cast("int").alias("pair"),
             F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")).alias("part"),
-            "f",
         )
         # rows of a chunk that meet another chunk carry their number, those that meet their own carry -1
-        rows = found.where("chunks IS NULL").select("k", F.lit(0).alias("pair"), F.lit(-1).alias("part"), "f").union(split)
-    dealt = rows.repartition("k", "pair").sortWithinPartitions("k", "pair", "f")
-    return dealt.mapInArrow(_compare(bits, closest_too), "a bigint, b bigint").distinct()
+        rows = found.where("chunks IS NULL").select(*columns, *whole).union(split)
+    return rows.repartition("k", "pair").sortWithinPartitions("k", "pair", own)
+
+
+def fingerprint_links(prints: DataFrame, bits: int = BITS, block: int = BLOCK, closest_too: bool = False) -> DataFrame:
+    """Links (a, b) that connect all of the distinct fingerprints ``f`` which are joined by pairs at ``bits`` or fewer differing bits.
+
+    Exact: every such pair is connected, directly or over others, and every link joins
+    a pair connected by such pairs. With ``closest_too`` each fingerprint also gets a link to its
+    closest partner under each key, at most one more for each. The links don't depend on
+    the order of rows. Nulls are left out.
+    """
+    distinct = prints.where("f IS NOT NULL").select("f").distinct()
+    keyed = distinct.select("f", F.explode(_keys(bits)).alias("k"))
+    return _dealt(keyed, "f", block).mapInArrow(_compare(bits, closest_too), "a bigint, b bigint").distinct()
 
 
 def simhash_components(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, seed: int = SEED, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -274,50 +285,83 @@ def simhash_components(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, s
     return marked.join(classes, "f", "left").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder by columns, which takes less of it than ``keep``."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(text_key, doc_id, lowest, few): the ``SKETCH`` and the ``FIRST`` lowest hashes of each row's word shingles, all of them where there are fewer; a shorter text is one shingle, a wordless one has none.
+    """(text_key, doc_id, n, few, lowest, rest): the number of each row's distinct word shingle hashes, the ``FIRST`` and the ``SKETCH`` lowest, and those after them; a shorter text is one shingle, a wordless one has none.
 
     Written to the shared folder in the scan of the texts, so no text is shuffled and later steps read only the columns they need.
     """
     words = F.array_remove(F.split(ascii_lower(text_or_empty()), r"[ \t\n\x0B\f\r]+"), "")
     starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1)))
     hashed = let(words, lambda w: F.when(F.size(w) > 0, F.array_distinct(F.transform(starts(w), lambda i: F.hash(F.slice(w, i, size))))))
-    lowest = F.slice(F.sort_array(F.coalesce(hashed, F.array().cast("array<int>"))), 1, SKETCH)
-    rows = docs.select(F.xxhash64(text_or_empty()).alias("text_key"), F.col("doc_id").cast("bigint").alias("doc_id"), lowest.alias("lowest"))
-    rows = rows.withColumn("few", F.slice("lowest", 1, FIRST))
-    path = scratch_path(docs.sparkSession, "sketches")
-    rows.write.parquet(path)
-    return docs.sparkSession.read.schema(rows.schema).parquet(path)
-
-
-def _of_texts(sketches: DataFrame, texts: DataFrame, column: str) -> DataFrame:
-    """(text_key, ``column``) once for each of ``texts`` (text_key, doc_id), from the row of that document; copies of a text meet in no key."""
-    wanted = texts.select("text_key", F.col("doc_id").alias("of"))
-    own = sketches.select("text_key", "doc_id", column).withColumnRenamed("text_key", "key")
+    in_order = F.sort_array(F.coalesce(hashed, F.array().cast("array<int>")))
+    parts = lambda s: F.struct(
+        F.size(s).alias("n"), F.slice(s, 1, FIRST).alias("few"), F.slice(s, 1, SKETCH).alias("lowest"), F.slice(s, SKETCH + 1, F.greatest(F.size(s) - SKETCH, F.lit(0))).alias("rest")
+    )
+    # inline() makes the hashes once for all columns
+    rows = docs.select(F.xxhash64(text_or_empty()).alias("text_key"), F.col("doc_id").cast("bigint").alias("doc_id"), F.inline(F.array(let(in_order, parts))))
+    return _stored(rows, "sketches")
+
+
+def _of_texts(sketches: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
+    """(text_key, ``columns``) once for each of ``texts`` (text_key, doc_id), from the row of that document; copies of a text meet in no key."""
+    wanted = small(texts.select("text_key", F.col("doc_id").alias("of")))
+    own = sketches.select("text_key", "doc_id", *columns).withColumnRenamed("text_key", "key")
     met = own.join(wanted, (F.col("key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("of")))
-    return met.select("text_key", column).dropDuplicates(["text_key"])
+    return met.select("text_key", *columns).dropDuplicates(["text_key"])
+
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(text_key): every text of the pairs once."""
+    return pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct()
 
-def _alike(pairs: DataFrame, sets: DataFrame, column: str, hashes: int, share: float) -> DataFrame:
-    """Pairs (a, b) of which at least ``share`` of the ``hashes`` lowest hashes of both texts together are in both."""
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` with ``of_a`` and ``of_b``, the hashes ``s`` of both texts."""
     for end in "ab":
-        pairs = pairs.join(sets.select(F.col("text_key").alias(end), F.col(column).alias(f"of_{end}")), end)
-    lowest = F.slice(F.sort_array(F.array_union("of_a", "of_b")), 1, hashes)
-    common = F.size(F.array_intersect(lowest, F.array_intersect("of_a", "of_b")))
-    return pairs.where(common >= F.lit(share) * F.size(lowest)).select("a", "b")
+        pairs = pairs.join(sets.select(F.col("text_key").alias(end), F.col("s").alias(f"of_{end}"), *([F.col("n").alias(f"n_{end}")] if "n" in sets.columns else [])), end)
+    return pairs
 
 
-def near_duplicate_links(docs: DataFrame, rows: DataFrame, similar: float = SIMILAR, size: int = VERIFY_SHINGLE) -> DataFrame:
-    """Links (a, b) between text keys whose sets of ``size``-word shingles have a Jaccard similarity of ``similar`` or more.
+def _share(hashes: int | None = None) -> Column:
+    """The share of the hashes of two texts together that both have, of all or of the ``hashes`` lowest; 1 if there are none."""
+    union = F.array_union("of_a", "of_b")
+    common = F.array_intersect("of_a", "of_b")
+    if hashes:
+        union = F.slice(F.sort_array(union), 1, hashes)
+        common = F.array_intersect(union, common)
+    return F.when(F.size(union) == 0, 1.0).otherwise(F.size(common) / F.size(union))
 
-    Proposed by SimHash of single words, which a few changed words hardly move: a text meets
-    the smallest and the closest of its part under each seed and each table, so its number of proposals
-    is bounded by their number and not by the size of its group. Proposals are then verified: most
-    fall at a first test on few hashes, and only the rest carry whole sketches.
+
+def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets of shingle hashes have a Jaccard similarity of ``similar`` or more.
+
+    Most pairs fall at a first test on few hashes. Sketches settle what is further than ``CLEAR`` from
+    ``similar``, and all of texts that they hold whole; the other pairs are compared on whole sets.
     """
-    columns = [c for c in rows.columns if c.startswith("f")]
+    at_least = similar - 1e-9
+    few = _of_texts(sketches, texts, "few").withColumnRenamed("few", "s")
+    first = keep(_with_sets(pairs, few).where(_share(FIRST) >= FIRST_SHARE * similar / SIMILAR).select("a", "b"))
+    lowest = _of_texts(sketches, texts.join(_ends(first), "text_key"), "lowest", "n").withColumnRenamed("lowest", "s")
+    held = (F.col("n_a") <= SKETCH) & (F.col("n_b") <= SKETCH)
+    judged = _with_sets(first, lowest).select("a", "b", held.alias("held"), F.when(held, _share()).otherwise(_share(SKETCH)).alias("share"))
+    judged = keep(judged.where(F.when(F.col("held"), F.col("share") >= at_least).otherwise(F.col("share") >= similar - CLEAR)))
+    settled = F.col("held") | (F.col("share") >= similar + CLEAR)
+    unclear = judged.where(~settled).select("a", "b")
+    whole = _of_texts(sketches, texts.join(_ends(unclear), "text_key"), "lowest", "rest").select("text_key", F.concat("lowest", "rest").alias("s"))
+    return judged.where(settled).select("a", "b").union(_with_sets(unclear, whole).where(_share() >= at_least).select("a", "b"))
+
+
+def _simhash_proposals(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts with equal or close fingerprints of single words: each with the smallest and the closest of its part."""
     proposals = None
-    for column in columns:
+    for column in [c for c in rows.columns if c.startswith("f")]:
         nodes = rows.groupBy(F.col(column).alias("f")).agg(F.min("text_key").alias("rep"))
         alike = rows.select("text_key", F.col(column).alias("f")).join(nodes, "f").where("text_key <> rep").select(F.col("rep").alias("a"), F.col("text_key").alias("b"))
         near = fingerprint_links(rows.select(F.col(column).alias("f")), closest_too=True)
@@ -325,12 +369,20 @@ def near_duplicate_links(docs: DataFrame, rows: DataFrame, similar: float = SIMI
             near = near.join(nodes.select(F.col("f").alias(end), F.col("rep").alias(f"rep_{end}")), end)
         both = alike.union(near.select("rep_a", "rep_b"))
         proposals = both if proposals is None else proposals.union(both)
-    proposals = keep(proposals.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    sketches = _sketches(docs, size)
-    texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
-    first = keep(_alike(proposals, _of_texts(sketches, texts, "few"), "few", FIRST, FIRST_SHARE * similar / SIMILAR))
-    left = first.select(F.col("a").alias("text_key")).union(first.select("b")).distinct()
-    return _alike(first, _of_texts(sketches, texts.join(left, "text_key"), "lowest"), "lowest", SKETCH, similar)
+    return proposals
+
+
+def near_duplicate_links(docs: DataFrame, rows: DataFrame, similar: float = SIMILAR, size: int = VERIFY_SHINGLE) -> DataFrame:
+    """Links (a, b) between text keys whose sets of ``size``-word shingles have a Jaccard similarity of ``similar`` or more.
+
+    Proposed by SimHash of single words, which a few changed words hardly move: a text meets
+    the smallest and the closest of its part under each seed and each table, so its number of proposals
+    is bounded by their number and not by the size of its group. Proposals are then verified.
+    """
+    texts = keep(rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")))
+    proposals = _simhash_proposals(rows).where("a <> b")
+    proposals = keep(proposals.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return verified(proposals, _sketches(docs, size), texts, similar)
 
 
 def near_deduplicate(docs: DataFrame, similar: float = SIMILAR, size: int = VERIFY_SHINGLE) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force, SQL and edge cases."""
 
 import hashlib
+import random
 import re
 import sys
 from pathlib import Path
@@ -106,6 +107,23 @@ def test_near_dedup(spark, odd):
     assert simhash.near_deduplicate(odd.limit(0)).count() == 0
 
 
+def _alike(a, b, size=5):
+    a, b = ({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for w in (a.split(), b.split()))
+    return len(a & b) >= 0.8 * len(a | b) - 1e-9
+
+
+def test_near_dedup_is_exact_beyond_sketches(spark):
+    pick = random.Random(2)
+    rows = []
+    for i in range(40):  # similarities on both sides of 0.8, near it
+        base = [f"u{pick.randrange(10**9)}" for _ in range(1500)]
+        more = (330, 420)[i % 2]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + [f"u{pick.randrange(10**9)}" for _ in range(more)]))]
+    want = [i for i, _ in rows if i % 2 == 0 or not _alike(rows[i - 1][1], rows[i][1])]
+    kept = simhash.near_deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert len(want) == 60 and sorted(r.doc_id for r in kept.collect()) == want
+
+
 def test_simhash_edges(odd):
     got = simhash.simhash_components(odd).collect()
     zero = [r for r in got if r.fingerprint == "0" * 16]
