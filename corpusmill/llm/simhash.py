@@ -46,6 +46,8 @@ SIMILAR = 0.8
 SKETCH, CLEAR = 256, 0.15
 #: Hashes of a first test, and the share of them that both texts must hold: fewer happen to a pair at ``SIMILAR`` less than once in a thousand million.
 FIRST, FIRST_SHARE = 32, 0.3
+#: Texts of the sample that says which hashes are common, in how many of them a common one is, and the bound of their number.
+SAMPLE, OFTEN, COMMON = 4_000, 4, 100_000
 #: Hashes whose bits are counted at a time.
 AT_ONCE = 200_000
 
@@ -358,6 +360,87 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similar: f
     return judged.where(settled).select("a", "b").union(_with_sets(unclear, whole).where(_share() >= at_least).select("a", "b"))
 
 
+def _common_hashes(sketches: DataFrame, texts: DataFrame) -> list[int]:
+    """Hashes that are in many texts of a sample by text key, the rarest first: no more than ``COMMON``, whatever the corpus."""
+    sample = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(max(1, texts.count() // SAMPLE))) == 0)
+    hashes = _of_texts(sketches, sample, "lowest", "rest").select(F.explode(F.concat("lowest", "rest")).alias("h"))
+    top = hashes.groupBy("h").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(COMMON)
+    return [r["h"] for r in sorted(top.collect(), key=lambda r: (r["count"], r["h"]))]
+
+
+def _prefixes(common: list[int], similar: float):
+    """Each text's first hashes in one order for all texts: rare ones by value, then the common ones by how often they come.
+
+    Texts of n and m hashes, alike by ``similar`` or more, share that part of the larger, so
+    their first n - ⌈similar · n⌉ + 1 and m - ⌈similar · m⌉ + 1 have one in common.
+    """
+    values = np.array(common, dtype=np.int32)
+    by_value = np.argsort(values)
+    ordered = values[by_value]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # copies in a batch have the same rows
+            batch = batch.take(pa.array(np.unique(batch.column(0).to_numpy(), return_index=True)[1]))
+            keys, numbers = (batch.column(i).to_numpy() for i in (0, 1))
+            hashes = batch.column(2).flatten().to_numpy()
+            row = np.repeat(np.arange(len(numbers)), numbers)
+            rank = np.zeros(len(hashes), dtype=np.int64)
+            if len(ordered):
+                at = np.minimum(np.searchsorted(ordered, hashes), len(ordered) - 1)
+                rank = np.where(ordered[at] == hashes, by_value[at] + 1, 0)
+            order = np.lexsort((hashes, rank, row))
+            place = np.arange(len(hashes)) - np.repeat(np.cumsum(numbers) - numbers, numbers)
+            prefix = numbers - np.ceil(similar * numbers - 1e-9).astype(np.int64) + 1
+            taken = place < prefix[row]
+            row, place, hashes = row[taken], place[taken], hashes[order][taken]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(keys[row]), pa.array(numbers[row].astype(np.int32)), pa.array(place.astype(np.int32))], names=["k", "text_key", "n", "at"])
+
+    return run
+
+
+def _shared_prefixes(sketches: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """(k, text_key, n, at, rep): prefix hashes that two texts or more have; the number of the text's hashes, the place of this one, and the (text_key, n, at) of the smallest text that has it.
+
+    One shuffle by hash; a hash of one text alone goes in its task and is never stored.
+    """
+    dealt = sketches.select("text_key", "n", F.concat("lowest", "rest").alias("s")).mapInArrow(_prefixes(_common_hashes(sketches, texts), similar), "k int, text_key bigint, n int, at int").repartition("k")
+    ends = dealt.groupBy("k").agg(F.min(F.struct("text_key", "n", "at")).alias("rep"), F.max("text_key").alias("last"))
+    several = ends.where("rep.text_key <> last").drop("last")
+    return _stored(dealt.join(several.hint("merge"), "k").dropDuplicates(["k", "text_key"]), "prefixes")
+
+
+def _can_be_alike(n: Column, at: Column, m: Column, place: Column, similar: float) -> Column:
+    """Whether texts of ``n`` and ``m`` hashes that share one at these places can have enough in common before and after it."""
+    most = F.least(at, place) + 1 + F.least(n - at - 1, m - place - 1)
+    return (F.least(n, m) >= F.greatest(n, m) * similar - 1e-9) & (most * (1 + similar) >= (n + m) * similar - 1e-9)
+
+
+def _across(similar: float):
+    """Pairs of texts of different roots under one hash that sizes and places allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for now, groups in _whole_keys(batches):
+            keys, numbers, at, roots, part = (now.column(c).to_numpy().astype(np.int64) for c in ("text_key", "n", "at", "root", "part"))
+            order = np.lexsort((numbers, groups))
+            groups, keys, numbers, at, roots, part = (x[order] for x in (groups, keys, numbers, at, roots, part))
+            active = np.arange(len(keys) - 1)
+            for shift in range(1, len(keys)):
+                active = active[active + shift < len(keys)]
+                other = active + shift
+                active = active[(groups[active] == groups[other]) & (numbers[active] >= similar * numbers[other] - 1e-9)]
+                if not len(active):
+                    break
+                a, b = active, active + shift
+                most = np.minimum(at[a], at[b]) + 1 + np.minimum(numbers[a] - at[a], numbers[b] - at[b]) - 1
+                real = (roots[a] != roots[b]) & ((part[a] != part[b]) | (part[a] < 0)) & (most * (1 + similar) >= similar * (numbers[a] + numbers[b]) - 1e-9)
+                if real.any():
+                    a, b = keys[a[real]], keys[b[real]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
+
+
 def _simhash_proposals(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of texts with equal or close fingerprints of single words: each with the smallest and the closest of its part."""
     proposals = None
@@ -372,17 +455,28 @@ def _simhash_proposals(rows: DataFrame) -> DataFrame:
     return proposals
 
 
-def near_duplicate_links(docs: DataFrame, rows: DataFrame, similar: float = SIMILAR, size: int = VERIFY_SHINGLE) -> DataFrame:
-    """Links (a, b) between text keys whose sets of ``size``-word shingles have a Jaccard similarity of ``similar`` or more.
+def near_duplicate_links(docs: DataFrame, rows: DataFrame, similar: float = SIMILAR, size: int = VERIFY_SHINGLE, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect all text keys whose sets of ``size``-word shingles have a Jaccard similarity of ``similar`` or more.
 
-    Proposed by SimHash of single words, which a few changed words hardly move: a text meets
-    the smallest and the closest of its part under each seed and each table, so its number of proposals
-    is bounded by their number and not by the size of its group. Proposals are then verified.
+    Every link is such a pair. Cheap proposals come first: SimHash of single words, and for
+    each hash of a text's prefix the smallest text that has it too. What these connect is one
+    class. Then all texts that share a prefix hash and are of different classes are
+    compared, so no pair is missed and pairs inside a large group of copies are not listed.
     """
     texts = keep(rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")))
-    proposals = _simhash_proposals(rows).where("a <> b")
+    sketches = _sketches(docs, size)
+    shared = _shared_prefixes(sketches, texts, similar)
+    stars = shared.where(_can_be_alike(F.col("n"), F.col("at"), F.col("rep.n"), F.col("rep.at"), similar)).select(F.col("rep.text_key").alias("a"), F.col("text_key").alias("b"))
+    proposals = _simhash_proposals(rows).union(stars).where("a <> b")
     proposals = keep(proposals.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return verified(proposals, _sketches(docs, size), texts, similar)
+    found = keep(verified(proposals, sketches, texts, similar))
+    roots = connected_components(found).select(F.col("node").alias("text_key"), "root")
+    classed = shared.drop("rep").join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
+    classed = _stored(classed, "classes")
+    mixed = classed.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k")
+    open_rows = _stored(classed.join(mixed, "k"), "open")
+    rest = _dealt(open_rows, "text_key", block).mapInArrow(_across(similar), "a bigint, b bigint").distinct()
+    return found.union(verified(keep(rest.join(proposals, ["a", "b"], "left_anti")), sketches, texts, similar))
 
 
 def near_deduplicate(docs: DataFrame, similar: float = SIMILAR, size: int = VERIFY_SHINGLE) -> DataFrame:

@@ -112,6 +112,27 @@ def _alike(a, b, size=5):
     return len(a & b) >= 0.8 * len(a | b) - 1e-9
 
 
+def test_near_dedup_finds_every_pair(spark):
+    pick = random.Random(1)
+    fresh = lambda n: [f"u{pick.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(15):  # appended, cut and reworded copies
+        base = fresh(100)
+        spots = pick.sample(range(8, 92), 2)
+        texts += [base, base + fresh(10), base + fresh(20), base[18:], [f"{w}x" if i in spots else w for i, w in enumerate(base)], base[:60] + fresh(40)]
+    group = fresh(100)  # and the same inside a large group
+    texts += [[*group[:i], f"g{i}", *group[i + 1 :]] for i in range(100)] + [group + fresh(n) for n in (15, 20, 25)] + [group[n:] for n in (15, 19, 25)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = _classes(range(len(rows)), [(a, b) for a, s in rows for b, t in rows if a < b and _alike(s, t)])
+    for block in (16, simhash.BLOCK):
+        frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+        marked = simhash.with_fingerprints(frame, 1, simhash.PROPOSE_SEEDS)
+        ids = {r.text_key: r.doc_id for r in marked.collect()}
+        links = [(ids[r.a], ids[r.b]) for r in simhash.near_duplicate_links(frame, marked, block=block).collect()]
+        assert all(_alike(rows[a][1], rows[b][1]) for a, b in links) and _classes(range(len(rows)), links) == want
+    assert sorted(r.doc_id for r in simhash.near_deduplicate(frame).collect()) == sorted(set(want.values()))
+
+
 def test_near_dedup_is_exact_beyond_sketches(spark):
     pick = random.Random(2)
     rows = []
