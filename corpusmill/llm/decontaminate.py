@@ -104,7 +104,7 @@ def _posted(terms: list[str], window: int) -> Callable[[Column], Column]:
 
 
 def phrase_places(docs: DataFrame, queries: DataFrame, window: int = WINDOW, lists: int = LISTS) -> DataFrame:
-    """(text_key, start, length, ids): every occurrence of every query in the texts of ``docs``, stored."""
+    """(text_key, start, length, ids): every occurrence of every query in the texts of ``docs``, stored once whatever the copies of a text."""
     terms = queries.select("wid", F.posexplode("words").alias("off", "term"))
     counts = keep(term_counts(docs, terms))
     rarest = _rarest(terms, "wid", counts, lists)
@@ -127,13 +127,17 @@ def phrase_places(docs: DataFrame, queries: DataFrame, window: int = WINDOW, lis
         exact = met.where(F.slice("around", start - F.col("low") + 1, F.size("words")) == F.col("words"))
         exact = exact.select("text_key", start.alias("start"), F.size("words").alias("length"), "ids")
         found = exact if found is None else found.union(exact)
-    return keep(found)
+    # text, start and length say which window it is, and so its ids
+    return keep(found.dropDuplicates(["text_key", "start", "length"]))
 
 
 def _by_text(places: DataFrame) -> DataFrame:
     """(_text_key, n_hit, hit_items, hits): what is hit in each text that has any place; as many rows as such texts."""
-    spans = F.array_sort(F.collect_set(F.struct("start", "length")))
-    grouped = places.groupBy(F.col("text_key").alias("_text_key")).agg(spans.alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("hit_items"))
+    spans = places.groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("hits"))
+    # an item is collected once for a text, however many of its windows are there; one without an id is in no list
+    ids = places.select("text_key", F.explode("ids").alias("id")).distinct().groupBy("text_key").agg(F.array_sort(F.collect_list("id")).alias("hit_items"))
+    none = F.array().cast("array<string>")
+    grouped = spans.join(ids, "text_key", "left").select(F.col("text_key").alias("_text_key"), "hits", F.coalesce("hit_items", none).alias("hit_items"))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(p["start"], p["start"] + p["length"] - 1))))
     return grouped.select("_text_key", F.size(covered).cast("bigint").alias("n_hit"), "hit_items", "hits")
 

@@ -172,6 +172,17 @@ def test_decontamination(spark, odd):
     assert decontaminate.contamination(odd.limit(0), items).count() == 0
 
 
+def test_places_of_copies_are_stored_once(spark):
+    items = spark.createDataFrame([(7, ROWS[0][1]), (8, ROWS[0][1]), (None, ROWS[0][1])], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, ROWS[0][1]) for i in range(40)], "doc_id bigint, text string").repartition(4)
+    places = decontaminate.phrase_places(docs.select("text"), decontaminate.phrase_queries(items))
+    assert sorted((r.start, r.length, sorted(r.ids)) for r in places.collect()) == [(0, 10, ["7", "8"]), (1, 10, ["7", "8"])]
+    got = decontaminate.contamination(docs, items).collect()
+    assert len(got) == 40 and {(r.n_hit, tuple(r.hit_items), len(r.hits)) for r in got} == {(11, ("7", "8"), 2)}
+    nameless = decontaminate.contamination(docs, items.where("item_id IS NULL")).collect()
+    assert {(r.n_hit, tuple(r.hit_items), r.contaminated) for r in nameless} == {(11, (), True)}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x alpha y gamma z beta delta"), (2, "alpha " + "q " * 80 + "beta gamma delta")], "doc_id bigint, text string")
     items = spark.createDataFrame([(5, "delta gamma beta alpha")], "item_id bigint, text string")
