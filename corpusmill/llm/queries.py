@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontaminate, packing, pii, rules, secrets, simhash, slots, toxicity, url_trust, weak_labels
+from corpusmill.llm import conversation_trie, decontaminate, exact_dedup, merkle, packing, pii, rules, secrets, simhash, slots, toxicity, url_trust, weak_labels
 from corpusmill.llm.common import table
 from corpusmill.session import ship_package
 
@@ -169,3 +169,92 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+#: A list of 256 numbers by which a checksum goes on by one byte, and the unsigned checksum of digits with it.
+CRC_TABLE_SQL = """crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM
+    (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) x(i)))"""
+CRC_SQL = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({0}::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, crc.t[1 + (xor(c, b) & 255)])), 4294967295)"""
+
+
+def _op11_sql(levels: int = 9, top_levels: int = 6) -> str:
+    """The levels of the trees one after the other, and every row's fold along them."""
+    leaf = "sha256(" + " || ".join(f"coalesce(strlen({{{i}}}::VARCHAR) || ':' || {{{i}}}::VARCHAR, '-')" for i in range(len(merkle.FIELDS))) + ")"
+    leaf_of = leaf.format("doc_id", "source", "lang", "n_chars", "text")
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    own = f"CASE WHEN {CRC_SQL.format('doc_id')} % 3 = 0 THEN {leaf.format('doc_id', 'source', 'lang', 'n_chars', lowered)} ELSE {leaf_of} END"
+
+    def climb(tag: str, number: int) -> str:
+        made = []
+        for k in range(number):
+            made.append(
+                f"{tag}g{k} AS MATERIALIZED (SELECT tree, pos // 8 AS pos, list(dig ORDER BY pos) AS kids, max(n) > 1 AS grows "
+                f"FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {tag}n{k}) GROUP BY tree, pos // 8)"
+            )
+            made.append(f"{tag}n{k + 1} AS MATERIALIZED (SELECT tree, pos, CASE WHEN grows THEN sha256(array_to_string(kids, '')) ELSE kids[1] END AS dig FROM {tag}g{k})")
+            slot = f"kids[1:p.pos % 8], {{0}}, kids[p.pos % 8 + 2:]"
+            made.append(
+                f"{tag}p{k + 1} AS MATERIALIZED (SELECT r, g.tree, g.pos, CASE WHEN grows THEN sha256(array_to_string(flatten([{slot.format('[own]')}]), '')) ELSE own END AS own, "
+                f"proof || CASE WHEN grows THEN array_to_string(flatten([{slot.format('[]')}]), '') ELSE '' END AS proof "
+                f"FROM {tag}p{k} p JOIN {tag}g{k} g ON p.tree = g.tree AND p.pos // 8 = g.pos)"
+            )
+        return ",\n".join(made)
+
+    return rf"""
+WITH {CRC_TABLE_SQL},
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, {leaf_of} AS dig, {own} AS own FROM documents, crc),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, dig, r) - 1 AS pos FROM d),
+an0 AS (SELECT tree, pos, dig FROM placed),
+ap0 AS (SELECT r, tree, pos, own, '' AS proof FROM placed),
+{climb("a", levels)},
+bn0 AS (SELECT 0 AS tree, tree AS pos, dig FROM an{levels}),
+bp0 AS (SELECT r, 0 AS tree, tree AS pos, own, proof FROM ap{levels}),
+{climb("b", top_levels)}
+SELECT doc_id, placed.dig AS leaf, an{levels}.dig AS subroot, bn{top_levels}.dig AS root, sha256(bp{top_levels}.proof) AS proof_sha256,
+    bp{top_levels}.own AS folded_root, bp{top_levels}.own = bn{top_levels}.dig AS verified
+FROM placed JOIN an{levels} USING (tree) JOIN bp{top_levels} USING (r), bn{top_levels}
+"""
+
+
+@query("op11_merkle", _op11_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.audit(table(spark, folder, "documents"))
+
+
+@query(
+    "op13_exact_dedup",
+    """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t),
+o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST, r) AS place FROM d)
+SELECT doc_id, keep_id, group_size::BIGINT AS group_size, place = 1 AS kept, sha256(t) AS text_sha256 FROM o JOIN g USING (t)
+""",
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.duplicate_groups(table(spark, folder, "documents"), smallest=False)
+
+
+@query(
+    "op12_prefix_trie",
+    rf"""
+WITH {CRC_TABLE_SQL},
+rows_of AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, dig) AS i, dig, chars
+    FROM (SELECT conv_id, turn, sha256(strlen(role) || ':' || role || text) AS dig, length(text) AS chars FROM rows_of)),
+convs AS MATERIALIZED (SELECT c, {CRC_SQL.format("c")} % 6 AS h, c - c % 100 AS base FROM (SELECT DISTINCT c FROM t), crc),
+heads AS (SELECT convs.c, any_value(h) AS h, count(t.c) AS hb FROM convs LEFT JOIN t ON t.c = base AND i <= h GROUP BY convs.c),
+whole AS (SELECT convs.c, i AS d, dig, chars FROM convs JOIN t ON t.c = base AND i <= h
+    UNION ALL SELECT c, i - h + hb, dig, chars FROM heads JOIN t USING (c) WHERE i > h),
+keyed AS MATERIALIZED (SELECT c, d, chars, string_agg(dig, '') OVER (PARTITION BY c ORDER BY d) AS k FROM whole UNION ALL SELECT c, 0, 0, '' FROM convs),
+nodes AS MATERIALIZED (SELECT k, d, min(c) AS conv_id, count(*) AS n, max(chars) AS chars FROM keyed GROUP BY k, d),
+kids AS MATERIALIZED (SELECT left(k, 64 * (d - 1)) AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+spread AS (SELECT unnest(range(0, d + 1)) AS a, nodes.k, (n - 1) * chars AS saved, kids.k IS NULL AS leaf FROM nodes LEFT JOIN kids USING (k)),
+sums AS (SELECT left(k, 64 * a) AS k, sum(saved) AS saved, count(*) FILTER (leaf) AS leaves FROM spread GROUP BY 1),
+ends AS (SELECT k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(k, d) AS k FROM keyed GROUP BY c) GROUP BY k)
+SELECT nodes.conv_id, nodes.d::BIGINT AS depth, up.conv_id AS parent_conv_id, nodes.n::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+    leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes JOIN sums USING (k) LEFT JOIN kids USING (k) LEFT JOIN ends USING (k) LEFT JOIN nodes up ON nodes.d > 0 AND up.k = left(nodes.k, 64 * (nodes.d - 1))
+""",
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, folder, "conversations"))
