@@ -33,7 +33,8 @@ def _taken(whole: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
     """One entry for each stretch of equal ones: its first row, with the sizes added up."""
     sizes = np.add.reduceat(whole.column("size").to_numpy(), starts)
     first = whole.take(pa.array(starts))
-    return first.set_column(first.schema.get_field_index("size"), "size", pa.array(sizes)).combine_chunks().to_batches()[0]
+    place = first.schema.get_field_index("size")
+    return first.set_column(place, first.schema.field(place), pa.array(sizes)).combine_chunks().to_batches()[0]
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
