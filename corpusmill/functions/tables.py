@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import let, strip
+from corpusmill.functions.text import begins, groups, let, strip
 
 
 def grid_to_markdown(grid: Column) -> Column:
@@ -51,34 +51,8 @@ def _split_lines(markdown: Column, lines: Column, max_chars: int, max_rows: int)
 
 
 def _pieces(lines: Column, head: Column, max_chars: int, max_rows: int) -> Column:
-    head_chars = F.length(head) - 1
-    start = F.struct(
-        F.array().cast("array<string>").alias("done"),
-        F.array().cast("array<string>").alias("rows"),
-        head_chars.alias("chars"),
-    )
-
-    def piece(rows: Column) -> Column:
-        return F.concat(head, F.lit("\n"), F.array_join(rows, "\n"))
-
-    def add(state: Column, row: Column) -> Column:
-        used = F.size(state["rows"])
-        full = (used > 0) & ((state["chars"] + F.length(row) + 1 > max_chars) | (used >= max_rows))
-        closed = F.struct(
-            F.concat(state["done"], F.array(piece(state["rows"]))).alias("done"),
-            F.array(row).alias("rows"),
-            (head_chars + F.length(row) + 1).alias("chars"),
-        )
-        grown = F.struct(
-            state["done"].alias("done"),
-            F.concat(state["rows"], F.array(row)).alias("rows"),
-            (state["chars"] + F.length(row) + 1).alias("chars"),
-        )
-        return F.when(full, closed).otherwise(grown)
+    def cut(rows: Column) -> Column:
+        first = begins(F.transform(rows, lambda row: F.length(row) + 1), max_chars, F.length(head) - 1, max_rows)
+        return F.transform(let(first, lambda f: groups(rows, f)), lambda piece: F.concat(head, F.lit("\n"), F.array_join(piece, "\n")))
 
-    return F.aggregate(
-        F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))),
-        start,
-        add,
-        lambda s: F.when(F.size(s["rows"]) > 0, F.concat(s["done"], F.array(piece(s["rows"])))).otherwise(s["done"]),
-    )
+    return let(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), cut)

@@ -166,3 +166,39 @@ def contains_keyword(col: Column, keyword: str, wildcards: bool = False) -> Colu
     if wildcards:
         return col.ilike(f"%{keyword}%")
     return F.contains(F.lower(col), F.lit(keyword.lower()))
+
+
+# Elements of an array that one fold takes; folds over more go block by block, so that what they gather is copied seldom.
+FOLD = 256
+
+
+def begins(sizes: Column, limit: Column | int, base: Column | int = 0, most: int | None = None) -> Column:
+    """array<boolean>: which elements begin a group, if groups take them in order while ``base`` and their sizes stay within ``limit``.
+
+    A group has one element at least and no more than ``most``. Work grows with the number of elements.
+    """
+    limit, base = (c if isinstance(c, Column) else F.lit(c) for c in (limit, base))
+
+    def state(chars: Column, used: Column, out: Column) -> Column:
+        return F.struct(chars.cast("int").alias("chars"), used.cast("int").alias("used"), out.alias("out"))
+
+    def step(s: Column, size: Column) -> Column:
+        full = (s["used"] == 0) | (s["chars"] + size > limit)
+        if most is not None:
+            full = full | (s["used"] >= most)
+        return state(F.when(full, base + size).otherwise(s["chars"] + size), F.when(full, 1).otherwise(s["used"] + 1), F.concat(s["out"], F.array(full)))
+
+    none = F.array().cast("array<boolean>")
+
+    def block(s: Column, some: Column) -> Column:
+        folded = F.aggregate(some, state(s["chars"], s["used"], none), step)
+        return let(folded, lambda r: state(r["chars"], r["used"], F.concat(s["out"], r["out"])))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / FOLD).cast("int")), lambda b: F.slice(sizes, b * FOLD + 1, FOLD))
+    return F.when(F.size(sizes) > 0, F.aggregate(blocks, state(F.lit(0), F.lit(0), none), block, lambda s: s["out"])).otherwise(none)
+
+
+def groups(items: Column, first: Column) -> Column:
+    """``items`` as an array of arrays that begin where ``first`` is true; each group is cut out once."""
+    starts = F.filter(F.transform(first, lambda f, i: F.when(f, i)), lambda i: i.isNotNull())
+    return let(starts, lambda at: F.transform(at, lambda s, j: F.slice(items, s + 1, F.coalesce(F.get(at, j + 1), F.size(items)) - s)))

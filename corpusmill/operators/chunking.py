@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.tables import split_table
-from corpusmill.functions.text import is_blank, let, slices, strip
+from corpusmill.functions.text import begins, groups, is_blank, let, slices, strip
 
 CHILD_SIZE, CHILD_OVERLAP = 300, 30
 PARENT_SIZE, PARENT_OVERLAP = 1500, 150
@@ -66,88 +66,38 @@ def atomic_units(elements: Column, child_size: int = CHILD_SIZE) -> Column:
     """Elements as array<struct<kind, text, page>> of indivisible units.
 
     Short text is packed while its total stays within ``child_size``; longer text
-    is cut into slices of that size; tables are split by rows only.
+    is cut into slices of that size; tables are split by rows only. Where units
+    begin is found from sizes alone, and their texts are put together once.
     """
-    empty = F.array().cast("array<string>")
-    start = F.struct(
-        F.array().cast(f"array<{UNIT}>").alias("units"),
-        empty.alias("held"),
-        F.lit(0).alias("chars"),
-        F.lit(None).cast("int").alias("page"),
-    )
 
     def unit(kind: str, text: Column, page: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), text.alias("text"), page.cast("int").alias("page"))
 
-    def closed(state: Column) -> Column:
-        packed = unit("text", F.array_join(state["held"], "\n\n"), state["page"])
-        return F.when(F.size(state["held"]) > 0, F.concat(state["units"], F.array(packed))).otherwise(state["units"])
-
-    def state_of(units: Column, held: Column, chars: Column, page: Column) -> Column:
-        return F.struct(units.alias("units"), held.alias("held"), chars.alias("chars"), page.cast("int").alias("page"))
+    def shaped(element: Column) -> Column:
+        text = F.coalesce(element["text"], F.lit(""))
+        packs = (element["kind"] == "image") | (F.length(text) < child_size)
+        how = F.when(element["kind"] == "table", "table").when(is_blank(text), "blank").when(packs, "packed").otherwise("long")
+        return F.struct(how.alias("how"), text.alias("text"), element["page"].alias("page"))
 
-    def emit(state: Column, pieces: Column) -> Column:
-        return state_of(F.concat(closed(state), pieces), empty, F.lit(0), F.lit(None))
+    def units_of(group: Column) -> Column:
+        one = F.get(group, F.lit(0))
+        table = F.transform(F.filter(split_table(strip(one["text"])), lambda p: ~is_blank(p)), lambda p: unit("table", p, one["page"]))
+        long = F.transform(slices(one["text"], child_size), lambda p: unit("text", p, one["page"]))
+        page = F.get(F.filter(F.transform(group, lambda e: e["page"]), lambda p: p.isNotNull()), F.lit(0))
+        packed = F.array(unit("text", F.array_join(F.transform(group, lambda e: e["text"]), "\n\n"), page))
+        return F.when(one["how"] == "table", table).when(one["how"] == "long", long).otherwise(packed)
 
-    def step(state: Column, element: Column) -> Column:
-        text = F.coalesce(element["text"], F.lit(""))
-        page = element["page"]
-        table = F.transform(
-            F.filter(split_table(strip(text)), lambda p: ~is_blank(p)), lambda p: unit("table", p, page)
-        )
-        long = F.transform(slices(text, child_size), lambda p: unit("text", p, page))
-        fits = (F.size(state["held"]) == 0) | (state["chars"] + F.length(text) <= child_size)
-        packed = F.when(
-            fits,
-            state_of(
-                state["units"],
-                F.concat(state["held"], F.array(text)),
-                state["chars"] + F.length(text),
-                F.coalesce(state["page"], page),
-            ),
-        ).otherwise(state_of(closed(state), F.array(text), F.length(text), page))
-        return (
-            F.when(element["kind"] == "table", emit(state, table))
-            .when(is_blank(text), state)
-            .when((element["kind"] == "image") | (F.length(text) < child_size), packed)
-            .otherwise(emit(state, long))
-        )
+    def all_units(kept: Column) -> Column:
+        # A table or a long text is over the limit by itself, so nothing is packed with it.
+        sizes = F.transform(kept, lambda e: F.when(e["how"] == "packed", F.length(e["text"])).otherwise(child_size + 1))
+        return F.flatten(F.transform(let(begins(sizes, child_size), lambda f: groups(kept, f)), units_of)).cast(f"array<{UNIT}>")
 
-    return F.aggregate(elements, start, step, closed)
+    return let(F.filter(F.transform(elements, shaped), lambda e: e["how"] != "blank"), all_units)
 
 
 def parent_windows(units: Column, parent_size: int = PARENT_SIZE) -> Column:
     """Units packed in order into array<array<unit>>; no unit crosses a window."""
-    start = F.struct(
-        F.array().cast(f"array<array<{UNIT}>>").alias("done"),
-        F.array().cast(f"array<{UNIT}>").alias("open"),
-        F.lit(0).alias("chars"),
-    )
-
-    def step(state: Column, unit: Column) -> Column:
-        size = F.length(unit["text"])
-        full = (F.size(state["open"]) > 0) & (state["chars"] + size > parent_size)
-        return F.when(
-            full,
-            F.struct(
-                F.concat(state["done"], F.array(state["open"])).alias("done"),
-                F.array(unit).alias("open"),
-                size.alias("chars"),
-            ),
-        ).otherwise(
-            F.struct(
-                state["done"].alias("done"),
-                F.concat(state["open"], F.array(unit)).alias("open"),
-                (state["chars"] + size).alias("chars"),
-            )
-        )
-
-    return F.aggregate(
-        units,
-        start,
-        step,
-        lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]),
-    )
+    return let(units, lambda us: let(begins(F.transform(us, lambda u: F.length(u["text"])), parent_size), lambda f: groups(us, f)))
 
 
 def split_text(text: str, size: int, overlap: int) -> list[str]:

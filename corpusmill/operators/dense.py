@@ -49,46 +49,30 @@ def visible(queries: pd.DataFrame, vectors: pd.DataFrame) -> np.ndarray:
     return mask
 
 
-class _Best:
-    """Running best k per query over blocks of vectors."""
+class TopK:
+    """Running best k per query over blocks of rows, by distance and then by key."""
 
-    def __init__(
-        self, queries: pd.DataFrame, keys: list[str], carried: list[str], k: int, max_distance: float, metric: str, mask: Mask
-    ):
-        self.queries = queries.reset_index(drop=True)
-        self.matrix = np.stack(self.queries["embedding"]).astype(np.float64)
-        self.norms = (self.matrix**2).sum(axis=1)
-        self.keys, self.carried, self.k, self.metric, self.mask = keys, carried, k, metric, mask
-        self.bound = np.full(len(queries), max_distance)
+    def __init__(self, query_ids: np.ndarray, keys: list[str], carried: list[str], k: int, max_distance: float = math.inf):
+        self.query_ids, self.keys, self.carried, self.k = query_ids, keys, carried, k
+        self.bound = np.full(len(query_ids), max_distance, dtype=np.float64)
         self.parts: list[pd.DataFrame] = []
         self.rows = 0
 
-    def add(self, vectors: pd.DataFrame) -> None:
-        if not len(vectors):
-            return
-        vectors = vectors.sort_values(self.keys, ignore_index=True)
-        block = np.stack(vectors["embedding"]).astype(np.float64)
-        product = self.matrix @ block.T
-        if self.metric == "cosine":
-            lengths = np.sqrt(np.outer(self.norms, (block**2).sum(axis=1)))
-            distance = 1.0 - product / np.where(lengths == 0, 1.0, lengths)
-        else:
-            distance = np.maximum(self.norms[:, None] + (block**2).sum(axis=1)[None, :] - 2 * product, 0.0)
-        distance = np.round(distance, DIGITS)
-        distance[~self.mask(self.queries, vectors)] = np.inf
-        limit = self.bound
-        if block.shape[0] > self.k:
+    def take(self, distance: np.ndarray, rows: pd.DataFrame, queries: np.ndarray | None = None) -> None:
+        """A block of distances (queries by rows, infinite where a pair doesn't count); ``rows`` are in key order, ``queries`` names those of the block."""
+        limit = self.bound if queries is None else self.bound[queries]
+        if distance.shape[1] > self.k:
             limit = np.minimum(limit, np.partition(distance, self.k - 1, axis=1)[:, self.k - 1])
-        # At most k per query: of many equal vectors, those first in key order.
+        # At most k per query: of many equal rows, those first in key order.
         nearer = distance < limit[:, None]
         equal = (distance == limit[:, None]) & np.isfinite(distance)
         room = self.k - nearer.sum(axis=1)
-        query, vector = np.nonzero(nearer | (equal & (np.cumsum(equal, axis=1) <= room[:, None])))
-        part = vectors[[*self.keys, *self.carried]].iloc[vector].reset_index(drop=True)
-        part["_query"], part["distance"] = query, distance[query, vector]
+        query, row = np.nonzero(nearer | (equal & (np.cumsum(equal, axis=1) <= room[:, None])))
+        part = rows[[*self.keys, *self.carried]].iloc[row].reset_index(drop=True)
+        part["_query"], part["distance"] = query if queries is None else queries[query], distance[query, row]
         self.parts.append(part)
         self.rows += len(part)
-        if self.rows > 8 * self.k * len(self.queries):
+        if self.rows > 8 * self.k * len(self.query_ids):
             self.prune()
 
     def prune(self) -> None:
@@ -104,10 +88,38 @@ class _Best:
             return None
         self.prune()
         out = self.parts[0]
-        out.insert(0, "query_id", self.queries["query_id"].to_numpy()[out["_query"]])
+        out.insert(0, "query_id", self.query_ids[out["_query"]])
         return out.drop(columns="_query")
 
 
+class _Best(TopK):
+    """The best k of blocks of vectors for a batch of query vectors."""
+
+    def __init__(
+        self, queries: pd.DataFrame, keys: list[str], carried: list[str], k: int, max_distance: float, metric: str, mask: Mask
+    ):
+        self.queries = queries.reset_index(drop=True)
+        super().__init__(self.queries["query_id"].to_numpy(), keys, carried, k, max_distance)
+        self.matrix = np.stack(self.queries["embedding"]).astype(np.float64)
+        self.norms = (self.matrix**2).sum(axis=1)
+        self.metric, self.mask = metric, mask
+
+    def add(self, vectors: pd.DataFrame) -> None:
+        if not len(vectors):
+            return
+        vectors = vectors.sort_values(self.keys, ignore_index=True)
+        block = np.stack(vectors["embedding"]).astype(np.float64)
+        product = self.matrix @ block.T
+        if self.metric == "cosine":
+            lengths = np.sqrt(np.outer(self.norms, (block**2).sum(axis=1)))
+            distance = 1.0 - product / np.where(lengths == 0, 1.0, lengths)
+        else:
+            distance = np.maximum(self.norms[:, None] + (block**2).sum(axis=1)[None, :] - 2 * product, 0.0)
+        distance = np.round(distance, DIGITS)
+        distance[~self.mask(self.queries, vectors)] = np.inf
+        self.take(distance, vectors)
+
+
 def nearest(
     queries: DataFrame,
     vectors: DataFrame,
@@ -193,21 +205,34 @@ def dense_search(
         plain = vectors.select(*keys, *(carry or []), "embedding")
         return nearest(queries.select("query_id", "embedding"), plain, keys, k, max_distance,
                        query_block=query_block, vector_block=vector_block, carry=carry)
-    number = lambda c, default: F.coalesce(F.col(c).cast("long"), F.lit(default)).alias(c)
-    asked = queries.select(
-        "query_id",
-        "embedding",
-        F.coalesce("is_admin", F.lit(False)).alias("is_admin"),
-        number("user_id", -2),
-        number("caller_tenant", -2),
-        F.coalesce(F.nullif(F.col("clearance").cast("long"), F.lit(0)), F.lit(1)).alias("clearance"),
-    )
-    assert set(CONTEXT) <= set(asked.columns)
-    stored = vectors.select(
-        *keys, *(carry or []), *([] if "doc_id" in keys else ["doc_id"]), "embedding", "doc_level",
-        number("owner_id", -1), number("tenant_id", -1), number("min_level", 1),
-    )
+    asked, stored = with_rights(queries, vectors, [*keys, *(carry or [])])
     return nearest(
         asked, stored, keys, k, max_distance, mask=visible, query_block=query_block, vector_block=vector_block,
         prepare=lambda rows, batch, by: attach_grants(rows, acl, batch, by), carry=carry,
     )
+
+
+def caller_columns() -> list:
+    """The caller's context as ``visible`` reads it: ids that no row has where they are missing."""
+    return [
+        F.coalesce("is_admin", F.lit(False)).alias("is_admin"),
+        _number("user_id", -2),
+        _number("caller_tenant", -2),
+        F.coalesce(F.nullif(F.col("clearance").cast("long"), F.lit(0)), F.lit(1)).alias("clearance"),
+    ]
+
+
+def rights_columns() -> list:
+    """The rights of a stored row as ``visible`` reads them."""
+    return ["doc_level", _number("owner_id", -1), _number("tenant_id", -1), _number("min_level", 1)]
+
+
+def _number(name: str, default: int):
+    return F.coalesce(F.col(name).cast("long"), F.lit(default)).alias(name)
+
+
+def with_rights(queries: DataFrame, vectors: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Queries with their caller's context, and vectors with ``columns`` and the rights of their documents."""
+    asked = queries.select("query_id", "embedding", *caller_columns())
+    assert set(CONTEXT) <= set(asked.columns)
+    return asked, vectors.select(*columns, *([] if "doc_id" in columns else ["doc_id"]), "embedding", *rights_columns())

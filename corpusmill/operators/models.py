@@ -17,16 +17,20 @@ from pyspark.sql import functions as F
 
 BatchModel = Callable[[pd.Series], pd.Series]
 
-EMBED_BATCH = 16
-DIMENSIONS = 64
+# Texts a call of a model that is given, and of the default one, which keeps its words for the whole task.
+EMBED_BATCH, LOCAL_BATCH = 16, 4096
+DIMENSIONS, KNOWN_WORDS = 64, 200_000
 WORD = re.compile(r"[^\W_]+")
 
 
 def hashing_embedder(dimensions: int = DIMENSIONS) -> BatchModel:
     """Signed feature hashing of lower-case words, scaled to unit length."""
 
+    places: dict[str, tuple[int, int]] = {}
+
     def embed_texts(texts: pd.Series) -> pd.Series:
-        places: dict[str, tuple[int, int]] = {}
+        if len(places) > KNOWN_WORDS:
+            places.clear()
         rows = []
         for text in texts:
             vector = np.zeros(dimensions)
@@ -43,19 +47,21 @@ def hashing_embedder(dimensions: int = DIMENSIONS) -> BatchModel:
     return embed_texts
 
 
-def _in_quarters(model: BatchModel, texts: pd.Series) -> pd.Series:
-    """One call; if it fails, calls of a quarter of the size, and single texts must succeed."""
+def _in_quarters(model: BatchModel, texts: pd.Series, skip: bool = False) -> pd.Series:
+    """One call; if it fails, calls of a quarter of the size. A single text must succeed, or is left empty with ``skip``."""
     try:
         return model(texts)
     except Exception:
         if len(texts) <= 1:
+            if skip:
+                return pd.Series([None] * len(texts), index=texts.index, dtype=object)
             raise
         step = max(1, len(texts) // 4)
-        return pd.concat([_in_quarters(model, texts.iloc[i : i + step]) for i in range(0, len(texts), step)])
+        return pd.concat([_in_quarters(model, texts.iloc[i : i + step], skip) for i in range(0, len(texts), step)])
 
 
-def model_column(model: BatchModel, col: Column, result: str, batch: int) -> Column:
-    """``model`` over a text column, called with at most ``batch`` texts at a time."""
+def model_column(model: BatchModel, col: Column, result: str, batch: int, skip: bool = False) -> Column:
+    """``model`` over a text column, called with at most ``batch`` texts at a time; ``skip`` leaves null for a text that it fails on."""
 
     @F.pandas_udf(result)
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -63,14 +69,18 @@ def model_column(model: BatchModel, col: Column, result: str, batch: int) -> Col
             if len(texts) == 0:
                 yield pd.Series([], dtype=object)
                 continue
-            yield pd.concat([_in_quarters(model, texts.iloc[i : i + batch]) for i in range(0, len(texts), batch)])
+            yield pd.concat([_in_quarters(model, texts.iloc[i : i + batch], skip) for i in range(0, len(texts), batch)])
 
     return run(col)
 
 
-def embed(df: DataFrame, column: str = "text", model: BatchModel | None = None, batch: int = EMBED_BATCH) -> DataFrame:
-    """Adds ``embedding``, the vector of a text column."""
-    return df.withColumn("embedding", model_column(model or hashing_embedder(), F.col(column), "array<float>", batch))
+def embed(df: DataFrame, column: str = "text", model: BatchModel | None = None, batch: int | None = None, skip: bool = False) -> DataFrame:
+    """Adds ``embedding``, the vector of a text column; null with ``skip`` where the model fails on a text.
+
+    The default model is local and takes a whole Arrow batch at a time.
+    """
+    size = batch or (EMBED_BATCH if model else LOCAL_BATCH)
+    return df.withColumn("embedding", model_column(model or hashing_embedder(), F.col(column), "array<float>", size, skip))
 
 
 def embed_queries(df: DataFrame, instruction: str = "", model: BatchModel | None = None) -> DataFrame:

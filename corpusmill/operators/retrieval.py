@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,9 +15,9 @@ from corpusmill.operators.lexical import LexicalIndex, bm25_search
 from corpusmill.operators.models import embed_queries
 from corpusmill.operators.ranking import FUSION_TOP, MIN_NORM, RERANK_TOP, confidence_floor, dynamic_topk, overlap_logit, rerank
 from corpusmill.operators.scale import BROADCAST_ROWS, at_most, ranked, row_bound, small_side, stage
+from corpusmill.operators.substrings import holders
 
 LIST_MAX = 15
-NEEDLES = 2000
 
 # Wording of questions that ask for a list of documents.
 LIST_INTENT = r"有哪些|有什么|列出|列举|清单|全部|所有|多少(个|份|类|种|篇)|都有什么|包含哪些"
@@ -148,33 +147,25 @@ def with_titles(results: DataFrame, docs: DataFrame, rows: int | None = None) ->
     return titles.join(_small(results, rows), "doc_id", "right")
 
 
-def substring_search(queries: DataFrame, docs: DataFrame, k: int = 5, batch_rows: int = NEEDLES) -> DataFrame:
+def substring_search(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     """Fallback without an index: documents that hold the question score 0.5, others 0.3.
 
-    Only documents that hold a question are emitted for it. Others fill up its
+    Documents are read twice whatever the number of questions (``substrings.holders``), and no
+    task returns more than ``k`` of them for a question. Others fill up its
     list in id order, and the first 2k documents are enough for that: a question
-    with fewer than k matches has fewer than k among them. Questions go to the
-    documents in batches of bounded size.
+    with fewer than k matches has fewer than k among them. A question without words is held by all.
     """
     done = docs.filter(F.col("status") == "completed").select(F.col("id").alias("doc_id"), "title", "content")
     n = row_bound(queries)
-    parts = 1 if n is not None and n <= batch_rows else math.ceil(queries.count() / batch_rows)
-    text = F.lower(F.coalesce("content", F.lit("")))
-    needles = F.collect_list(F.struct("query_id", F.lower("question").alias("needle")))
-    hits = None
-    for part in range(parts):
-        some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part) if parts > 1 else queries
-        held = done.withColumn("_batch", some.agg(needles.alias("batch")).scalar()).select(
-            "doc_id", F.explode(let(text, lambda t: F.filter("_batch", lambda q: F.contains(t, q["needle"])))).alias("q")
-        )
-        found = ranked(held, ["q.query_id"], [F.col("doc_id")], k).select("q.query_id", "doc_id", F.lit(0.5).alias("score"))
-        hits = found if hits is None else hits.unionByName(found)
+    texts = done.select("doc_id", F.lower(F.coalesce("content", F.lit(""))).alias("text"))
+    held = holders(queries.select("query_id", F.lower("question").alias("needle")), texts, k)
+    hits = ranked(held, ["query_id"], [F.col("doc_id")], k).select("query_id", "doc_id", F.lit(0.5).alias("score"))
     first = done.select("doc_id").orderBy("doc_id").limit(2 * k).agg(F.collect_list("doc_id").alias("ids")).scalar()
     fill = queries.select("query_id", F.explode(first).alias("doc_id")).withColumn("score", F.lit(0.3))
     both = hits.unionByName(fill).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     top = ranked(both, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
-    texts = done.select("doc_id", "title", F.substring(F.coalesce("content", F.lit("")), 1, 500).alias("content"))
-    return texts.join(at_most(top, None if n is None else n * k), "doc_id")
+    shown = done.select("doc_id", "title", F.substring(F.coalesce("content", F.lit("")), 1, 500).alias("content"))
+    return shown.join(at_most(top, None if n is None else n * k), "doc_id")
 
 
 def candidates(
@@ -185,22 +176,15 @@ def candidates(
     Every variant of every question is searched in the same two passes.
     """
     context = queries.select("query_id", *CONTEXT)
-    asked = variants.join(context, "query_id").select(
-        F.struct(F.col("query_id").alias("q"), F.col("variant").alias("v")).alias("query_id"),
-        F.col("text").alias("question"),
-        *CONTEXT,
-    )
-    split = [F.col("query_id.q").alias("query_id"), F.col("query_id.v").alias("variant")]
-    sparse = bm25_search(asked, corpus.lexical, corpus.acl, k)
-    sparse = sparse.select(*split, "rank", "score", *KEY)
-    flat = asked.select(F.concat_ws("|", "query_id.q", "query_id.v").alias("query_id"), "question", *CONTEXT)
-    dense = dense_search(embed_queries(flat, instruction), corpus.vectors, corpus.acl, k, max_distance, carry=["parent_id"])
+    # One name for a variant of a question, taken apart again after the searches.
+    name = F.concat_ws("|", F.col("query_id").cast("string"), F.col("variant").cast("string")).alias("query_id")
+    asked = variants.join(context, "query_id").select(name, F.col("text").alias("question"), *CONTEXT)
     kind = queries.schema["query_id"].dataType
     parts = F.split("query_id", r"\|(?=\d+$)")
-    dense = dense.select(
-        parts[0].cast(kind).alias("query_id"), parts[1].cast("int").alias("variant"), "rank",
-        F.col("distance").alias("score"), *KEY,
-    )
+    split = [parts[0].cast(kind).alias("query_id"), parts[1].cast("int").alias("variant")]
+    sparse = bm25_search(asked, corpus.lexical, corpus.acl, k).select(*split, "rank", "score", *KEY)
+    found = dense_search(embed_queries(asked, instruction), corpus.vectors, corpus.acl, k, max_distance, carry=["parent_id"])
+    dense = found.select(*split, "rank", F.col("distance").alias("score"), *KEY)
     fused = rrf(dense, sparse, by=["query_id", "variant"])
     return dense, sparse, merge_variants(fused)
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import normalize_question
+from corpusmill.operators.cells import CellIndex, build_cells, nearest_in_cells
 from corpusmill.operators.dense import nearest
 from corpusmill.operators.scale import HOUR_US, latest_before, running, stage, top_n
 
@@ -53,12 +54,20 @@ def latest_entries(entries: DataFrame, isolate: bool = True) -> DataFrame:
 
 
 def reuse_semantic(
-    queries: DataFrame, entries: DataFrame, threshold: float = SIMILAR, ttl: int = ANSWER_TTL, isolate: bool = True, **blocks: int
+    queries: DataFrame,
+    entries: DataFrame,
+    threshold: float = SIMILAR,
+    ttl: int = ANSWER_TTL,
+    isolate: bool = True,
+    cells: int | None = None,
+    **blocks: int,
 ) -> DataFrame:
     """Per query the most similar live entry: (query_id, entry_id, similarity).
 
     Both sides carry tenant_id and embedding; queries have ts, entries cached_at.
-    ``isolate=False`` lets answers cross tenants.
+    ``isolate=False`` lets answers cross tenants. With ``cells`` entries are filed in so many
+    cells (0: about the root of their number), and a query reads those that may hold an entry as near as
+    the threshold asks: the same result, without comparing every pair.
     """
     ttl_us = int(ttl) * 1_000_000
 
@@ -77,7 +86,13 @@ def reuse_semantic(
         "entry_id", "embedding", F.coalesce(F.col("tenant_id").cast("long"), F.lit(-1)).alias("tenant_id"),
         F.unix_micros("cached_at").alias("stored_at"),
     )
-    best = nearest(asked, stored, ["entry_id"], 1, 1.0 - threshold + 1e-9, "cosine", usable, **blocks)
+    limit = 1.0 - threshold + 1e-9
+    if cells is None:
+        best = nearest(asked, stored, ["entry_id"], 1, limit, "cosine", usable, **blocks)
+    else:
+        filed = build_cells(stage(stored, "entries"), cells or None, "cosine")
+        index = CellIndex(stage(filed.vectors, "entry-cells"), filed.cells, "cosine")
+        best = nearest_in_cells(asked, index, ["entry_id"], 1, limit, usable)
     return best.select("query_id", "entry_id", F.round(1.0 - F.col("distance"), 4).alias("similarity"))
 
 

@@ -72,11 +72,13 @@ def _(i: Inputs):
     """SELECT query_id, round(kw, 6) AS kw, round(mrr, 6) AS mrr FROM (
       SELECT query_id, coalesce(kw_found / nullif(kw_total, 0)::DOUBLE, 1) AS kw, mrr FROM judged_callers JOIN found USING (query_id) ORDER BY kw, mrr, query_id LIMIT 8)
     WHERE NOT (kw = 1 AND mrr = 1)""",
-    CALLERS + "," + KEYWORDS,
+    CALLERS + "," + KEYWORDS.replace("v_rerank_all", "v_rerank"),
 )
 def _(i: Inputs):
-    judged = evaluation.eval_questions(i.results("hybrid", False), i.golden())
-    rows = evaluation.worst_cases(judged.join(evaluation.keyword_hit(i.results(), i.keywords()), "query_id"))
+    """Ranks and keywords of the same run, that of the callers."""
+    results = i.results("hybrid", False)
+    judged = evaluation.eval_questions(results, i.golden())
+    rows = evaluation.worst_cases(judged.join(evaluation.keyword_hit(results, i.keywords()), "query_id"))
     return rows.select("query_id", F.round(F.coalesce("kw_hit", F.lit(1.0)), 6).alias("kw"), r6("mrr"))
 
 

@@ -13,20 +13,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.tables import grid_to_markdown
-from corpusmill.functions.text import let
 from corpusmill.operators.access import permission_context
+from corpusmill.operators.cells import CellIndex, build_cells
 from corpusmill.operators.chunking import build_chunks_text
 from corpusmill.operators.lexical import LexicalIndex, corpus_size, document_frequency, index_rows, with_idf
 from corpusmill.operators.maintenance import file_hash
 from corpusmill.operators.models import embed
 from corpusmill.operators.ranking import confidence_floor, dynamic_topk
 from corpusmill.operators.retrieval import Corpus, retrieve
-from corpusmill.operators.scale import at_most, row_bound, small_side, spread, stage
+from corpusmill.operators.scale import small_side, spread, stage
+from corpusmill.operators.substrings import holders
 from corpusmill.sources.tables import load
 
 ASOF = "2024-01-31 00:00:00"
 BASE = 1_704_067_200  # 2024-01-01 00:00:00 UTC
-GRAM, GRAMS = 3, 10_000
 FLOOR = 0.15  # the default scorer seldom reaches the floor meant for a trained one
 
 _kept: dict[tuple[str, str, str], DataFrame] = {}
@@ -225,46 +225,14 @@ class Inputs:
         return self.questions().withColumn("question", wording)
 
     def golden(self) -> DataFrame:
-        """(query_id, doc_id): documents that contain the passage word for word.
+        """(query_id, doc_id): documents that contain the passage, of one word or more, word for word."""
 
-        Passages of at least five words. A passage's second to fourth word stand
-        whole in any text that contains it, so a document is tested only against
-        passages whose triple of words it holds.
-        """
+        def build() -> DataFrame:
+            passages = self.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
+            worded = passages.where(F.col("needle").rlike(r"(?U)[^\s]"))
+            return holders(worded, self.documents().select("doc_id", "text")).distinct()
 
-        def words(text) -> Column:
-            return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-
-        def triple(tokens, i) -> Column:
-            return F.xxhash64(F.get(tokens, i), F.get(tokens, i + 1), F.get(tokens, i + 2))
-
-        passages = (
-            self.table("benchmark")
-            .withColumn("words", words(F.col("text")))
-            .filter(F.size("words") >= GRAM + 2)
-            .select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), triple(F.col("words"), F.lit(1)).alias("gram"))
-        )
-        docs = self.documents().withColumn("words", words(F.col("text")))
-        grams = let(
-            F.col("words"),
-            lambda ws: F.transform(
-                F.sequence(F.lit(0), F.greatest(F.size(ws) - GRAM, F.lit(0))), lambda i: triple(ws, i)
-            ),
-        )
-        n = row_bound(passages, GRAMS)
-        if n is not None:
-            wanted = passages.agg(F.collect_set("gram")).scalar()
-            held = docs.select("doc_id", "text", F.explode(F.array_intersect(grams, wanted)).alias("gram"))
-        else:
-            all_grams = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram"))
-            some = all_grams.join(passages.select("gram").distinct(), "gram", "left_semi")
-            held = some.join(self.table("documents").select("doc_id", "text"), "doc_id")
-        return (
-            held.join(at_most(passages, n), "gram")
-            .filter(F.contains("text", F.col("passage")))
-            .select("query_id", "doc_id")
-            .distinct()
-        )
+        return self.keep("golden", build)
 
     def answers(self) -> DataFrame:
         return self.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("answer"))
@@ -322,6 +290,12 @@ class Inputs:
         columns = ["doc_id", "chunk_index", "parent_id", "owner_id", "tenant_id", "doc_level", "min_level"]
         return self.keep("vectors", lambda: embed(self.chunks().select(*columns, "text")).select(*columns, "embedding"))
 
+    def cells(self) -> CellIndex:
+        """The given embeddings filed in cells, with the rights of their documents."""
+        index = build_cells(self.vectors())
+        vectors = self.keep("cell-vectors", lambda: index.vectors)
+        return CellIndex(vectors, self.keep("cells", lambda: index.cells), index.metric)
+
     def corpus(self) -> Corpus:
         return Corpus(self.chunks(), self.parents(), self.docs(), self.lexical(), self.chunk_vectors(), self.grants())
 

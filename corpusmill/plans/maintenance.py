@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators import chunking, maintenance
-from corpusmill.operators.scale import shared_folder
-from corpusmill.plans.inputs import Inputs
+from corpusmill.operators import chunking, lexical, maintenance, models, retrieval
+from corpusmill.operators.scale import shared_folder, stage
+from corpusmill.plans.inputs import FLOOR, Inputs
+from corpusmill.plans.oracle_views import VIEWS
 from corpusmill.plans.registry import query
 from corpusmill.sources import index_store
+from corpusmill.sources.versions import VersionedIndex
+from corpusmill.streaming import ingest
 
 # The corpus is what a third of the sources delivered; the rest arrives.
 IN_CORPUS = "source IN ('src0', 'src3', 'src6', 'src9', 'src12', 'src15', 'src18')"
@@ -265,3 +269,128 @@ def _(i: Inputs):
     conversations = i.history().select(F.col("conversation_id").alias("id")).distinct()
     left, history = maintenance.delete_conversations(gone, conversations, i.history())
     return left.select(F.lit("conversations").alias("part"), "id").unionByName(history.select(F.lit("history").alias("part"), "id"))
+
+
+# ---- the versioned store: ingest, purge, changed text, rebuild, retrieval ---
+
+TOXIC = "SELECT doc_id FROM labels WHERE toxic = 1"
+PURGED, MISSING = "id % 37 = 5", "id % 22 = 3"
+#: The documents as the store ends: toxic ones with changed text, some purged, every eleventh rebuilt unless its source is missing.
+STORED = {
+    "v_document": f"""SELECT * REPLACE (CASE WHEN id IN ({TOXIC}) THEN 'Anew. ' || content
+        WHEN id % 11 = 3 AND NOT {MISSING} THEN 'Rebuilt. ' || content ELSE content END AS content)
+        FROM ({VIEWS["v_document"]}) WHERE NOT {PURGED}"""
+}
+
+
+def _index_of(docs: DataFrame) -> dict[str, DataFrame]:
+    chunks, parents = chunking.build_chunks_text(docs)
+    chunks = stage(chunks, "chunks")
+    vectors = models.embed(chunks).select(*lexical.CHUNK_KEY, *[c for c in lexical.CARRIED if c in chunks.columns], "embedding")
+    return {"chunks": chunks, "parents": parents, "postings": lexical.index_rows(chunks), "vectors": vectors}
+
+
+_stores: dict[tuple[str, str], tuple[VersionedIndex, DataFrame]] = {}
+
+
+def _store(i: Inputs) -> tuple[VersionedIndex, DataFrame]:
+    """A store and the tally of its rebuild: a store with a first version of all documents, in which toxic ones then change, some are purged and some rebuilt."""
+    key = (i.spark.sparkContext.applicationId, i.folder)
+    if key in _stores:
+        return _stores[key]
+    store = VersionedIndex(i.spark, f"{shared_folder(i.spark)}/{key[0]}/store-{uuid.uuid4().hex}", buckets=8)
+    docs = i.text_docs()
+    store.commit({"chunks": i.chunks(), "parents": i.parents(), "postings": i.lexical().chunks, "vectors": i.chunk_vectors()})
+    toxic = docs.join(i.table("labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    store.replace(toxic.withColumn("text", F.concat(F.lit("Anew. "), "text")), _index_of)
+    again = docs.where("doc_id % 11 = 3").join(toxic.select("doc_id"), "doc_id", "left_anti")
+    sources = again.where("doc_id % 22 <> 3").select("doc_id", F.concat(F.lit("Rebuilt. "), "text").alias("text"))
+    tally = stage(store.rebuild(again, sources, _index_of), "tally")
+    store.purge(docs.where("doc_id % 37 = 5").select("doc_id"))
+    _stores[key] = store, tally
+    return _stores[key]
+
+
+@query("D6_store_chunks", "SELECT doc_id, chunk_index, parent_id, md5(text) AS digest FROM v_chunk", instead=STORED)
+def _(i: Inputs):
+    """Chunks of the store after changes, a rebuild and a purge."""
+    chunks = _store(i)[0].tables(["chunks"])["chunks"]
+    return chunks.select("doc_id", "chunk_index", "parent_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("S6_store_terms", "SELECT term, df, round(idf, 6) AS idf FROM v_idf", instead=STORED)
+def _(i: Inputs):
+    """Frequencies from the stored changes of each commit, nothing counted anew."""
+    return _store(i)[0].lexical().terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(
+    "D4_store_purge",
+    """SELECT 'chunks' AS part, count(*) AS n FROM v_chunk UNION ALL SELECT 'parents', count(*) FROM v_parent
+    UNION ALL SELECT 'postings', count(*) FROM v_chunk UNION ALL SELECT 'vectors', count(*) FROM v_chunk""",
+    instead=STORED,
+)
+def _(i: Inputs):
+    out = None
+    for part, table in _store(i)[0].tables().items():
+        row = table.agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(
+    "D7_store_rebuild",
+    f"""SELECT count(*) AS total, count(*) FILTER (doc_id % 22 <> 3) AS success, count(*) FILTER (doc_id % 22 = 3) AS failed
+    FROM documents WHERE doc_id % 11 = 3 AND doc_id NOT IN ({TOXIC})""",
+)
+def _(i: Inputs):
+    """Every other source is missing; those documents fail and stay as they were."""
+    return _store(i)[1]
+
+
+@query(
+    "R19_store_retrieve",
+    """SELECT query_id, CAST(rank AS INT) AS rank, doc_id, title, chunk_index, md5(content) AS content, round(rerank_norm, 6) AS rerank_norm
+    FROM v_hits JOIN (SELECT id AS doc_id, title FROM v_document) USING (doc_id)""",
+    instead=STORED,
+)
+def _(i: Inputs):
+    """Hybrid retrieval from the store as it is after all of that."""
+    store = _store(i)[0]
+    part = store.tables()
+    corpus = retrieval.Corpus(part["chunks"], part["parents"], i.docs(), store.lexical(), part["vectors"], i.grants())
+    hits = retrieval.hybrid_retrieve(i.questions(), corpus, floor=FLOOR)
+    return hits.select("query_id", "rank", "doc_id", "title", "chunk_index", F.md5("content").alias("content"), F.round("rerank_norm", 6).alias("rerank_norm"))
+
+
+def _picky(texts):
+    """A model that fails on texts that begin with a Q or a T."""
+    if texts.str.startswith(("Q", "T")).any():
+        raise ValueError("not this text")
+    return models.hashing_embedder()(texts)
+
+
+@query(
+    "S10_store_ingest",
+    """SELECT file_hash, CAST(sum(n) AS BIGINT) AS chunks, bool_or(bad) AS failed FROM (
+      SELECT sha256(content) AS file_hash, id, count(c.doc_id) AS n, coalesce(bool_or(c.text[1] IN ('Q', 'T')), false) AS bad
+      FROM v_document LEFT JOIN v_chunk c ON c.doc_id = id GROUP BY ALL)
+    WHERE id IN (SELECT min(id) FROM v_document GROUP BY sha256(content)) GROUP BY file_hash""",
+)
+def _(i: Inputs):
+    """Documents arrive in several triggers; those the model fails on don't hold up the others. One row for each distinct text."""
+    base = f"{shared_folder(i.spark)}/{i.spark.sparkContext.applicationId}"
+    staged, path = f"{base}/arrivals-{uuid.uuid4().hex}", f"{base}/store-{uuid.uuid4().hex}"
+    rows = i.docs().select("id", "title", F.col("content").alias("text"), "tenant_id", "doc_level", "min_level", F.col("upload_by").alias("owner_id"))
+    rows.repartition(3, "id").write.parquet(staged)
+    ingest.ingest_to_store(i.spark, staged, path, 1, _picky, buckets=8).awaitTermination()
+    part = ingest.document_store(i.spark, path, 8).tables(["documents", "chunks"])
+    built = part["chunks"].groupBy("doc_id").agg(F.count("*").alias("n"))
+    each = part["documents"].join(built, "doc_id", "left").groupBy("file_hash").agg(F.sum("n").alias("n"), F.max("reason").alias("reason"), F.max(F.col("status") == "failed").alias("failed"))
+    whole = i.chunks().groupBy("doc_id").agg(F.count("*").alias("all"))
+    # A failed text has no chunks in the store; what it would have had says that nothing else went missing.
+    wanted = i.hashed_docs().select(F.col("id").alias("doc_id"), "file_hash").join(whole, "doc_id", "left").groupBy("file_hash").agg(F.max("all").alias("all"))
+    both = each.join(wanted, "file_hash")
+    failed = F.col("failed") & (F.coalesce("reason", F.lit("")) == "model failed")
+    chunks = F.when(failed, F.col("all")).otherwise(F.coalesce("n", F.lit(0)))
+    return both.select("file_hash", F.coalesce(chunks, F.lit(0)).cast("bigint").alias("chunks"), failed.alias("failed"))

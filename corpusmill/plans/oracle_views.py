@@ -99,7 +99,7 @@ VIEWS = {
         FROM v_question""",
     "v_golden": """
         SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)
-        WHERE len(list_filter(regexp_split_to_array(b.text, '\\s+'), lambda w: w <> '')) >= 5""",
+        WHERE len(list_filter(regexp_split_to_array(b.text, '\\s+'), lambda w: w <> '')) >= 1""",
     # ---- elements ----
     "v_element": """
         SELECT doc_id, CAST(i - 1 AS INT) AS ord, lines[i] AS text,
@@ -186,7 +186,7 @@ def _retrieval(suffix: str, source: str) -> dict[str, str]:
                    sum(CASE WHEN CAST('0x' || substr(md5(term), 7, 2) AS INT) < 128 THEN 1 ELSE -1 END) AS v
             FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {source}) GROUP BY ALL""",
         f"v_qvec{s}": f"""
-            SELECT query_id, place, CAST(v / sqrt(sum(v * v) OVER (PARTITION BY query_id)) AS FLOAT) AS v FROM v_qhash{s}""",
+            SELECT query_id, place, CAST(coalesce(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY query_id)), 0), 0) AS FLOAT) AS v FROM v_qhash{s}""",
         f"v_fused{s}": f"""
             SELECT query_id, doc_id, parent_id, chunk_index, score, dense_score, sparse_score,
                    row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, d ASC NULLS LAST, sp ASC NULLS LAST) AS rank
@@ -234,7 +234,8 @@ VIEWS |= {
         FROM (SELECT doc_id, chunk_index, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM v_chunk) GROUP BY ALL""",
     "v_cvec": """
         SELECT doc_id, chunk_index, place,
-               CAST(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id, chunk_index)) AS FLOAT) AS v FROM v_chash""",
+               CAST(coalesce(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY doc_id, chunk_index)), 0), 0) AS FLOAT) AS v FROM v_chash""",
 }
 VIEWS |= _retrieval("", "v_question")
 VIEWS |= _retrieval("_all", "v_question_admin")
+VIEWS |= _retrieval("_list", "v_list_question")

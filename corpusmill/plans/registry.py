@@ -21,15 +21,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def with_views(body: str, locals_: str = "") -> str:
-    """``body`` behind the views it names, each after those it builds on."""
+def with_views(body: str, locals_: str = "", instead: dict[str, str] | None = None) -> str:
+    """``body`` behind the views it names, each after those it builds on; ``instead`` replaces some of them."""
     done: dict[str, str] = {}
+    views = VIEWS | (instead or {})
 
     def need(text: str) -> None:
         for name in dict.fromkeys(re.findall(r"\bv_\w+", text)):
-            if name in VIEWS and name not in done:
-                need(VIEWS[name])
-                done[name] = VIEWS[name]
+            if name in views and name not in done:
+                need(views[name])
+                done[name] = views[name]
 
     need(locals_ + body)
     parts = [f"{name} AS ({text.strip()})" for name, text in done.items()]
@@ -45,7 +46,7 @@ def _plain_times(df: DataFrame) -> DataFrame:
     )
 
 
-def query(name: str, sql: str | None = None, locals_: str = "") -> Callable:
+def query(name: str, sql: str | None = None, locals_: str = "", instead: dict[str, str] | None = None) -> Callable:
     def register(build: Callable[[Inputs], DataFrame]) -> Callable:
         def run(spark: SparkSession, folder: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -56,7 +57,7 @@ def query(name: str, sql: str | None = None, locals_: str = "") -> Callable:
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = run
         if sql:
-            ORACLES[name] = with_views(sql, locals_)
+            ORACLES[name] = with_views(sql, locals_, instead)
         return build
 
     return register

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from corpusmill.functions.vectors import squared_l2
-from corpusmill.operators import dense, fusion, lexical, models, ranking, retrieval, rewrite
+from corpusmill.operators import cells, dense, fusion, lexical, models, ranking, retrieval, rewrite
 from corpusmill.plans.inputs import FLOOR, Inputs
 from corpusmill.plans.oracle_views import GRANTED, OPEN, strip
 from corpusmill.plans.registry import query
@@ -48,22 +50,20 @@ def _(i: Inputs):
     return hits.select("query_id", "rank", "doc_id", "chunk_index", "parent_id", r6("score"))
 
 
-PADDED = f"""
-    words AS (SELECT query_id, user_id, is_admin, caller_tenant, clearance, lower(regexp_extract_all(question, '[A-Za-zÀ-ÿ]+')[3]) AS term FROM v_question),
-    scored AS (SELECT query_id, doc_id, chunk_index, CASE WHEN tf IS NULL THEN 0e0 ELSE idf * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * n_tokens / (SELECT avg_tokens FROM v_stats))) END AS score
-      FROM words w JOIN v_pair USING (query_id) JOIN v_size USING (doc_id, chunk_index) LEFT JOIN v_tf USING (doc_id, chunk_index, term) LEFT JOIN v_idf USING (term)),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id, chunk_index) AS rank FROM scored)"""
+# Whole questions, and lists so long that most chunks in them match nothing.
+PADDED_K = 300
+PADDED = """
+    placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id, chunk_index) AS rank FROM (
+      SELECT query_id, doc_id, chunk_index, coalesce(score, 0e0) AS score FROM v_pair LEFT JOIN v_match USING (query_id, doc_id, chunk_index)))"""
 
 
 @query(
     "R2_bm25_padded",
-    "SELECT query_id, CAST(rank AS INT) AS rank, doc_id, chunk_index, round(score, 6) AS score FROM placed WHERE rank <= 20",
+    f"SELECT query_id, CAST(rank AS INT) AS rank, doc_id, chunk_index, round(score, 6) AS score FROM placed WHERE rank <= {PADDED_K}",
     PADDED,
 )
 def _(i: Inputs):
-    """Questions of one word, many of which few chunks hold."""
-    word = F.get(F.regexp_extract_all("question", F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0)), F.lit(2))
-    hits = lexical.bm25_search(i.questions().withColumn("question", word), i.lexical(), i.grants(), pad_zero=True)
+    hits = lexical.bm25_search(i.questions(), i.lexical(), i.grants(), PADDED_K, pad_zero=True)
     return hits.select("query_id", "rank", "doc_id", "chunk_index", r6("score"))
 
 
@@ -82,6 +82,20 @@ def _(i: Inputs):
     return hits.select("query_id", "rank", "vec_id", r6("distance"))
 
 
+@query("R3_dense_cells", "SELECT query_id, CAST(rank AS INT) AS rank, vec_id, round(distance, 6) AS distance FROM near WHERE rank <= 20", VECTOR_PAIRS)
+def _(i: Inputs):
+    """Through the index of cells, reading those whose bound allows the greatest distance."""
+    hits = cells.search_cells(i.vector_queries(), i.cells(), i.grants(), keys=["vec_id"])
+    return hits.select("query_id", "rank", "vec_id", r6("distance"))
+
+
+@query("R3_dense_probed")
+def _(i: Inputs):
+    """The nearest three of four cells only; tests measure its recall."""
+    hits = cells.search_cells(i.vector_queries(), i.cells(), i.grants(), keys=["vec_id"], probes=max(1, i.cells().cells.count() * 3 // 4))
+    return hits.select("query_id", "rank", "vec_id", r6("distance"))
+
+
 @query(
     "R3_dense_chunks",
     "SELECT query_id, CAST(rank AS INT) AS rank, doc_id, chunk_index, round(distance, 6) AS distance FROM v_dense",
@@ -291,22 +305,24 @@ def _(i: Inputs):
 @query(
     "R20_retrieval_stats",
     """SELECT q.query_id, CAST(1 AS BIGINT) AS variants,
-      (SELECT count(*) FROM v_dense d WHERE d.query_id = q.query_id) AS dense_count,
-      (SELECT count(*) FROM v_bm25 d WHERE d.query_id = q.query_id) AS sparse_count,
-      (SELECT count(*) FROM v_fused d WHERE d.query_id = q.query_id) AS fused_count,
-      (SELECT count(*) FROM v_rerank d WHERE d.query_id = q.query_id) AS rerank_count,
+      (SELECT count(*) FROM v_dense_list d WHERE d.query_id = q.query_id) AS dense_count,
+      (SELECT count(*) FROM v_bm25_list d WHERE d.query_id = q.query_id) AS sparse_count,
+      (SELECT count(*) FROM v_fused_list d WHERE d.query_id = q.query_id) AS fused_count,
+      (SELECT count(*) FROM v_rerank_list d WHERE d.query_id = q.query_id) AS rerank_count,
       (SELECT count(*) FROM listing d WHERE d.query_id = q.query_id AND rank <= 15) AS enum_docs,
-      (SELECT CAST(coalesce(max(k_used), -1) AS INT) FROM v_cut d WHERE d.query_id = q.query_id) AS topk_used
-    FROM v_question q""",
+      (SELECT CAST(coalesce(max(k_used), -1) AS INT) FROM v_cut_list d WHERE d.query_id = q.query_id) AS topk_used
+    FROM v_list_question q""",
     LISTING,
 )
 def _(i: Inputs):
-    questions = i.questions()
+    """Every column of the same questions, those about lists."""
+    questions = i.list_questions()
     variants = questions.select("query_id", F.lit(0).alias("variant"), F.col("question").alias("text"))
     found, sparse, merged = retrieval.candidates(variants, questions, i.corpus())
-    reranked = i.results("hybrid", False)  # as ranked, before the floor
-    listing = retrieval.listing_docs(i.list_questions(), i.docs(), i.grants())
-    stats = retrieval.retrieval_stats(variants, found, sparse, merged, reranked, i.cut(), listing)
+    reranked = retrieval.retrieve(questions, i.corpus())  # as ranked, before the floor
+    cut = ranking.dynamic_topk(ranking.confidence_floor(reranked, FLOOR), 5)
+    listing = retrieval.listing_docs(questions, i.docs(), i.grants())
+    stats = retrieval.retrieval_stats(variants, found, sparse, merged, reranked, cut, listing)
     return stats.withColumn("topk_used", F.coalesce("topk_used", F.lit(-1)))
 
 
@@ -330,12 +346,17 @@ def _(i: Inputs):
 
 @query(
     "R23_generate",
-    "SELECT query_id, substring(concat(question, chr(10), chr(10), '请根据文档内容给出回答：'), 1, 200) AS answer FROM v_question",
+    """SELECT q.query_id, md5(concat('基于以下文档内容回答用户问题。如果文档中没有相关信息，请说明不知道。', chr(10), chr(10),
+      '对话历史（供理解当前问题的指代与语境，不要直接复述）:', chr(10), '无', chr(10), chr(10), '文档内容:', chr(10), coalesce(context, ''),
+      chr(10), chr(10), '用户问题: ', question, chr(10), chr(10), '请根据文档内容给出回答：')) AS answer
+    FROM v_question q LEFT JOIN (
+      SELECT query_id, string_agg(concat('文档', place, ':', chr(10), content), chr(10) || chr(10) ORDER BY place) AS context
+      FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM v_hits) GROUP BY query_id) c USING (query_id)""",
 )
 def _(i: Inputs):
-    """A model that repeats the end of its prompt."""
+    """A model whose reply tells every character of its prompt."""
     prompts = retrieval.build_prompt(i.questions(), retrieval.expand_parents(i.cut(), i.parents()))
-    answers = models.generate(prompts, lambda texts: texts.str.rsplit("用户问题: ", n=1).str[-1].str.slice(0, 200))
+    answers = models.generate(prompts, lambda texts: texts.map(lambda text: hashlib.md5(text.encode()).hexdigest()))
     return answers.select("query_id", "answer")
 
 

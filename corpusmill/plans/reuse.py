@@ -8,6 +8,7 @@ from corpusmill.functions.text import reuse_key
 from corpusmill.operators import models, reuse
 from corpusmill.plans.inputs import Inputs
 from corpusmill.plans.registry import query
+from corpusmill.plans.text import normalized
 
 # Clicks and views ask; purchases and errors are the moments an answer or a retrieval result was stored.
 LOG = """
@@ -79,6 +80,11 @@ def _(i: Inputs):
     return reuse.reuse_semantic(*_semantic(i))
 
 
+@query("C2_reuse_semantic_cells", "SELECT query_id, entry_id, similarity FROM semantic", ENTRIES)
+def _(i: Inputs):
+    return reuse.reuse_semantic(*_semantic(i), cells=0)
+
+
 @query(
     "C3_reuse_context",
     "SELECT a.event_id, coalesce(context_id, -1) AS context_id FROM asks a LEFT JOIN context USING (event_id)",
@@ -89,25 +95,32 @@ def _(i: Inputs):
     return found.select("event_id", F.coalesce("context_id", F.lit(-1)).alias("context_id"))
 
 
-# A semantic layer that knows an entry for every view.
+# User turns ask an hour after they were stored. Two of five have an exact answer, one a stored retrieval result;
+# the semantic layer has all answered turns.
 SERVED = (
-    LOG
-    + """,
-    alike AS (SELECT event_id AS query_id, event_id * 7 AS entry_id FROM asks WHERE event_type = 'view'),
-    served AS (SELECT a.event_id AS query_id, CASE WHEN e.answer_id IS NOT NULL THEN 'exact' WHEN s.entry_id IS NOT NULL THEN 'semantic'
+    ENTRIES
+    + f""",
+    turns AS (SELECT *, concat_ws('::', {normalized('text')}, 't' || tenant_id) AS key FROM questions),
+    exact AS (SELECT q.id AS query_id, arg_max(a.id, (a.id, a.id)) AS answer_id FROM turns q JOIN turns a ON a.key = q.key AND a.id % 5 < 2
+      AND a.id <= q.id + 3600 AND q.id + 3600 - a.id <= 86400 GROUP BY q.id),
+    context AS (SELECT q.id AS query_id, arg_max(a.id, (a.id, a.id)) AS context_id FROM turns q JOIN turns a ON a.key = q.key AND a.id % 5 = 2
+      AND a.id <= q.id + 3600 AND q.id + 3600 - a.id <= 21600 GROUP BY q.id),
+    served AS (SELECT q.id AS query_id, CASE WHEN e.answer_id IS NOT NULL THEN 'exact' WHEN s.entry_id IS NOT NULL THEN 'semantic'
         WHEN c.context_id IS NOT NULL THEN 'context' ELSE 'miss' END AS layer, coalesce(e.answer_id, s.entry_id, c.context_id, -1) AS served_id
-      FROM asks a LEFT JOIN exact e USING (event_id) LEFT JOIN context c USING (event_id) LEFT JOIN alike s ON s.query_id = a.event_id)"""
+      FROM questions q LEFT JOIN exact e ON e.query_id = q.id LEFT JOIN context c ON c.query_id = q.id LEFT JOIN semantic s ON s.query_id = q.id)"""
 )
 
 
 def _served(i: Inputs):
-    asks = _asks(i).withColumnRenamed("event_id", "query_id")
-    exact = reuse.reuse_exact(asks, _stored(i, "purchase", "answer_id"))
-    context = reuse.reuse_context(asks, _stored(i, "error", "context_id"))
-    # A semantic layer that knows an entry for every view.
-    viewed = _keyed(i).filter("event_type = 'view'")
-    alike = viewed.select(F.col("event_id").alias("query_id"), (F.col("event_id") * 7).alias("entry_id"))
-    return reuse.reuse_cascade(asks, exact, alike, context)
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    turns = i.table("conversations").filter("role = 'user'").select(
+        key.alias("id"), reuse_key(F.col("text"), F.col("conv_id") % 4).alias("key"), F.timestamp_seconds(F.lit(1_704_067_200) + key).alias("at")
+    )
+    asks = turns.select(F.col("id").alias("query_id"), "key", (F.col("at") + F.expr("INTERVAL 1 HOUR")).alias("ts"))
+    stored = lambda these, name: turns.filter(these).select("key", F.col("at").alias("cached_at"), F.col("id").alias(name))
+    exact = reuse.reuse_exact(asks, stored("id % 5 < 2", "answer_id"))
+    context = reuse.reuse_context(asks, stored("id % 5 = 2", "context_id"))
+    return reuse.reuse_cascade(asks, exact, reuse.reuse_semantic(*_semantic(i)), context)
 
 
 @query("C4_reuse_cascade", "SELECT query_id, layer, served_id FROM served", SERVED)

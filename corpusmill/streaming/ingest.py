@@ -12,6 +12,7 @@ from corpusmill.operators.lexical import CARRIED, CHUNK_KEY, index_rows
 from corpusmill.operators.maintenance import dedup_exact, file_hash
 from corpusmill.operators.models import BatchModel, embed
 from corpusmill.operators.scale import small_side, stage
+from corpusmill.sources.versions import VersionedIndex
 
 STAGED = "id long, title string, text string, tenant_id int, doc_level string, min_level int, owner_id long"
 
@@ -81,3 +82,65 @@ def ingest_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def store_batch(batch: DataFrame, name: str, store: VersionedIndex, model: BatchModel | None = None) -> None:
+    """One micro-batch as one version of the store; a batch that ran before is not committed again.
+
+    Documents end as completed, failed or duplicate. One that is empty, or that the model fails on,
+    doesn't hold up the others. Known hashes are read from the buckets of those that arrive only.
+    """
+    spark = batch.sparkSession
+    store = VersionedIndex(spark, store.path, store.buckets, store.bucket_by)
+    hashed = stage(batch.withColumn("file_hash", file_hash(F.coalesce("text", F.lit("")))), "arrivals")
+    known = spark.createDataFrame([], "id long, title string, file_hash string")
+    if "hashes" in store.manifest()["schemas"]:
+        buckets = [r["b"] for r in hashed.select(F.pmod(F.xxhash64("file_hash"), F.lit(store.buckets)).cast("int").alias("b")).distinct().collect()]
+        stored = store.tables(["hashes"], buckets=buckets)["hashes"]
+        known = stored.join(small_side(hashed.select("file_hash").distinct()), "file_hash", "left_semi").select(F.col("doc_id").alias("id"), "title", "file_hash")
+    usable = hashed.filter(~is_blank(F.coalesce("text", F.lit(""))))
+    docs = usable.withColumnRenamed("id", "doc_id")
+    chunks = stage(build_chunks_text(docs)[0], "chunks")
+    carried = [c for c in CARRIED if c in chunks.columns]
+    vectors = stage(embed(chunks.select(*CHUNK_KEY, *carried, "text"), model=model, skip=True).drop("text"), "vectors")
+    broken = stage(vectors.where("embedding IS NULL").select("doc_id").distinct(), "broken")
+    # A text that the model can't take is no original for its copies.
+    accepted, rejected = dedup_exact(usable.join(broken.withColumnRenamed("doc_id", "id"), "id", "left_anti"), known)
+    accepted = stage(accepted, "accepted")
+    kept = accepted.select(F.col("id").alias("doc_id"))
+    parents = build_chunks_text(accepted.withColumnRenamed("id", "doc_id"))[1]
+    mine = lambda rows: rows.join(kept, "doc_id", "left_semi")
+    none = F.lit(None).cast("string")
+    outcome = accepted.select("id", F.lit("completed").alias("status"), none.alias("reason"))
+    outcome = outcome.unionByName(rejected.select("id", F.lit("duplicate").alias("status"), F.col("existing_title").alias("reason")))
+    outcome = outcome.unionByName(broken.select(F.col("doc_id").alias("id"), F.lit("failed").alias("status"), F.lit("model failed").alias("reason")))
+    blank = hashed.join(usable.select("id"), "id", "left_anti")
+    outcome = outcome.unionByName(blank.select("id", F.lit("failed").alias("status"), F.lit("empty text").alias("reason")))
+    documents = hashed.join(outcome, "id").withColumnRenamed("id", "doc_id")
+    added = {
+        "chunks": mine(chunks),
+        "parents": parents,
+        "postings": index_rows(mine(chunks)),
+        "vectors": mine(vectors),
+        "documents": documents.drop("text").join(accepted.select(F.col("id").alias("doc_id"), "text"), "doc_id", "left"),
+        "hashes": accepted.select(F.col("id").alias("doc_id"), "title", "file_hash"),
+    }
+    # A document that arrives again under its number takes the place of what is stored of it, unless it is refused.
+    store.commit(added, kept.union(blank.select("id")).union(broken.select("doc_id")), name)
+
+
+def ingest_to_store(spark: SparkSession, in_dir: str, path: str, files_per_batch: int = 1000, model: BatchModel | None = None, buckets: int = 64) -> StreamingQuery:
+    """Processes the Parquet files staged in ``in_dir`` since the last run into the versioned store at ``path``, then stops."""
+    store = document_store(spark, path, buckets)
+    staged = spark.readStream.schema(STAGED).option("maxFilesPerTrigger", files_per_batch).parquet(in_dir)
+    return (
+        staged.writeStream.foreachBatch(lambda batch, batch_id: store_batch(batch, f"{in_dir}#{batch_id}", store, model))
+        .option("checkpointLocation", f"{path}/_progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def document_store(spark: SparkSession, path: str, buckets: int = 64) -> VersionedIndex:
+    """The store of documents and everything made of them; hashes are looked up by themselves."""
+    return VersionedIndex(spark, path, buckets, {"hashes": "file_hash"})
