@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import contains_keyword, json_ids, strip
 from corpusmill.operators.access import can_access, visible_docs
-from corpusmill.operators.scale import ranked
+from corpusmill.operators.scale import ranked, stage
 
 NEW_CONVERSATION = "新对话"  # fixed value: title of a conversation without a question
 INDENT = "— "  # fixed value: one level of a flattened category tree
@@ -86,15 +86,25 @@ def token_usage(history: DataFrame, asof: str, days: int = 7) -> DataFrame:
     )
 
 
-def _page(df: DataFrame, order: list[Column], page: int, limit: int) -> DataFrame:
-    """One page with the total number of rows. The order must be total."""
+def _page(df: DataFrame, keys: list[str], page: int, limit: int, after: tuple | None = None) -> DataFrame:
+    """One page, greatest keys first, with the total number of rows. The keys must tell all rows apart.
+
+    With ``after``, the keys of the last row that was shown, the page begins below it: however far down, no task
+    holds more than one page, and rows that arrived meanwhile don't shift it.
+    """
     total = df.agg(F.count("*")).scalar()
-    return df.orderBy(*order).offset((page - 1) * limit).limit(limit).withColumn("total", total)
+    order = [F.desc(k) for k in keys]
+    if after is None:
+        return df.orderBy(*order).offset((page - 1) * limit).limit(limit).withColumn("total", total)
+    below = F.struct(*[F.col(k) for k in keys]) < F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, after, strict=True)])
+    return df.filter(below).orderBy(*order).limit(limit).withColumn("total", total)
 
 
-def login_log(logs: DataFrame, keyword: str | None = None, page: int = 1, limit: int = 20, wildcards: bool = False) -> DataFrame:
+def login_log(
+    logs: DataFrame, keyword: str | None = None, page: int = 1, limit: int = 20, wildcards: bool = False, after: tuple | None = None
+) -> DataFrame:
     rows = logs if not keyword else logs.filter(contains_keyword(F.col("username"), keyword, wildcards))
-    return _page(rows, [F.desc("created_at"), F.desc("id")], page, limit)
+    return _page(rows, ["created_at", "id"], page, limit, after)
 
 
 def system_metrics(docs: DataFrame, users: DataFrame, history: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -159,8 +169,12 @@ def list_documents(
     page: int = 1,
     limit: int = 10,
     wildcards: bool = False,
+    after: tuple | None = None,
 ) -> DataFrame:
-    """One page of the documents a caller may see; names are joined to that page only."""
+    """One page of the documents a caller may see; names are joined to that page only.
+
+    Contents are read once: what the page and its total need of the documents that match is kept.
+    """
     seen = visible_docs(docs, users, acl, user_id)
     if category_id is not None:
         seen = seen.filter(F.col("category_id") == category_id)
@@ -171,17 +185,17 @@ def list_documents(
     if status:
         seen = seen.filter(F.col("status") == status)
     slim = seen.select("id", "title", "category_id", "upload_by", "tenant_id", "doc_level", "min_level", "file_size", "status")
-    rows = _page(slim, [F.desc("id")], page, limit)
+    rows = _page(stage(slim, "matching-documents") if keyword else slim, ["id"], page, limit, after)
     rows = _named(rows, categories, "category_id", "category")
     rows = _named(rows, users, "upload_by", "uploader", "username")
     return _named(rows, tenants, "tenant_id", "tenant")
 
 
-def qa_history(history: DataFrame, users: DataFrame, user_id: int, page: int = 1, limit: int = 10) -> DataFrame:
+def qa_history(history: DataFrame, users: DataFrame, user_id: int, page: int = 1, limit: int = 10, after: tuple | None = None) -> DataFrame:
     """One page of a user's answers, or of all for an administrator, with cited ids parsed."""
     admin = users.filter((F.col("id") == user_id) & (F.col("role") == "admin")).agg(F.count("*") > 0).scalar()
     rows = history.filter(admin | (F.col("user_id") == user_id))
-    shown = _page(rows, [F.desc("created_at"), F.desc("id")], page, limit)
+    shown = _page(rows, ["created_at", "id"], page, limit, after)
     ids = F.coalesce(F.from_json("documents", "array<string>"), F.array().cast("array<string>"))
     return _named(shown, users, "user_id", "username", "username").select(
         "id", "user_id", "username", "question", "answer", ids.alias("document_ids"), "created_at", "total"
@@ -259,7 +273,9 @@ def category_flat(categories: DataFrame) -> DataFrame:
     return tree.orderBy("path").select("id", F.concat(F.repeat(F.lit(INDENT), F.col("depth")), "name").alias("label"), "depth")
 
 
-def list_users(users: DataFrame, tenants: DataFrame, keyword: str | None = None, page: int = 1, limit: int = 10, wildcards: bool = False) -> DataFrame:
+def list_users(
+    users: DataFrame, tenants: DataFrame, keyword: str | None = None, page: int = 1, limit: int = 10, wildcards: bool = False, after: tuple | None = None
+) -> DataFrame:
     """One page of users whose user name or real name holds the keyword."""
     names = [c for c in ["username", "real_name"] if c in users.columns]
     rows = users
@@ -268,7 +284,7 @@ def list_users(users: DataFrame, tenants: DataFrame, keyword: str | None = None,
         for name in names:
             match = match | contains_keyword(F.coalesce(name, F.lit("")), keyword, wildcards)
         rows = users.filter(match)
-    return _named(_page(rows, [F.desc("id")], page, limit), tenants, "tenant_id", "tenant")
+    return _named(_page(rows, ["id"], page, limit, after), tenants, "tenant_id", "tenant")
 
 
 def profiles(users: DataFrame, tenants: DataFrame) -> DataFrame:

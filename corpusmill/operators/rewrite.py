@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import is_blank, parse_rewrites
+from corpusmill.operators.models import EMBED_BATCH, BatchModel, model_column, once_per_key
 
 EXPANSIONS = 2
 
@@ -53,3 +54,19 @@ def assemble_variants(
     rewritten = F.slice(F.concat(F.array(question), rewrites), 1, n + 1)
     variants = F.slice(_with_rules(question, rewritten, rules), 1, n + 4)
     return queries.select("query_id", F.posexplode(variants).alias("variant", "text"))
+
+
+def rewritten(
+    queries: DataFrame, model: BatchModel, n: int = EXPANSIONS, rules: list[tuple[str, str]] = RULES, prompt: Column | None = None
+) -> DataFrame:
+    """Variants of every question from a model that rewrites: (query_id, variant, text).
+
+    The model is asked once for each distinct question and dialogue (``dialogue``, if the queries have one); it fails on
+    none but its own: a question without a reply keeps its rules. ``prompt`` says what the model reads, else the question after the dialogue.
+    """
+    dialogue = F.col("dialogue") if "dialogue" in queries.columns else F.lit("")
+    asked = queries.select("query_id", "question", F.coalesce(dialogue, F.lit("")).alias("dialogue"))
+    reads = prompt if prompt is not None else F.concat_ws("\n", F.nullif(F.col("dialogue"), F.lit("")), "question")
+    reply = lambda rows: rows.withColumn("reply", model_column(model, reads, "string", EMBED_BATCH, skip=True))
+    answered = once_per_key(asked, [F.col("question"), F.col("dialogue")], reply, ["reply"])
+    return assemble_variants(answered.withColumn("reply", F.coalesce("reply", F.lit(""))), n, rules)

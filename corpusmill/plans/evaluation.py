@@ -116,7 +116,26 @@ def _(i: Inputs):
     return rows.select("k", "parent", r6("fact_coverage"), r6("doc_recall"), "facts")
 
 
-@query("E7_ablate_semantic")
+SEMANTIC = (
+    ABLATION
+    + r""",
+    told AS (SELECT s.query_id, s.k, s.parent, coalesce(context, '') AS context, coalesce(doc_hit, false) AS doc_hit
+      FROM (SELECT DISTINCT query_id, k, parent FROM fact, setting) s LEFT JOIN shown USING (query_id, k, parent)),
+    wording AS (SELECT context AS t FROM told UNION SELECT fact FROM fact),
+    hashed AS (SELECT t, CAST('0x' || substr(md5(term), 1, 6) AS INT) % 64 AS place, sum(CASE WHEN CAST('0x' || substr(md5(term), 7, 2) AS INT) < 128 THEN 1 ELSE -1 END) AS v
+      FROM (SELECT t, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS term FROM wording) GROUP BY ALL),
+    vector AS (SELECT t, place, CAST(CAST(coalesce(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY t)), 0), 0) AS FLOAT) AS DOUBLE) AS v FROM hashed),
+    size AS (SELECT t, sqrt(sum(v * v)) AS size FROM vector GROUP BY t),
+    near AS (SELECT f.query_id, c.k, c.parent, f.fact, c.doc_hit,
+        coalesce((SELECT sum(a.v * b.v) FROM vector a JOIN vector b USING (place) WHERE a.t = f.fact AND b.t = c.context), 0)
+          / (coalesce(x.size, 0) * coalesce(y.size, 0) + 1e-9) >= 0.82 AS covered
+      FROM fact f JOIN told c USING (query_id) LEFT JOIN size x ON x.t = f.fact LEFT JOIN size y ON y.t = c.context),
+    semantic AS (SELECT k, parent, sum(covered) / sum(facts)::DOUBLE AS fact_coverage, avg(doc_hit::INT) AS doc_recall, CAST(sum(facts) AS BIGINT) AS facts FROM (
+      SELECT query_id, k, parent, count(*) AS facts, count(*) FILTER (covered) AS covered, bool_or(doc_hit) AS doc_hit FROM near GROUP BY ALL) GROUP BY ALL)""".replace("\\\\", "\\")
+)
+
+
+@query("E7_ablate_semantic", "SELECT k, parent, round(fact_coverage, 6) AS fact_coverage, round(doc_recall, 6) AS doc_recall, facts FROM semantic", SEMANTIC)
 def _(i: Inputs):
     rows = evaluation.ablate_context(i.results(), i.parents(), i.golden(), i.answers(), semantic=True)
     return rows.select("k", "parent", r6("fact_coverage"), r6("doc_recall"), "facts")
@@ -172,6 +191,14 @@ def _(i: Inputs):
     return evaluation.randomize_pairs(answers)
 
 
+@query("E11_pairs_kept", "SELECT id AS qid, turn AS rep, least(question, answer) AS lower, greatest(question, answer) AS upper FROM v_qa")
+def _(i: Inputs):
+    """Whatever the order, both answers of a pair are shown, once each."""
+    answers = i.history().select(F.col("id").alias("qid"), F.col("turn").alias("rep"), F.col("question").alias("answer_a"), F.col("answer").alias("answer_b"))
+    shown = evaluation.randomize_pairs(answers)
+    return shown.select("qid", "rep", F.least("first", "second").alias("lower"), F.greatest("first", "second").alias("upper"))
+
+
 @query(
     "E12_run_matrix",
     """SELECT c_custkey AS id, c_mktsegment AS type, rep, model FROM customer, (VALUES (1), (2), (3)) r(rep), (VALUES ('A'), ('B')) m(model) WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')""",

@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import strip
 from corpusmill.operators import chunking, lexical, maintenance, models, retrieval
 from corpusmill.operators.scale import shared_folder, stage
 from corpusmill.plans.inputs import FLOOR, Inputs
 from corpusmill.plans.oracle_views import VIEWS
 from corpusmill.plans.registry import query
 from corpusmill.sources import index_store
-from corpusmill.sources.versions import VersionedIndex
+from corpusmill.sources.versions import VersionedIndex, drop_copies
 from corpusmill.streaming import ingest
 
 # The corpus is what a third of the sources delivered; the rest arrives.
@@ -84,6 +85,28 @@ def _(i: Inputs):
     return maintenance.dedup_chunks(_paged_chunks(i))
 
 
+@query(
+    "D3_store_dedup",
+    """SELECT doc_id, digest, CAST(chunk_index AS INT) AS chunk_index, true AS indexed FROM (
+      SELECT doc_id, md5(text) AS digest, chunk_index, row_number() OVER (PARTITION BY doc_id, md5(text) ORDER BY page IS NULL OR page = 0, chunk_index) AS place
+      FROM (SELECT doc_id, chunk_index, CASE WHEN chunk_index % 3 = 0 THEN 0 WHEN chunk_index % 3 = 1 THEN 1 END AS page, text FROM stripped
+            UNION ALL SELECT doc_id, chunk_index + 100000, 9, text FROM stripped)) WHERE place = 1""",
+    "stripped AS (SELECT doc_id, chunk_index, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM v_chunk)",
+)
+def _(i: Inputs):
+    """Copies are taken out of chunks, postings and vectors of a store; ``indexed`` says that a chunk is still in all of them, and nothing else is."""
+    copied = lambda rows: rows.unionByName(rows.withColumn("chunk_index", F.col("chunk_index") + 100_000))
+    store = VersionedIndex(i.spark, f"{shared_folder(i.spark)}/{i.spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}", buckets=8)
+    store.commit({"chunks": _paged_chunks(i), "parents": i.parents(), "postings": copied(i.lexical().chunks), "vectors": copied(i.chunk_vectors())})
+    drop_copies(store)
+    part = store.tables()
+    key = lambda name: part[name].select("doc_id", "chunk_index", F.lit(True).alias(name))
+    both = key("postings").join(key("vectors"), ["doc_id", "chunk_index"], "full_outer")
+    chunks = part["chunks"].select("doc_id", "chunk_index", F.md5(strip(F.col("text")).cast("binary")).alias("digest"))
+    found = chunks.join(both, ["doc_id", "chunk_index"], "full_outer")
+    return found.select("doc_id", "digest", "chunk_index", (F.coalesce("postings", F.lit(False)) & F.coalesce("vectors", F.lit(False))).alias("indexed"))
+
+
 @query(
     "D4_purge",
     """SELECT 'chunks' AS part, count(*) AS n FROM v_chunk WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)

@@ -239,3 +239,21 @@ VIEWS |= {
 VIEWS |= _retrieval("", "v_question")
 VIEWS |= _retrieval("_all", "v_question_admin")
 VIEWS |= _retrieval("_list", "v_list_question")
+
+# ---- questions with rewrites: every other one asks for a list, each has two rewrites ----
+VIEWS |= {
+    "v_rw_question": """
+        SELECT q.* REPLACE (CASE WHEN q.query_id % 2 = 0 THEN l.question ELSE q.question END AS question)
+        FROM v_question q JOIN v_list_question l USING (query_id)""",
+    "v_var_question": """
+        SELECT query_id * 10 + n AS query_id, CASE n WHEN 0 THEN question WHEN 1 THEN 'about ' || substring(question, 1, 60)
+               ELSE 'on ' || substring(question, 20, 60) END AS question, is_admin, user_id, caller_tenant, clearance
+        FROM v_rw_question, (VALUES (0), (1), (2)) t(n)""",
+}
+VIEWS |= _retrieval("_var", "v_var_question")
+VIEWS |= _retrieval("_rw", "v_rw_question") | {
+    "v_fused_rw": """
+        SELECT query_id, doc_id, parent_id, chunk_index, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) AS rank FROM (
+          SELECT query_id // 10 AS query_id, doc_id, parent_id, chunk_index, sum(score) AS score, min((query_id % 10) * 1000 + rank) AS first
+          FROM v_fused_var GROUP BY ALL)""",
+}

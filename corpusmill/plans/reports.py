@@ -73,6 +73,18 @@ def _(i: Inputs):
     return reports.login_log(i.logins(), "ER#00000001", page=2).drop("user_id")
 
 
+@query(
+    "Q6_login_log_after",
+    """SELECT id, username, login_status, created_at, count(*) OVER () AS total FROM v_login WHERE contains(lower(username), 'er#00000001')
+    ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 20""",
+)
+def _(i: Inputs):
+    """The second page, sought by the last row of the first one."""
+    first = reports.login_log(i.logins(), "ER#00000001").select("created_at", "id").collect()
+    last = min((r.created_at, r.id) for r in first)
+    return reports.login_log(i.logins(), "ER#00000001", after=last).drop("user_id")
+
+
 @query(
     "Q7_system_metrics",
     """SELECT count(*) FILTER (status = 'pending') AS docs_pending, count(*) FILTER (status = 'processing') AS docs_processing,
@@ -119,6 +131,19 @@ def _(i: Inputs):
     return rows.select("id", "title", "category", "uploader", "tenant", "status", "total")
 
 
+@query(
+    "Q9_list_documents_after",
+    """SELECT id, title, total FROM (SELECT id, title, count(*) OVER () AS total FROM v_document, v_ctx x WHERE x.user_id = 50 AND x.is_admin AND status = 'completed'
+        AND (contains(lower(title), 'in') OR contains(lower(content), 'in')) ORDER BY id DESC LIMIT 10 OFFSET 10)""",
+)
+def _(i: Inputs):
+    page = lambda **at: reports.list_documents(
+        i.docs(), i.users(), i.grants(), i.categories(), i.tenants(), 50, keyword="In", status="completed", **at
+    )
+    last = page().agg(F.min("id")).first()[0]
+    return page(after=(last,)).select("id", "title", "total")
+
+
 @query(
     "Q9_list_documents_of_caller",
     """SELECT id, title, total FROM (SELECT id, title, count(*) OVER () AS total FROM v_document d, v_ctx x WHERE x.user_id = 7 AND (

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import functions as F
 
 from corpusmill.functions.vectors import squared_l2
 from corpusmill.operators import cells, dense, fusion, lexical, models, ranking, retrieval, rewrite
+from corpusmill.operators.scale import stage
 from corpusmill.plans.inputs import FLOOR, Inputs
 from corpusmill.plans.oracle_views import GRANTED, OPEN, strip
 from corpusmill.plans.registry import query
@@ -118,10 +120,24 @@ def _(i: Inputs):
     )
 
 
-@query("R5_embed_queries")
+INSTRUCTION = "Given a question, retrieve passages that answer it\nQuery: "
+
+
+@query(
+    "R5_embed_queries",
+    """SELECT query_id, 64 AS dims, round(sum((CAST(coalesce(t.v, 0) AS DOUBLE) - coalesce(p.v, 0)) * (CAST(coalesce(t.v, 0) AS DOUBLE) - coalesce(p.v, 0))), 6) AS moved
+    FROM (SELECT * FROM vector WHERE told) t FULL JOIN (SELECT * FROM vector WHERE NOT told) p USING (query_id, place) GROUP BY query_id""",
+    r"""
+    wording AS (SELECT query_id, told, CASE WHEN told THEN 'Given a question, retrieve passages that answer it' || chr(10) || 'Query: ' || question ELSE question END AS text
+      FROM v_question, (VALUES (true), (false)) t(told)),
+    hashed AS (SELECT query_id, told, CAST('0x' || substr(md5(term), 1, 6) AS INT) % 64 AS place, sum(CASE WHEN CAST('0x' || substr(md5(term), 7, 2) AS INT) < 128 THEN 1 ELSE -1 END) AS v
+      FROM (SELECT query_id, told, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM wording) GROUP BY ALL),
+    vector AS (SELECT query_id, told, place, CAST(coalesce(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY query_id, told)), 0), 0) AS FLOAT) AS v FROM hashed)""".replace("\\\\", "\\"),
+)
 def _(i: Inputs):
+    """How far the instruction moves each question."""
     plain = models.embed_queries(i.questions()).select("query_id", F.col("embedding").alias("plain"))
-    told = models.embed_queries(i.questions(), "Given a question, retrieve passages that answer it\nQuery: ")
+    told = models.embed_queries(i.questions(), INSTRUCTION)
     both = told.join(plain, "query_id")
     return both.select("query_id", F.size("embedding").alias("dims"), F.round(squared_l2(F.col("embedding"), F.col("plain")), 6).alias("moved"))
 
@@ -326,6 +342,60 @@ def _(i: Inputs):
     return stats.withColumn("topk_used", F.coalesce("topk_used", F.lit(-1)))
 
 
+def _rewriter(texts):
+    """A model that answers with two rewrites of the question, as JSON."""
+    return texts.map(lambda q: json.dumps(["about " + q[:60], "on " + q[19:79]], ensure_ascii=False))
+
+
+def _rewritten(i: Inputs):
+    """Every other question asks for a list; all go through the rewriter, each wording once."""
+    lists = i.list_questions().select("query_id", F.col("question").alias("listed"))
+    asked = i.questions().join(lists, "query_id")
+    questions = asked.withColumn("question", F.when(F.col("query_id") % 2 == 0, F.col("listed")).otherwise(F.col("question"))).drop("listed")
+    return questions, stage(rewrite.rewritten(questions, _rewriter), "variants")
+
+
+RW_LISTING = LISTING.replace("v_list_question", "v_rw_question")
+
+
+@query(
+    "R19_with_rewrites",
+    """SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY listed DESC, place) AS INT) AS rank, doc_id, title, listed, md5(content) AS content FROM (
+      SELECT query_id, doc_id, rank AS place, true AS listed, content FROM listing WHERE rank <= 15
+      UNION ALL SELECT query_id, doc_id, rank, false, content FROM v_hits_rw WHERE (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM listing WHERE rank <= 15))
+    JOIN (SELECT id AS doc_id, title FROM v_document) USING (doc_id)""",
+    RW_LISTING,
+)
+def _(i: Inputs):
+    """Rewrites of a batch fanned into one search and merged; list questions in the same batch."""
+    questions, variants = _rewritten(i)
+    hits = retrieval.hybrid_retrieve(questions, i.corpus(), variants, floor=FLOOR)
+    return hits.select("query_id", "rank", "doc_id", "title", "listed", F.md5("content").alias("content"))
+
+
+@query(
+    "R20_with_rewrites",
+    """SELECT q.query_id, CAST(3 AS BIGINT) AS variants,
+      (SELECT count(*) FROM v_dense_var d WHERE d.query_id // 10 = q.query_id) AS dense_count,
+      (SELECT count(*) FROM v_bm25_var d WHERE d.query_id // 10 = q.query_id) AS sparse_count,
+      (SELECT count(*) FROM v_fused_rw d WHERE d.query_id = q.query_id) AS fused_count,
+      (SELECT count(*) FROM v_rerank_rw d WHERE d.query_id = q.query_id) AS rerank_count,
+      (SELECT count(*) FROM listing d WHERE d.query_id = q.query_id AND rank <= 15) AS enum_docs,
+      (SELECT CAST(coalesce(max(k_used), -1) AS INT) FROM v_cut_rw d WHERE d.query_id = q.query_id) AS topk_used
+    FROM v_rw_question q""",
+    RW_LISTING,
+)
+def _(i: Inputs):
+    questions, variants = _rewritten(i)
+    found, sparse, merged = (stage(part, "candidates") for part in retrieval.candidates(variants, questions, i.corpus()))
+    head = retrieval.with_text(merged.filter(F.col("rank") <= ranking.FUSION_TOP), questions, i.chunks())
+    reranked = stage(ranking.rerank(head), "reranked")
+    cut = ranking.dynamic_topk(ranking.confidence_floor(reranked, FLOOR), 5)
+    listing = retrieval.listing_docs(questions, i.docs(), i.grants())
+    stats = retrieval.retrieval_stats(variants, found, sparse, merged, reranked, cut, listing)
+    return stats.withColumn("topk_used", F.coalesce("topk_used", F.lit(-1)))
+
+
 @query(
     "R21_source_docs",
     """SELECT query_id, string_agg(doc_id, ',' ORDER BY rank) AS doc_ids FROM (SELECT query_id, doc_id, min(rank) AS rank FROM v_cut GROUP BY ALL) GROUP BY query_id""",

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.operators.lexical import LexicalIndex, with_idf
+from corpusmill.operators.maintenance import dedup_chunks
 from corpusmill.operators.scale import small_side, stage
 from corpusmill.sources.index_store import BUCKETS
 
@@ -193,3 +194,20 @@ class VersionedIndex:
         sizes = self._sums("_sizes", SIZES, version).agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("n_chunks"), F.sum("tokens").alias("tokens"))
         terms, stats = with_idf(frequency, sizes.select("n_chunks", F.try_divide("tokens", "n_chunks").alias("avg_tokens")))
         return LexicalIndex(self.tables(["postings"], version)["postings"], terms, stats)
+
+
+def drop_copies(store: VersionedIndex) -> int:
+    """Takes the copies of chunks inside a document (``maintenance.dedup_chunks``) out of every table that is keyed by chunk, in one version.
+
+    Only documents that have copies are written anew; what else is stored of them stays.
+    """
+    live = store.tables()
+    chunks = live["chunks"] if "page" in live["chunks"].columns else live["chunks"].withColumn("page", F.lit(None).cast("int"))
+    kept = stage(dedup_chunks(chunks), "kept-chunks")
+    touched = stage(kept.where("copies > 1").select("doc_id").distinct(), "touched")
+    stays = kept.join(small_side(touched), "doc_id", "left_semi").select("doc_id", "chunk_index")
+    added = {}
+    for name, table in live.items():
+        mine = table.join(small_side(touched), "doc_id", "left_semi")
+        added[name] = mine.join(stays, ["doc_id", "chunk_index"], "left_semi").select(table.columns) if "chunk_index" in table.columns else mine
+    return store.commit(added, touched)
