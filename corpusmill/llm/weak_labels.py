@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import keep, text_or_empty
+from corpusmill.llm.common import keep, stored, text_or_empty
 from corpusmill.llm.rules import measures
 
 #: (name, condition for a vote for bad, condition for a vote for good), on the measures of a text.
@@ -34,9 +34,9 @@ LABELLERS = (
     ("plain", "100 * n_symbols > word_chars OR 20 * n_exclamations > n_words OR 100 * n_capitals > 25 * word_chars", "n_symbols = 0 AND n_exclamations * 50 <= n_words AND 100 * n_capitals <= 10 * word_chars"),
     ("varied", "n_words BETWEEN 30 AND 1000 AND 2 * n_distinct_words < n_words OR 5 * n_repeat_words > n_words AND n_words >= 20", "100 * n_distinct_words >= 55 * n_words AND n_repeat_words * 20 <= n_words"),
 )
-#: P(vote | class) believed beforehand: rows bad and good, votes bad, neither and good; and its weight in shares of the documents.
+#: P(vote | class) believed beforehand: rows bad and good, votes bad, neither and good; and the documents of each class it counts as, however many there are.
 BELIEF = ((0.3, 0.6, 0.1), (0.002, 0.6, 0.398))
-PRIOR = 1.0
+PRIOR_ROWS = 20.0
 #: Documents the scorer is trained on, chosen by the hash of text and id; the bound of the sample.
 TRAIN_ROWS = 8_000
 DIMENSIONS = 1 << 15
@@ -54,12 +54,11 @@ def with_votes(docs: DataFrame, labellers=LABELLERS) -> DataFrame:
     return measured.select("doc_id", "text", F.concat(*digits).alias("votes"))
 
 
-def estimate(counts: dict[str, int], rounds: int = 200, prior: float = PRIOR) -> tuple[dict[str, float], float, np.ndarray]:
+def estimate(counts: dict[str, int], rounds: int = 500, prior_rows: float = PRIOR_ROWS) -> tuple[dict[str, float], float, np.ndarray]:
     """Posterior of good for each pattern, the share of good documents, and P(vote | class) as [labeller, class, vote].
 
-    Votes are taken as independent given the class. ``BELIEF`` counts as ``prior`` times the
-    documents, so that a labeller which votes bad is believed unless the others contradict it
-    often; with that, the classes can't change places.
+    Votes are taken as independent given the class. ``BELIEF`` counts as ``prior_rows`` documents of each class:
+    it says which class is which and holds labellers that hardly vote, and the votes of a corpus outweigh it.
     """
     patterns = sorted(counts)
     if not patterns:
@@ -67,7 +66,7 @@ def estimate(counts: dict[str, int], rounds: int = 200, prior: float = PRIOR) ->
     votes = np.array([[int(v) for v in p] for p in patterns])
     weight = np.array([counts[p] for p in patterns], dtype=float)
     number = votes.shape[1]
-    belief = np.array(BELIEF)[None, :, :] * prior * weight.sum()
+    belief = np.array(BELIEF)[None, :, :] * prior_rows
     good = np.where((votes == 0).any(axis=1), 0.1, 0.9)
     table = np.zeros((number, 2, 3))
     for _ in range(rounds):
@@ -77,7 +76,7 @@ def estimate(counts: dict[str, int], rounds: int = 200, prior: float = PRIOR) ->
             here = votes == v
             table[:, 1, v] = (weight * good) @ here
             table[:, 0, v] = (weight * (1 - good)) @ here
-        table = (table + belief + 1.0) / (table + belief + 1.0).sum(axis=2, keepdims=True)
+        table = (table + belief + 1e-3) / (table + belief + 1e-3).sum(axis=2, keepdims=True)
         logs = np.log(table)
         each = logs[np.arange(number)[None, :], :, votes].sum(axis=1)
         odds = np.log(share / (1 - share)) + each[:, 1] - each[:, 0]
@@ -102,15 +101,18 @@ def _shape(word: str) -> str:
 
 
 def hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of a text: damped counts of words and shapes, of length 1 together; no word, no place."""
+    """Places of a text, and how many of its words and shapes fall there; no word, no place."""
     sums: Counter = Counter()
     for word, n in Counter(text.split()).items():
         sums[zlib.crc32(word.encode("utf-8", "surrogatepass")) % HALF] += n
         sums[_shape_place(_shape(word))] += n
-    places = np.fromiter(sums.keys(), np.int64, len(sums))
-    values = np.sqrt(np.fromiter(sums.values(), np.float64, len(sums)))
-    norm = np.sqrt((values * values).sum())
-    return places, values / norm if norm else values
+    return np.fromiter(sums.keys(), np.int32, len(sums)), np.fromiter(sums.values(), np.int32, len(sums))
+
+
+def damped(counts: np.ndarray) -> np.ndarray:
+    """Roots of the counts, of length 1 together."""
+    values = np.sqrt(counts.astype(np.float64))
+    return values / np.sqrt(max((values * values).sum(), 1.0))
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
@@ -131,20 +133,19 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
 def _hashed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = [hashed(text.as_py()) for text in batch.column(3)]
-        places = pa.array([p.astype(np.int32) for p, _ in made], pa.list_(pa.int32()))
-        values = pa.array([v.astype(np.float32) for _, v in made], pa.list_(pa.float32()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), places, values], names=["doc_id", "text_key", "votes", "places", "values"])
+        places, counts = (pa.array([m[i] for m in made], pa.list_(pa.int32())) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), places, counts], names=["doc_id", "text_key", "votes", "places", "counts"])
 
 
 def _scored(weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = []
-            for text in batch.column(2):
-                places, values = hashed(text.as_py())
-                z = float(weights[places] @ values + weights[-1])
-                scores.append(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["doc_id", "votes", "score"])
+            places, counts = (batch.column(i).flatten().to_numpy().astype(np.int64) for i in (2, 3))
+            lengths = np.diff(batch.column(2).offsets.to_numpy())
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            norm = np.sqrt(np.maximum(np.bincount(row, counts, len(lengths)), 1.0))
+            z = np.bincount(row, weights[places] * np.sqrt(counts), len(lengths)) / norm + weights[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "votes", "score"])
 
     return run
 
@@ -154,25 +155,24 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, kept_from: float = K
 
     Vote patterns are counted over all rows, and no more than 3^labellers reach the
     driver. ``posterior`` is what the labellers say together, ``score`` what the trained
-    scorer says of the words, ``kept`` whether the mean of both reaches ``kept_from``. Null
-    texts count as empty; an empty table gives no rows; other columns aren't read.
+    scorer says of the words, ``kept`` whether the mean of both reaches ``kept_from``. It trains on up to
+    ``train_rows`` different rows (doc_id, text), however often each comes. Null texts count as empty; an empty
+    table gives no rows; other columns aren't read. Texts are read whole, once: votes and hashed words are
+    stored, and scored from there.
     """
     voted = with_votes(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    short = keep(voted.select("doc_id", F.xxhash64("text").alias("text_key"), "votes"))
-    counts = {r["votes"]: r["count"] for r in short.groupBy("votes").count().collect()}
+    made = voted.select("doc_id", F.xxhash64("text").alias("text_key"), "votes", "text").mapInArrow(_hashed_rows, "doc_id bigint, text_key bigint, votes string, places array<int>, counts array<int>")
+    rows = stored(made, "hashed-words")
+    counts = {r["votes"]: r["count"] for r in rows.groupBy("votes").count().collect()}
     posterior, _, _ = estimate(counts)
     order = (F.xxhash64("doc_id", "text_key"), "doc_id", "text_key")
-    chosen = short.orderBy(*order).limit(train_rows)
-    ids = keep(chosen.select("doc_id", "text_key", "votes").distinct())
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("of"), text_or_empty().alias("text"))
     # the sample has a documented bound, and so has what is broadcast and what trains
-    same = F.col("of").eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col("text_key"))
-    sample = texts.join(F.broadcast(ids), same).select("doc_id", "text_key", "votes", "text")
-    features = sample.mapInArrow(_hashed_rows, "doc_id bigint, text_key bigint, votes string, places array<int>, values array<float>")
+    chosen = keep(rows.select(F.col("doc_id").alias("of"), F.col("text_key").alias("key")).distinct().orderBy(F.xxhash64("of", "key"), "of", "key").limit(train_rows))
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("key"))
     # a row has no more places than there are dimensions, however long its text
-    rows = features.dropDuplicates(["doc_id", "text_key"]).orderBy(*order).toLocalIterator()
-    weights = train([(np.array(r["places"], np.int64), np.array(r["values"], np.float64), posterior[r["votes"]]) for r in rows])
-    scored = voted.select("doc_id", "votes", "text").mapInArrow(_scored(weights), "doc_id bigint, votes string, score double")
-    known = F.create_map(*[x for p, v in posterior.items() for x in (F.lit(p), F.lit(v))]) if posterior else F.create_map().cast("map<string,double>")
-    both = scored.withColumn("posterior", F.try_element_at(known, F.col("votes")))
+    sample = rows.join(F.broadcast(chosen), same).dropDuplicates(["doc_id", "text_key"]).orderBy(*order).select("votes", "places", "counts").toLocalIterator()
+    weights = train([(np.array(r["places"], np.int64), damped(np.array(r["counts"])), posterior[r["votes"]]) for r in sample])
+    scored = rows.select("doc_id", "votes", "places", "counts").mapInArrow(_scored(weights), "doc_id bigint, votes string, score double")
+    known = docs.sparkSession.createDataFrame(list(posterior.items()), "votes string, posterior double")
+    both = scored.join(F.broadcast(known), "votes", "left")
     return both.select("doc_id", "votes", "posterior", "score", ((F.col("posterior") + F.col("score")) / 2 >= kept_from).alias("kept"))
