@@ -11,7 +11,7 @@ from corpusmill.functions.vectors import squared_l2
 from corpusmill.operators import cells, dense, fusion, lexical, models, ranking, retrieval, rewrite
 from corpusmill.operators.scale import stage
 from corpusmill.plans.inputs import FLOOR, Inputs
-from corpusmill.plans.oracle_views import GRANTED, OPEN, strip
+from corpusmill.plans.oracle_views import GRANTED, OPEN, WORD, strip
 from corpusmill.plans.registry import query
 
 
@@ -23,7 +23,18 @@ def long(name: str):
     return F.col(name).cast("long").alias(name)
 
 
-@query("R1_lexical_terms", "SELECT term, df, round(idf, 6) AS idf FROM v_idf")
+# One pass over the words, each step computed once.
+TERMS = f"""
+    words AS MATERIALIZED (SELECT list_distinct(regexp_extract_all(lower(text), '{WORD}')) AS ws FROM v_chunk),
+    freq AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(ws) AS term FROM words) GROUP BY term),
+    weighed AS MATERIALIZED (SELECT term, df, ln((SELECT count(*) FROM words) - df + 0.5) - ln(df + 0.5) AS raw FROM freq)"""
+
+
+@query(
+    "R1_lexical_terms",
+    "SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM weighed) ELSE raw END, 6) AS idf FROM weighed",
+    TERMS,
+)
 def _(i: Inputs):
     return lexical.build_lexical_index(i.chunks()).terms.select("term", "df", r6("idf"))
 
