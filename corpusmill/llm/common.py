@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A side of up to this many rows may be broadcast; every caller counts first and shuffles a larger one.
 BROADCAST_ROWS = 50_000
+#: A key with more than this share of the rows is hot; there are no more than its inverse of them.
+HOT = 1 / 200
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -55,3 +57,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark takes it, whatever signs are in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has every key once: keys that hold more than ``HOT`` of ``many`` are broadcast, so none meets in one task."""
+    number = many.count()
+    hot = keep(many.groupBy(*keys).count().where(F.col("count") > max(HOT * number, 1000)).drop("count"))
+    if hot.isEmpty():
+        return many.join(one, keys)
+    # fewer than 1 / HOT keys can hold more than HOT of the rows each
+    those = F.broadcast(hot)
+    common = many.join(those, keys, "left_semi").join(F.broadcast(one.join(those, keys, "left_semi")), keys)
+    return many.join(those, keys, "left_anti").join(one, keys).unionByName(common)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import keep, stored
+from corpusmill.llm.common import keep, spread_join, stored
 from corpusmill.llm.ordering import key_at, numbered
 
 #: Turns of a conversation's head come from the first conversation of its hundred.
@@ -32,8 +32,6 @@ PRIME = (1 << 31) - 1
 PARTS, TRIES = 4, 3
 #: Turns of a conversation that one window takes, and conversation ids that are joined into one text.
 BLOCK = 4096
-#: A key with more than this share of the rows is hot; there are no more than its inverse of them.
-HOT = 1 / 200
 MOST_ROUNDS = 64
 NODE = ["depth", "fa", "fb"]
 
@@ -83,18 +81,6 @@ def running(rows: DataFrame, key: str, place: str, sums: dict[str, str], block:
     return found.select(*rows.columns, *[(F.col(name) + F.coalesce(f"_{name}", F.lit(0))).alias(name) for name in sums])
 
 
-def spread_join(many: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join of ``many`` with ``one``, which has every key once: keys that hold more than ``HOT`` of ``many`` are broadcast, so none meets in one task."""
-    number = many.count()
-    hot = keep(many.groupBy(*keys).count().where(F.col("count") > max(HOT * number, 1000)).drop("count"))
-    if hot.isEmpty():
-        return many.join(one, keys)
-    # fewer than 1 / HOT keys can hold more than HOT of the rows each
-    those = F.broadcast(hot)
-    common = many.join(those, keys, "left_semi").join(F.broadcast(one.join(those, keys, "left_semi")), keys)
-    return many.join(those, keys, "left_anti").join(one, keys).unionByName(common)
-
-
 def _packed(parts: list[Column]) -> list[Column]:
     """Two longs of a fingerprint's four parts."""
     return [F.shiftleft(parts[i], 31).bitwiseOR(parts[i + 1]) for i in (0, 2)]

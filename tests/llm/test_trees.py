@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm import conversation_trie, exact_dedup, merkle
-from corpusmill.llm.common import stored
+from corpusmill.llm.common import spread_join, stored
 from corpusmill.llm.ordering import numbered
 
 sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
@@ -66,11 +66,14 @@ def test_duplicate_groups(spark, smallest):
     assert exact_dedup.duplicate_groups(frame.limit(0)).count() == 0
 
 
-def test_one_text_in_many_runs(spark, monkeypatch):
+@pytest.mark.parametrize("rows", [7, 4096])
+def test_one_text_in_many_runs_and_batches(spark, monkeypatch, rows):
     monkeypatch.setattr(exact_dedup, "RUN_BITS", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     frame = spark.range(2000).select((F.col("id") % 900).alias("doc_id"), F.when(F.col("id") % 3 == 0, "Same").otherwise(F.col("id").cast("string")).alias("text"))
     got = exact_dedup.duplicate_groups(frame.repartition(3), smallest=False, fan_in=3, range_rows=100).toPandas()
     same = got[got.group_size > 1]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     assert len(got) == 2000 and set(same.group_size) == {667} and set(same.keep_id) == {897} and same.kept.sum() == 1 and got.kept.sum() == 1334
 
 
@@ -203,7 +206,7 @@ def test_prefix_trie_with_colliding_bases_and_without_rows(spark, monkeypatch):
     assert conversation_trie.prefix_trie(frame.limit(0)).count() == 0
 
 
-def test_spread_join(spark, monkeypatch):
+def test_spread_join(spark):
     many = spark.range(5000).select(F.when(F.col("id") < 3000, 1).otherwise(F.col("id") % 50).alias("k"), "id")
     one = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    assert sorted(conversation_trie.spread_join(many, one, ["k"]).collect()) == sorted(many.join(one, "k").collect())
+    assert sorted(spread_join(many, one, ["k"]).collect()) == sorted(many.join(one, "k").collect())
