@@ -1,10 +1,11 @@
 """Personal data: validated patterns, and identifiers that contexts learned from them reveal.
 
-The base finds e-mail addresses, IP addresses, payment cards and phone numbers. They
-seed a bootstrap: the words around a seed are lexical patterns, patterns and the
-values they surround make a graph, and rounds of scoring pass confidence from values to
+The base finds e-mail addresses, IP addresses, payment cards and phone numbers. All of them
+seed a bootstrap: the words around a seed are lexical patterns; whatever stands in the place of a pattern
+that enough seeds share is an instance, whatever its shape. Patterns and
+values make a graph, and rounds of scoring pass confidence from values to
 patterns and back. Patterns of high confidence mark identifiers in their place which
-no base pattern knows. DataFrame operations only.
+no base pattern knows, unless the value is a common word, which mostly stands elsewhere. DataFrame operations only.
 
 Regular expressions are linear in the text: repetitions are possessive and matches
 start where a run starts. Places come from the lengths of the matches and of the texts
@@ -13,11 +14,13 @@ between them, summed in blocks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import let
-from corpusmill.llm.common import keep, small, text_or_empty
+from corpusmill.llm.common import keep, quoted, small, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -29,13 +32,16 @@ PATTERNS = {
 #: A text that lacks this can't match.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-#: Anything with a digit between blanks, phone numbers as one.
-CANDIDATE = r"\+[0-9][ ().0-9-]+[0-9]|[^ \t\n\x0B\f\r]*[0-9][^ \t\n\x0B\f\r]*+"
-#: What an unseen identifier looks like: this many characters and digits.
-ID_CHARS, ID_DIGITS = 8, 5
 ROUNDS = 3
 #: A pattern counts from so many distinct confirmed values and this share of all its values; it finds new ones from the higher share.
 SUPPORT, CONFIDENT, FINDS = 5, 0.5, 0.9
+#: A new value stands in the places of such patterns in this share of all its occurrences.
+SPECIFIC = 0.5
+#: One sign before each base span, by kind, and one for the blanks in it: a span is one word then. In texts they stand for no letter.
+MARKS, GLUE = "\ue000\ue001\ue002\ue003", "\ue004"
+#: Patterns, or new values, that are looked up in the rows of texts; more of them meet the words in a join.
+PATTERNS_AT_ONCE = 20_000
+BLANK = r"[ \t\n\x0B\f\r]+"
 BLOCK = 256
 
 
@@ -123,45 +129,102 @@ def base_spans(text: Column) -> Column:
     return F.concat(of("email"), digits)
 
 
-def _instances(docs: DataFrame) -> DataFrame:
-    """(text_key, start, end, value, kind, pattern): every token with digits in the distinct texts, with each of its contexts; kind is null for one that is no base span."""
-    texts = docs.select(text_or_empty().alias("text")).where(F.col("text").rlike("[0-9]"))
-    whole = lambda column, pattern: F.regexp_extract(column, pattern, 0)
-    spotted = texts.select(F.xxhash64("text").alias("text_key"), base_spans(F.col("text")).alias("spans"), F.explode(located(F.col("text"), CANDIDATE)).alias("m"))
-    edges = spotted.select(
-        "text_key",
-        "spans",
-        "m",
-        F.char_length(whole("m.value", r"^[^\p{L}0-9+]*+")).alias("cut"),
-        F.regexp_replace("m.value", r"^[^\p{L}0-9+]+|(?<=[\p{L}0-9])[^\p{L}0-9]+$", "").alias("value"),
-        # two words before, one after; fewer where the text or the last number is nearer
-        F.lower(F.regexp_extract("m.before", r"(?:([^ \t\n\x0B\f\r]+)[ \t\n\x0B\f\r]+)?+([^ \t\n\x0B\f\r]+)[ \t\n\x0B\f\r]*+$", 0)).alias("left_raw"),
-        F.lower(whole("m.after", r"[^ \t\n\x0B\f\r]+")).alias("right"),
-    )
-    trimmed = edges.select(
-        "text_key",
-        (F.col("m.start") + F.col("cut")).alias("start"),
-        (F.col("m.start") + F.col("cut") + F.char_length("value")).alias("end"),
-        "value",
-        "spans",
-        F.regexp_replace(F.trim("left_raw"), r"[ \t\n\x0B\f\r]+", " ").alias("left"),
-        "right",
-    )
-    kind = F.get(F.transform(F.filter("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))), lambda s: s["kind"]), F.lit(0))
-    named = trimmed.withColumn("kind", kind).drop("spans")
-    shaped = (F.char_length("value") >= ID_CHARS) & (F.length(_digits(F.col("value"))) >= ID_DIGITS)
-    contexts = F.array(
-        F.when(F.col("left").contains(" "), F.concat(F.lit("left "), "left")),
-        F.when((F.col("left") != "") & (F.col("right") != ""), F.concat_ws(" ", F.lit("round"), F.element_at(F.split("left", " "), -1), F.lit("_"), "right")),
-    )
-    return (
-        named.where(F.col("kind").isNotNull() | shaped)
-        .select("text_key", "start", "end", "value", "kind", F.explode(F.array_compact(contexts)).alias("pattern"))
-        .distinct()
-    )
+def _marked(kind: str, mark: str, text: Column) -> Column:
+    """``text`` with ``mark`` before every valid match of a kind, and the match as one word."""
+
+    def rebuilt(t: Column) -> Column:
+        pieces = F.zip_with(
+            F.split(t, PATTERNS[kind], -1),
+            F.regexp_extract_all(t, F.lit(PATTERNS[kind]), F.lit(0)),
+            lambda gap, m: F.concat(gap, F.when(m.isNull(), F.lit("")).when(valid(kind, m), F.concat(F.lit(mark), F.translate(m, " ", GLUE))).otherwise(m)),
+        )
+        return F.when(t.rlike(PATTERNS[kind]), F.array_join(pieces, "")).otherwise(t)
+
+    return let(text, rebuilt)
+
+
+def masked(text: Column) -> Column:
+    """``text`` with each base span as one word after the mark of its kind; everything else keeps its place but for the marks before it."""
+    made = F.translate(text, MARKS + GLUE, "\ufffd" * 5)
+    for kind, mark in zip(KINDS, MARKS, strict=True):
+        made = _marked(kind, mark, made)
+    return F.when(text.rlike("[@0-9]"), made).otherwise(F.translate(text, MARKS + GLUE, "\ufffd" * 5))
+
+
+def _kind(word: Column) -> Column:
+    """The kind of a marked word, null for others."""
+    first = F.regexp_extract(word, f"[{MARKS}]", 0)
+    found = F.lit(None).cast("string")
+    for kind, mark in zip(KINDS, MARKS, strict=True):
+        found = F.when(first == mark, F.lit(kind)).otherwise(found)
+    return found
+
+
+def _value(word: Column) -> Column:
+    """A word without the signs around it."""
+    return F.regexp_replace(word, r"^[^\p{L}0-9+]+|(?<=[\p{L}0-9])[^\p{L}0-9]+$", "")
+
+
+def _split(marked: Column) -> Column:
+    """(w, c): the words of a masked text, and the same in small letters with every base span as one word."""
+    words = F.array_remove(F.split(marked, BLANK), "")
+    plain = let(words, lambda w: F.transform(w, lambda x: F.when(x.rlike(f"[{MARKS}]"), F.lit("<id>")).otherwise(F.lower(x))))
+    around = F.when(marked.rlike(f"[{MARKS}]"), plain).otherwise(F.array_remove(F.split(F.lower(marked), BLANK), ""))
+    return F.struct(words.alias("w"), around.alias("c"))
+
 
+def _contexts(c: Column, i: Column) -> Column:
+    """The patterns around a place: two words before it, and one on each side; null where the text has none."""
+    left = F.when(i >= 2, F.concat_ws(" ", F.lit("left"), F.get(c, i - 2), F.get(c, i - 1)))
+    both = F.when((i >= 1) & (i + 1 < F.size(c)), F.concat_ws(" ", F.lit("round"), F.get(c, i - 1), F.lit("_"), F.get(c, i + 1)))
+    return F.array(left, both)
 
-def learned_patterns(instances: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+
+def _at_places(texts: DataFrame, place: Callable[[Column, Column], Column], pattern: Callable[[Column], Column]) -> DataFrame:
+    """(text_key, at, word, l1, pattern) of the words of ``texts`` (text_key, marked) whose place ``place`` (words and their small form, number) and context ``pattern`` allow; others never become rows."""
+
+    def found(both: Column) -> Column:
+        w, c = both["w"], both["c"]
+        places = F.filter(F.transform(w, lambda x, i: F.when(place(both, i), i)), lambda i: i.isNotNull())
+        named = lambda i: F.transform(
+            F.filter(_contexts(c, i), pattern), lambda p: F.struct(i.alias("at"), F.get(w, i).alias("word"), F.get(c, i - 1).alias("l1"), p.alias("pattern"))
+        )
+        return F.flatten(F.transform(places, named))
+
+    return texts.select("text_key", F.inline(let(_split(F.col("marked")), found)))
+
+
+def _instances_of(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(text_key, at, value, kind, pattern): what stands in the places of ``patterns`` (pattern, l1); kind is null for what is no base span."""
+    some = patterns.limit(PATTERNS_AT_ONCE + 1).collect()
+    if len(some) <= PATTERNS_AT_ONCE:
+        before, whole = sorted({r["l1"] for r in some}), sorted({r["pattern"] for r in some})
+        if not some:
+            before = whole = [""]
+        met = _at_places(texts, lambda both, i: (i >= 1) & F.get(both["c"], i - 1).isin(before), lambda p: p.isin(whole))
+    else:
+        every = _at_places(texts, lambda both, i: i >= 1, lambda p: p.isNotNull())
+        met = every.join(patterns.select("pattern").distinct(), "pattern", "left_semi")
+    word = F.col("word")
+    return met.select("text_key", "at", _value(F.regexp_replace(word, f"[{MARKS}]", "")).alias("value"), _kind(word).alias("kind"), "pattern").where("value <> ''").distinct()
+
+
+def _instances(texts: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
+    """Instances of the patterns that ``support`` distinct base spans of one kind share.
+
+    In the texts that have base spans, those must be the share ``confident`` of all values in a pattern's places;
+    contexts of common words fall here, before all texts are searched for what is left.
+    """
+    seen = F.col("marked").rlike(f"[{MARKS}]")
+    seeds = _at_places(texts.where(seen), lambda both, i: (i >= 1) & F.get(both["w"], i).rlike(f"[{MARKS}]"), lambda p: p.isNotNull())
+    shared = seeds.select("pattern", "l1", "word", _kind(F.col("word")).alias("kind")).distinct().groupBy("pattern", "l1", "kind").count().where(F.col("count") >= support)
+    patterns = keep(shared.select("pattern", "l1").distinct())
+    near = _instances_of(texts.where(seen), patterns).groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
+    share = near.groupBy("pattern").agg(F.count("*").alias("values"), F.count("kind").alias("named")).where(F.col("named") >= confident * F.col("values"))
+    return _instances_of(texts, keep(patterns.join(share.select("pattern"), "pattern")))
+
+
+def learned_patterns(instances: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
     """(pattern, kind, support, confidence): patterns whose values are of one kind, after ``rounds`` of scoring the graph.
 
     Values weigh 1 for the kind that a base pattern gives them, else what the patterns around
@@ -173,9 +236,9 @@ def learned_patterns(instances: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     weights = graph.where("seed IS NOT NULL").select("pattern", "value", F.col("seed").alias("kind"), F.lit(1.0).alias("weight"))
     scored = None
     for _ in range(rounds):
-        sums = weights.groupBy("pattern", "kind").agg(F.sum("weight").alias("support")).where(F.col("support") >= SUPPORT)
+        sums = weights.groupBy("pattern", "kind").agg(F.sum("weight").alias("support")).where(F.col("support") >= support)
         scored = keep(
-            sums.join(sizes, "pattern").select("pattern", "kind", "support", (F.col("support") / F.col("values")).alias("confidence")).where(F.col("confidence") >= CONFIDENT)
+            sums.join(sizes, "pattern").select("pattern", "kind", "support", (F.col("support") / F.col("values")).alias("confidence")).where(F.col("confidence") >= confident)
         )
         if scored.isEmpty():
             break
@@ -185,25 +248,59 @@ def learned_patterns(instances: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return scored
 
 
-def personal_spans(docs: DataFrame) -> DataFrame:
+def contextual(docs: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT, finds: float = FINDS, specific: float = SPECIFIC) -> DataFrame:
+    """(key, found): of each text, by its hash, the words (at, kind) that learned patterns say are identifiers; texts without any are left out."""
+    texts = docs.select(F.xxhash64(text_or_empty()).alias("text_key"), masked(text_or_empty()).alias("marked"))
+    instances = keep(_instances(texts, support, confident))
+    sure = learned_patterns(instances, support=support, confident=confident).where(F.col("confidence") >= finds)
+    # a pattern is of the kind that it is surest of
+    surest = keep(sure.groupBy("pattern").agg(F.max(F.struct("confidence", "support", "kind"))["kind"].alias("as_kind")))
+    new = keep(instances.where("kind IS NULL").join(small(surest), "pattern").groupBy("text_key", "at", "value").agg(F.min("as_kind").alias("as_kind")))
+    within = keep(new.groupBy("value").agg(F.count("*").alias("here")))
+    # how often the few new values come at all
+    values = within.select("value").limit(PATTERNS_AT_ONCE + 1).collect()
+    words = let(_split(F.col("marked")), lambda both: F.transform(both["w"], _value))
+    if len(values) <= PATTERNS_AT_ONCE:
+        listed = [r["value"] for r in values] or [""]
+        anywhere = texts.select("text_key", F.explode(F.filter(words, lambda v: v.isin(listed))).alias("value")) if values else within.select(F.lit(0).alias("text_key"), "value")
+    else:
+        anywhere = texts.select("text_key", F.explode(words).alias("value")).join(within.select("value"), "value", "left_semi")
+    own = within.join(anywhere.groupBy("value").agg(F.count("*").alias("everywhere")), "value").where(F.col("here") >= specific * F.col("everywhere")).select("value")
+    found = new.join(small(keep(own)), "value", "left_semi")
+    return found.groupBy(F.col("text_key").alias("key")).agg(F.array_sort(F.collect_list(F.struct("at", F.concat(F.lit("context-"), "as_kind").alias("kind")))).alias("found"))
+
+
+def _spans_of(found: Column, text: Column) -> Column:
+    """(kind, start, end) of the words ``found`` (at, kind) of a text, by kind and start."""
+    shape = "array<struct<kind:string,start:bigint,end:bigint>>"
+
+    def of(both: Column) -> Column:
+        marked, words = both["marked"], both["words"]
+
+        def span(f: Column) -> Column:
+            word = F.get(words, f["at"])
+            marks = F.char_length(F.regexp_replace(F.substring(marked, F.lit(1), word["start"].cast("int")), f"[^{MARKS}]", ""))
+            cut = F.char_length(F.regexp_extract(word["value"], r"^[^\p{L}0-9+]*+", 0))
+            start = word["start"] - marks + cut
+            return F.struct(f["kind"].alias("kind"), start.alias("start"), (start + F.char_length(_value(word["value"]))).alias("end"))
+
+        return F.array_sort(F.transform(found, span)).cast(shape)
+
+    with_words = let(masked(text), lambda m: F.struct(m.alias("marked"), located(m, r"[^ \t\n\x0B\f\r]++").alias("words")))
+    return F.when(found.isNotNull(), let(with_words, of)).otherwise(F.from_json(F.lit("[]"), shape))
+
+
+def personal_spans(docs: DataFrame, **learning) -> DataFrame:
     """All columns of ``docs`` with ``spans``: base spans as in ``base_spans``, then those of kind ``context-…`` by kind and start.
 
-    A null text counts as empty and has none. Equal texts have equal spans. A column
-    named ``spans`` is replaced.
+    ``learning`` goes to ``contextual``. A null text counts as empty and has none. Equal texts have equal spans. A column
+    named ``spans`` is replaced, others pass whatever their names. An empty table gives no rows.
     """
-    instances = keep(_instances(docs))
-    finds = learned_patterns(instances).where(F.col("confidence") >= FINDS)
-    # a pattern is of the kind that it is surest of
-    surest = keep(finds.groupBy("pattern").agg(F.max(F.struct("confidence", "support", "kind"))["kind"].alias("as_kind")))
-    new = instances.where("kind IS NULL").join(small(surest), "pattern")
-    spans = new.groupBy("text_key", "start", "end").agg(F.min("as_kind").alias("as_kind"))
-    found = spans.groupBy(F.col("text_key").alias("_text_key")).agg(
-        F.array_sort(F.collect_list(F.struct(F.concat(F.lit("context-"), "as_kind").alias("kind"), "start", "end"))).alias("_found")
-    )
-    none = F.from_json(F.lit("[]"), "array<struct<kind:string,start:bigint,end:bigint>>")
-    own = [c for c in docs.columns if c != "spans"]
-    keyed = docs.select(*own, F.xxhash64(text_or_empty()).alias("_text_key")).join(small(keep(found)), "_text_key", "left")
-    return keyed.select(*own, F.concat(base_spans(text_or_empty()), F.coalesce("_found", none)).alias("spans"))
+    found = contextual(docs, **learning)
+    own = F.struct(*[F.col(quoted(c)) for c in docs.columns if c != "spans"]).alias("own")
+    keyed = docs.select(own, text_or_empty().alias("body"), F.xxhash64(text_or_empty()).alias("text_key")).join(small(keep(found)), F.col("text_key") == F.col("key"), "left")
+    # first the spans, then the row's own columns, which may be named like those that make them
+    return keyed.select("own", F.concat(base_spans(F.col("body")), _spans_of(F.col("found"), F.col("body"))).alias("spans")).select("own.*", "spans")
 
 
 def _without_contextual(text: Column, spans: Column) -> Column:
@@ -243,9 +340,10 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Where kinds overlap, the first in the order of ``KINDS`` is replaced and the rest looked for in what is left.
     """
-    marked = personal_spans(docs.select(*[F.col(f"`{c}`").alias(f"_own_{c}") for c in docs.columns], "text"))
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), "text")
     text = _without_contextual(F.col("text"), F.col("spans"))
     for kind in KINDS:
         text = _without(kind, text)
     clean = F.when(F.size("spans") > 0, text).otherwise(F.col("text"))
-    return marked.withColumn("_clean", clean).select(*[F.col("_clean").alias("text") if c == "text" else F.col(f"_own_{c}").alias(c) for c in docs.columns])
+    marked = personal_spans(rows).select("row", clean.alias("clean"))
+    return marked.select(*[F.col("clean").alias(c) if c == "text" else F.col(f"row.{quoted(c)}") for c in docs.columns])
