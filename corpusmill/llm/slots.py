@@ -10,10 +10,12 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import keep, text_or_empty
+from corpusmill.llm.common import keep, scratch_path, stored, text_or_empty
+from corpusmill.llm.ordering import numbered
 
 SLOTS = 4096
 SHARDS = 24
@@ -89,12 +91,26 @@ def read_map(spark: SparkSession, path: str, version: int) -> SlotMap:
     return SlotMap(version, tuple(r["shard"] for r in rows))
 
 
+def newest(spark: SparkSession, path: str) -> int | None:
+    """The highest version stored at ``path``; None if there is none yet."""
+    try:
+        return spark.read.parquet(path).agg(F.max("version")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot) of every record; a null text has no bytes and the checksum of an empty one."""
+    """(doc_id, size, text_crc32, virtual_slot) of every record; a null text has no bytes and the checksum of an empty one.
+
+    Rows equal in id and checksum are numbered, and the number is hashed too: copies are spread over the slots.
+    """
     text = text_or_empty()
     size = (F.octet_length(text) + OVERHEAD).cast("bigint")
     measured = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    return measured.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    copies = numbered(stored(measured, "records"), ["doc_id", "text_crc32"], ["size"], "copy")
+    return copies.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "copy"), F.lit(slots)).cast("int")).drop("copy")
 
 
 def slot_totals(records: DataFrame) -> list[tuple[int, int, int]]:
@@ -103,22 +119,34 @@ def slot_totals(records: DataFrame) -> list[tuple[int, int, int]]:
     return [(r["virtual_slot"], r["bytes"], r["rows"]) for r in totals.collect()]
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, start: SlotMap | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, maps: str | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version) for every row of ``docs``.
 
-    ``law`` is ``bytes``: shards are near equal in size. ``slot`` is the row's place in its
+    The newest map at ``maps``, or the first one, is edited for the sizes of these records, stored as the next version
+    and read back; without ``maps`` that is a new folder in the shared one. ``law`` is ``bytes``: shards are near equal in size. ``slot`` is the row's place in its
     shard, gapless from 0: slots of a shard follow each other and rows within one go by
-    ``doc_id``, so no shard is sorted as a whole. Repeated rows get a place each.
+    ``doc_id``, so no shard is sorted as a whole. Repeated rows get a place each, null ids one like others; a null
+    text has size ``OVERHEAD``. An empty table gives no rows; other columns aren't read.
     """
+    spark = docs.sparkSession
     records = keep(sized(docs, slots))
     totals = slot_totals(records)
-    mapped = rebalanced(start or first_map(shards, slots), {slot: size for slot, size, _ in totals}, shards)
+    path = maps or scratch_path(spark, "slot-maps")
+    version = newest(spark, path)
+    if version is None:
+        write_map(spark, first_map(shards, slots), path)
+        version = 1
+    now = read_map(spark, path, version)
+    if len(now.shard_of) != slots:
+        raise ValueError(f"the map at {path} has {len(now.shard_of)} slots, not {slots}; their number is fixed")
+    write_map(spark, rebalanced(now, {slot: size for slot, size, _ in totals}, shards), path)
+    mapped = read_map(spark, path, version + 1)
     offsets, filled = [], [0] * shards
     for slot, _, rows in sorted(totals):
         to = mapped.shard_of[slot]
         offsets.append((slot, to, filled[to]))
         filled[to] += rows
-    placed = docs.sparkSession.createDataFrame(offsets, "virtual_slot int, shard int, before bigint")
+    placed = spark.createDataFrame(offsets, "virtual_slot int, shard int, before bigint")
     order = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32")
     numbered = records.withColumn("at", F.row_number().over(order) - 1)
     # the map has no more rows than there are slots
