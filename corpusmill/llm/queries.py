@@ -132,7 +132,8 @@ fit AS (SELECT r, arg_max(rule, (length(rule), rule)) AS rule, arg_max(action, (
 ruled AS (SELECT p.*, rule, action FROM p LEFT JOIN fit USING (r)),
 counts AS (SELECT host, count(*) AS n, count(*) FILTER (action = 'allow') AS a, count(*) FILTER (action = 'block') AS b FROM ruled WHERE host <> '' GROUP BY host),
 seeds AS (SELECT CASE WHEN a >= 0.5 * n THEN 1 ELSE -1 END AS side, host FROM counts WHERE a >= 0.5 * n OR b >= 0.5 * n),
-hrefs AS (SELECT host AS a, unnest(regexp_extract_all(html, '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["'']?([^"''\s>]+)', 1)) AS t FROM p),
+tags AS (SELECT host AS a, unnest(regexp_extract_all(html, '(?i)<a\s[^<>]*')) AS tag FROM p),
+hrefs AS (SELECT a, regexp_extract(tag, '(?i)\shref\s{{0,9}}=\s{{0,9}}["'']?([^"''\s>]+)', 1) AS t FROM tags),
 named AS (SELECT a, {URL_PARTS_SQL.format("CASE WHEN starts_with(t, '//') THEN 'http:' || t ELSE t END")} AS b FROM hrefs WHERE starts_with(t, '//') OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://')),
 links AS (SELECT a, b, count(*) AS weight FROM named WHERE a <> '' AND b <> '' AND a <> b GROUP BY a, b),
 moves AS MATERIALIZED (SELECT 1 AS side, a AS host, b AS next, weight / sum(weight) OVER (PARTITION BY a) AS share FROM links

@@ -8,6 +8,7 @@ scores of its host. DataFrame operations only; hosts, links and scores stay dist
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -24,14 +25,18 @@ RULES = (
     ("net/fr/", "block"),
 )
 DAMPING = 0.85
-ROUNDS = 20
+#: The share of the mass that may be left when it stops, far under the margin, and the rounds until then.
+LEFT = 0.001
+ROUNDS = math.ceil(math.log(LEFT) / math.log(DAMPING))
 #: A host is a seed from this share of its pages on.
 SEED_SHARE = 0.5
 #: A host is blocked if its distrust exceeds its trust by this much; a seed alone starts with 1 - DAMPING.
 MARGIN = 0.05
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?([^"'\s>]+)"""
+#: An anchor up to the next angle bracket, and its address: each reads a page once, whether tags end or not.
+ANCHOR = r"(?i)<a\s[^<>]*"
+ADDRESS = r"""(?i)\shref\s{0,9}=\s{0,9}["']?([^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -59,7 +64,8 @@ def host_links(pages: DataFrame) -> DataFrame:
 
     Only absolute and protocol-relative links name a host; others stay on their own.
     """
-    targets = pages.select(host_of(F.col("url")).alias("a"), F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1))).alias("to"))
+    anchors = pages.select(host_of(F.col("url")).alias("a"), F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(ANCHOR), F.lit(0))).alias("tag"))
+    targets = anchors.select("a", F.regexp_extract("tag", ADDRESS, 1).alias("to"))
     full = F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).otherwise(F.col("to"))
     named = targets.where(F.col("to").startswith("//") | F.col("to").rlike("^[A-Za-z][A-Za-z0-9+.-]*://")).select("a", host_of(full).alias("b"))
     return named.where("a <> '' AND b <> '' AND a <> b").groupBy("a", "b").agg(F.count("*").alias("weight"))
@@ -108,7 +114,8 @@ def propagate(start: DataFrame, links: DataFrame, damping: float = DAMPING, roun
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, margin: float = MARGIN, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of ``pages`` (page_id, url, html).
 
-    Rules first; else the host is blocked if distrust exceeds trust by more than ``margin``.
+    Rules first; else the host is blocked if distrust exceeds trust by more than ``margin``. A host of which rules
+    allow and block half of the pages each is a seed of trust. An empty table gives no rows.
     A page without a host, and one whose host no mass reaches, is allowed. Null html has
     no links. Repeated rows count as often as they come; other columns aren't read.
     """
