@@ -27,8 +27,6 @@ TRAIN_ROWS = 20_000
 STARTS = range(4, 10)
 SUPPORT = 4
 LEAST_WEIGHT = math.log(6)
-#: Terms of the lexicon and exception phrases at most.
-TERMS, EXCEPTIONS = 5_000, 1_000
 THRESHOLD = 0.7
 #: Values that must match what they stand for: letters of other scripts that look like Latin ones, and what is written for letters.
 LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "α": "a", "ε": "e", "ι": "i", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "ν": "v", "κ": "k"}
@@ -103,10 +101,12 @@ def features(automaton, folded: str) -> tuple[float, float, float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(text, toxic) of the labelled documents that may train: crc32 of the id as text, modulo 3, isn't 1."""
+    """(text, toxic) of up to ``rows`` different labelled documents that may train: crc32 of the id as text, modulo 3, isn't 1. However often a row comes, it trains once."""
     usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL AND crc32(encode(string(doc_id), 'UTF-8')) % 3 <> 1")
-    chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return keep(docs.select("doc_id", "text").join(small(keep(chosen)), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")))
+    chosen = usable.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    named = texts.join(small(keep(chosen)), "doc_id").dropDuplicates(["doc_id", "key"])
+    return keep(named.orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(rows).select("text", "toxic"))
 
 
 def _counted(pairs, kind: str):
@@ -137,7 +137,10 @@ def _term_counts(folded: str) -> Counter:
 
 
 def learn_terms(rows: DataFrame) -> dict[str, float]:
-    """Terms whose rate in toxic texts is well over that in clean ones, by log ratio; a start that says as much as a longer one replaces it."""
+    """Terms whose rate in toxic texts is well over that in clean ones, by log ratio; a start that says as much as a longer one replaces it.
+
+    All that pass are kept; there are no more of them than words in the bounded training rows.
+    """
     words = F.size(F.split("text", r"\s+"))
     n = {r["toxic"]: r["n"] for r in rows.groupBy(F.col("toxic").cast("boolean").alias("toxic")).agg(F.sum(words).alias("n")).collect()}
     toxic, clean = n.get(True, 0), n.get(False, 0)
@@ -146,7 +149,7 @@ def learn_terms(rows: DataFrame) -> dict[str, float]:
     counts = rows.mapInArrow(_counted(_term_counts, "term"), "term string, clean bigint, toxic bigint, clean_texts bigint, toxic_texts bigint").groupBy("term")
     summed = counts.agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "clean_texts", "toxic_texts")]).where(F.col("toxic_texts") >= SUPPORT)
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1)))
-    best = summed.withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT).orderBy(F.desc(F.col("weight") * F.col("toxic_texts")), "term").limit(TERMS)
+    best = summed.withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT).orderBy(F.desc(F.col("weight") * F.col("toxic_texts")), "term")
     found = {r["term"]: r["weight"] for r in best.collect()}
     kept: dict[str, float] = {}
     for term in sorted(found, key=lambda t: (len(t), t)):
@@ -173,7 +176,7 @@ def learn_exceptions(rows: DataFrame, terms: dict[str, float]) -> set[str]:
         return set()
     counted = rows.mapInArrow(_counted(phrases, "term"), "term string, clean bigint, toxic bigint, clean_texts bigint, toxic_texts bigint").groupBy("term")
     summed = counted.agg(F.sum("clean_texts").alias("c"), F.sum("toxic_texts").alias("t")).where("c >= 4 AND t = 0")
-    return {r["term"] for r in summed.orderBy(F.desc("c"), "term").limit(EXCEPTIONS).collect()}
+    return {r["term"] for r in summed.collect()}
 
 
 _AUTOMATA: dict[int, object] = {}
@@ -230,7 +233,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
-    Null and empty texts score as texts without a match. ``held_out`` is null for a null id.
+    Null and empty texts score as texts without a match. ``held_out`` is null for a null id. Repeated rows
+    repeat, an empty table gives no rows, other columns aren't read, and long texts are matched whole.
     """
     made = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_featured(model), FEATURES)
     w = model.scale
