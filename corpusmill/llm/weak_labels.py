@@ -42,6 +42,8 @@ TRAIN_ROWS = 8_000
 DIMENSIONS = 1 << 15
 EPOCHS, RATE, RIDGE = 8, 0.5, 1e-6
 KEPT_FROM = 0.5
+#: Rows of a batch that are worked on at a time.
+AT_ONCE = 1_000
 HALF = DIMENSIONS // 2
 SIGNS = string.punctuation
 
@@ -130,8 +132,15 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
     return weights
 
 
-def _hashed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of no more than ``AT_ONCE`` rows: what is made of a text is several times its size."""
     for batch in batches:
+        for start in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(start, AT_ONCE)
+
+
+def _hashed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _parts(batches):
         made = [hashed(text.as_py()) for text in batch.column(3)]
         places, counts = (pa.array([m[i] for m in made], pa.list_(pa.int32())) for i in (0, 1))
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), places, counts], names=["doc_id", "text_key", "votes", "places", "counts"])
@@ -139,7 +148,7 @@ def _hashed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scored(weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             places, counts = (batch.column(i).flatten().to_numpy().astype(np.int64) for i in (2, 3))
             lengths = np.diff(batch.column(2).offsets.to_numpy())
             row = np.repeat(np.arange(len(lengths)), lengths)
