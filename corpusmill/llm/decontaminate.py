@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import let
-from corpusmill.llm.common import keep, small
+from corpusmill.llm.common import keep, quoted, small
 
 WINDOW = 10
 #: Rarest terms of a query whose lists are intersected before words are compared.
@@ -146,15 +146,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, lists
     """All columns of ``docs`` with n_words, n_hit, hit_items (ids as strings, sorted), hits (start, length) and contaminated.
 
     A word inside any occurrence of any window is hit. Null and wordless texts have
-    neither words nor hits; no items, no hits. Columns of these names are replaced. Texts
+    neither words nor hits; no items, no hits; an empty table gives no rows. Columns of these names are replaced, others pass whatever their names. Texts
     aren't shuffled unless the caller keeps them.
     """
     places = phrase_places(docs.select("text").where("text IS NOT NULL"), keep(phrase_queries(items, window)), window, lists)
     mine = [c for c in docs.columns if c not in ("n_words", "n_hit", "hit_items", "hits", "contaminated")]
-    counted = docs.select(*mine, F.xxhash64("text").alias("_text_key"), F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"))
-    joined = counted.join(small(keep(_by_text(places)), 20_000), "_text_key", "left")
+    own = F.struct(*[F.col(quoted(c)) for c in mine]).alias("own")
+    counted = docs.select(own, F.xxhash64("text").alias("key"), F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"))
+    joined = counted.join(small(keep(_by_text(places)), 20_000), F.col("key") == F.col("_text_key"), "left")
     return joined.select(
-        *mine,
+        "own.*",
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
         F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"),
@@ -209,5 +210,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, lists
     """The rows of ``docs``, with their own columns, in which no window of any item occurs."""
     places = phrase_places(docs.select("text").where("text IS NOT NULL"), keep(phrase_queries(items, window)), window, lists)
     hit = places.select(F.col("text_key").alias("_hit_key")).distinct()
-    keyed = docs.select("*", F.xxhash64("text").alias("_own_text_key"))
-    return keyed.join(small(keep(hit)), F.col("_own_text_key") == F.col("_hit_key"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the row goes as one value, so that its names meet no others
+    keyed = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("own"), F.xxhash64("text").alias("key"))
+    return keyed.join(small(keep(hit)), F.col("key") == F.col("_hit_key"), "left_anti").select("own.*")
