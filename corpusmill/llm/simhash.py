@@ -26,10 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import let
-from corpusmill.llm.common import keep, scratch_path, small, text_or_empty
+from corpusmill.llm.common import keep, quoted, small, spread_join, stored, text_or_empty
 from corpusmill.llm.components import connected_components
-from corpusmill.llm.decontaminate import ascii_lower
 
 BITS = 3
 SHINGLE = 3
@@ -39,13 +37,17 @@ PIVOTS = 16
 #: Fingerprints of one key that one task compares; larger keys are split into pairs of chunks of this size.
 BLOCK = 4096
 #: Near-deduplication: seeds of the word fingerprints that propose pairs, and the shingles and similarity that decide.
-PROPOSE_SEEDS = (42, 43, 44)
+PROPOSE_SEEDS = (42,)
 VERIFY_SHINGLE = 5
 SIMILAR = 0.8
-#: Hashes that settle clear cases: an estimate further than ``CLEAR`` from the similarity asked for is six standard errors off.
-SKETCH, CLEAR = 256, 0.15
-#: Hashes of a first test, and the share of them that both texts must hold: fewer happen to a pair at ``SIMILAR`` less than once in a thousand million.
-FIRST, FIRST_SHARE = 32, 0.3
+#: Longs of a sketch, and the hashes it can hold: of a larger set it holds a share that halves until they fit.
+SKETCH, HELD = 8, 256
+#: Standard deviations by which such a share may be off before a pair is dropped; None compares those pairs on whole sets always.
+SLACK = 6.0
+#: Texts of one class that meet texts of others in one group.
+MEET = 1024
+#: Row numbers that may be broadcast, a long each.
+BROADCAST_NUMBERS = 500_000
 #: Texts of the sample that says which hashes are common, in how many of them a common one is, and the bound of their number.
 SAMPLE, OFTEN, COMMON = 4_000, 4, 100_000
 #: Hashes whose bits are counted at a time.
@@ -287,36 +289,97 @@ def simhash_components(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, s
     return marked.join(classes, "f", "left").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder by columns, which takes less of it than ``keep``."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+class _WordHashes(dict):
+    """The hash of each word seen, computed once; forgotten when there are many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > AT_ONCE:
+            self.clear()
+        made = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return made
+
+
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
+    """The distinct hashes (32 bits, ascending) of every run of ``size`` word hashes; fewer words make one run, none makes none."""
+    if not len(words):
+        return np.empty(0, np.int32)
+    width = min(size, len(words))
+    made = np.full(len(words) - width + 1, width, np.uint64)
+    for i in range(width):
+        made = (made ^ words[i : i + len(made)]) * MIX
+        made ^= made >> np.uint64(29)
+    return np.unique((made >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+
+def share_of(number: int) -> int:
+    """How often the share of a set of ``number`` hashes is halved until its sketch holds it."""
+    return max(0, (number - 1) // HELD).bit_length()
+
+
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * ``SKETCH`` places: whether an odd number of the hashes falls there.
+
+    Two sketches differ in no more bits than their sets in hashes, whatever the sets.
+    """
+    spread = (hashes.view(np.uint32).astype(np.uint64) + np.uint64(1)) * MIX
+    halved = share_of(len(hashes))
+    taken = spread[((spread >> np.uint64(8)) & np.uint64((1 << halved) - 1)) == 0] if halved else spread
+    odd = np.bincount((taken >> np.uint64(55)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _most_apart(n, m, similar: float, slack: float | None = SLACK):
+    """The bits in which sketches of sets of ``n`` and ``m`` hashes, alike by ``similar``, may differ; for numbers, or arrays of them."""
+    apart = (n + m) * (1 - similar) / (1 + similar) + 1e-6
+    halved = np.ceil(np.log2(np.maximum((np.maximum(n, 1) - 1) // HELD + 1, 1)))
+    mean = apart / 2**halved
+    return np.where(halved == 0, apart, np.inf if slack is None else mean + slack * np.sqrt(mean) + slack)
+
+
+def _sketched(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:  # the words of a batch are never held together
+                sets, prints, held, first = [], [], 0, at
+                while at < batch.num_rows and held < AT_ONCE:
+                    words = ascii_words(batch.column(2)[at].as_py())
+                    hashes = np.fromiter(map(known.__getitem__, words), "<u8", len(words))
+                    prints.append(hashes)
+                    sets.append(shingle_set(hashes, size))
+                    held, at = held + len(words), at + 1
+                numbers = np.array([len(s) for s in sets], np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(numbers)]).astype(np.int32)), pa.array(np.concatenate(sets)))
+                sketches = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([odd_sketch(s) for s in sets])), SKETCH).cast(pa.list_(pa.int64()))
+                f0 = fingerprints(np.concatenate(prints), np.array([len(p) for p in prints], np.int64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).slice(first, at - first) for i in (0, 1, 3)), pa.array(f0), pa.array(numbers), sketches, lists],
+                    names=["doc_id", "text_key", "row", "f0", "n", "odd", "hashes"],
+                )
+
+    return run
 
 
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(text_key, doc_id, n, few, lowest, rest): the number of each row's distinct word shingle hashes, the ``FIRST`` and the ``SKETCH`` lowest, and those after them; a shorter text is one shingle, a wordless one has none.
+    """(doc_id, text_key, row, f0, n, odd, hashes): each row's number, fingerprint of single words, the number of its distinct word shingle hashes, their sketch, and they themselves.
 
     Written to the shared folder in the scan of the texts, so no text is shuffled and later steps read only the columns they need.
     """
-    words = F.array_remove(F.split(ascii_lower(text_or_empty()), r"[ \t\n\x0B\f\r]+"), "")
-    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1)))
-    hashed = let(words, lambda w: F.when(F.size(w) > 0, F.array_distinct(F.transform(starts(w), lambda i: F.hash(F.slice(w, i, size))))))
-    in_order = F.sort_array(F.coalesce(hashed, F.array().cast("array<int>")))
-    parts = lambda s: F.struct(
-        F.size(s).alias("n"), F.slice(s, 1, FIRST).alias("few"), F.slice(s, 1, SKETCH).alias("lowest"), F.slice(s, SKETCH + 1, F.greatest(F.size(s) - SKETCH, F.lit(0))).alias("rest")
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty().cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row")
     )
-    # inline() makes the hashes once for all columns
-    rows = docs.select(F.xxhash64(text_or_empty()).alias("text_key"), F.col("doc_id").cast("bigint").alias("doc_id"), F.inline(F.array(let(in_order, parts))))
-    return _stored(rows, "sketches")
+    return stored(rows.mapInArrow(_sketched(size), "doc_id bigint, text_key bigint, row bigint, f0 bigint, n int, odd array<bigint>, hashes array<int>"), "sketches")
 
 
 def _of_texts(sketches: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
-    """(text_key, ``columns``) once for each of ``texts`` (text_key, doc_id), from the row of that document; copies of a text meet in no key."""
-    wanted = small(texts.select("text_key", F.col("doc_id").alias("of")))
-    own = sketches.select("text_key", "doc_id", *columns).withColumnRenamed("text_key", "key")
-    met = own.join(wanted, (F.col("key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("of")))
-    return met.select("text_key", *columns).dropDuplicates(["text_key"])
+    """(text_key, ``columns``) once for each of ``texts`` (text_key, row), from that row; copies of a text meet in no key."""
+    wanted = small(texts.select(F.col("row").alias("of")), BROADCAST_NUMBERS)
+    own = sketches.select("row", "text_key", *columns)
+    return own.join(wanted, F.col("row") == F.col("of")).select("text_key", *columns)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -324,46 +387,64 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct()
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` with ``of_a`` and ``of_b``, the hashes ``s`` of both texts."""
+def _with_both(pairs: DataFrame, sets: DataFrame, columns: list[str], spread: bool = False) -> DataFrame:
+    """``pairs`` with the columns of both texts, named after the end; with ``spread`` a text of many pairs is broadcast, else left to adaptive execution."""
     for end in "ab":
-        pairs = pairs.join(sets.select(F.col("text_key").alias(end), F.col("s").alias(f"of_{end}"), *([F.col("n").alias(f"n_{end}")] if "n" in sets.columns else [])), end)
+        own = sets.select(F.col("text_key").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+        pairs = spread_join(pairs, own, [end]) if spread else pairs.join(own, end)
     return pairs
 
 
-def _share(hashes: int | None = None) -> Column:
-    """The share of the hashes of two texts together that both have, of all or of the ``hashes`` lowest; 1 if there are none."""
-    union = F.array_union("of_a", "of_b")
-    common = F.array_intersect("of_a", "of_b")
-    if hashes:
-        union = F.slice(F.sort_array(union), 1, hashes)
-        common = F.array_intersect(union, common)
-    return F.when(F.size(union) == 0, 1.0).otherwise(F.size(common) / F.size(union))
+def _may_be_alike(similar: float, slack: float | None) -> Column:
+    """Whether numbers and sketches of two sets allow the similarity; sketches that hold different shares say nothing."""
+    sizes = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similar - 1e-9
+    halved = lambda n: F.ceil(F.log2(F.greatest(F.floor((F.col(n) - 1) / HELD) + 1, F.lit(1))))
+    apart = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    most = (F.col("n_a") + F.col("n_b")) * (1 - similar) / (1 + similar) + 1e-6
+    mean = most / F.pow(F.lit(2.0), halved("n_a"))
+    limit = F.when(halved("n_a") == 0, most).otherwise(mean + slack * F.sqrt(mean) + slack) if slack is not None else F.when(halved("n_a") == 0, most).otherwise(F.lit(float("inf")))
+    return sizes & ((halved("n_a") != halved("n_b")) | (apart <= limit))
 
 
 def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets of shingle hashes have a Jaccard similarity of ``similar`` or more.
+    """Those of ``pairs`` (a, b) whose whole sets of shingle hashes have a Jaccard similarity of ``similar`` or more."""
+    whole = _with_both(pairs, _of_texts(sketches, texts.join(_ends(pairs), "text_key"), "hashes"), ["hashes"])
+    common = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    union = F.size("hashes_a") + F.size("hashes_b") - common
+    return whole.where((union == 0) | (common >= union * similar - 1e-9)).select("a", "b")
+
+
+def _classes(links: DataFrame) -> DataFrame:
+    """(text_key, root) of the texts that have a link."""
+    return keep(connected_components(links).select(F.col("node").alias("text_key"), "root"))
+
+
+def connecting(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similar: float = SIMILAR, slack: float | None = SLACK) -> DataFrame:
+    """Links among ``pairs`` (a, b), all verified on whole sets, that connect what all of those pairs that are alike would connect.
 
-    Most pairs fall at a first test on few hashes. Sketches settle what is further than ``CLEAR`` from
-    ``similar``, and all of texts that they hold whole; the other pairs are compared on whole sets.
+    Sketches drop most pairs that aren't. Of the others each text's closest is verified first, and after that
+    only pairs whose ends aren't linked to the same text yet, so sets are moved about once for each text.
     """
-    at_least = similar - 1e-9
-    few = _of_texts(sketches, texts, "few").withColumnRenamed("few", "s")
-    first = keep(_with_sets(pairs, few).where(_share(FIRST) >= FIRST_SHARE * similar / SIMILAR).select("a", "b"))
-    lowest = _of_texts(sketches, texts.join(_ends(first), "text_key"), "lowest", "n").withColumnRenamed("lowest", "s")
-    held = (F.col("n_a") <= SKETCH) & (F.col("n_b") <= SKETCH)
-    judged = _with_sets(first, lowest).select("a", "b", held.alias("held"), F.when(held, _share()).otherwise(_share(SKETCH)).alias("share"))
-    judged = keep(judged.where(F.when(F.col("held"), F.col("share") >= at_least).otherwise(F.col("share") >= similar - CLEAR)))
-    settled = F.col("held") | (F.col("share") >= similar + CLEAR)
-    unclear = judged.where(~settled).select("a", "b")
-    whole = _of_texts(sketches, texts.join(_ends(unclear), "text_key"), "lowest", "rest").select("text_key", F.concat("lowest", "rest").alias("s"))
-    return judged.where(settled).select("a", "b").union(_with_sets(unclear, whole).where(_share() >= at_least).select("a", "b"))
+    near = _with_both(pairs, _of_texts(sketches, texts, "n", "odd"), ["n", "odd"], spread=True)
+    apart = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    first = keep(near.where(_may_be_alike(similar, slack)).select("a", "b", apart.alias("apart")))
+    ends = first.union(first.select("b", "a", "apart")).groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+    closest = keep(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = keep(verified(closest, sketches, texts, similar))
+    # the smallest text that a text is linked to stands for its class; pairs with the same one are connected
+    both = found.union(found.select("b", "a"))
+    labels = keep(both.groupBy(F.col("a").alias("text_key")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
+    rest = first.select("a", "b").join(closest, ["a", "b"], "left_anti")
+    for end in "ab":
+        rest = rest.join(labels.select(F.col("text_key").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
+    rest = keep(rest.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"))
+    return found if rest.isEmpty() else found.union(verified(rest, sketches, texts, similar))
 
 
 def _common_hashes(sketches: DataFrame, texts: DataFrame) -> list[int]:
     """Hashes that are in many texts of a sample by text key, the rarest first: no more than ``COMMON``, whatever the corpus."""
     sample = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(max(1, texts.count() // SAMPLE))) == 0)
-    hashes = _of_texts(sketches, sample, "lowest", "rest").select(F.explode(F.concat("lowest", "rest")).alias("h"))
+    hashes = _of_texts(sketches, sample, "hashes").select(F.explode("hashes").alias("h"))
     top = hashes.groupBy("h").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(COMMON)
     return [r["h"] for r in sorted(top.collect(), key=lambda r: (r["count"], r["h"]))]
 
@@ -404,10 +485,10 @@ def _shared_prefixes(sketches: DataFrame, texts: DataFrame, similar: float) -> D
 
     One shuffle by hash; a hash of one text alone goes in its task and is never stored.
     """
-    dealt = sketches.select("text_key", "n", F.concat("lowest", "rest").alias("s")).mapInArrow(_prefixes(_common_hashes(sketches, texts), similar), "k int, text_key bigint, n int, at int").repartition("k")
+    dealt = sketches.select("text_key", "n", "hashes").mapInArrow(_prefixes(_common_hashes(sketches, texts), similar), "k int, text_key bigint, n int, at int").repartition("k")
     ends = dealt.groupBy("k").agg(F.min(F.struct("text_key", "n", "at")).alias("rep"), F.max("text_key").alias("last"))
     several = ends.where("rep.text_key <> last").drop("last")
-    return _stored(dealt.join(several.hint("merge"), "k").dropDuplicates(["k", "text_key"]), "prefixes")
+    return stored(dealt.join(several.hint("merge"), "k").dropDuplicates(["k", "text_key"]), "prefixes")
 
 
 def _can_be_alike(n: Column, at: Column, m: Column, place: Column, similar: float) -> Column:
@@ -416,31 +497,100 @@ def _can_be_alike(n: Column, at: Column, m: Column, place: Column, similar: floa
     return (F.least(n, m) >= F.greatest(n, m) * similar - 1e-9) & (most * (1 + similar) >= (n + m) * similar - 1e-9)
 
 
-def _across(similar: float):
-    """Pairs of texts of different roots under one hash that sizes and places allow."""
+def _apart(sketches: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int64)
+
+
+def _across(similar: float, slack: float | None):
+    """What may be alike under one hash: pairs (a, b) of texts that stand alone for their class there, after sizes, places and sketches; and (a, b, class) of a text, or a class, and a class with several texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for now, groups in _whole_keys(batches):
-            keys, numbers, at, roots, part = (now.column(c).to_numpy().astype(np.int64) for c in ("text_key", "n", "at", "root", "part"))
-            order = np.lexsort((numbers, groups))
-            groups, keys, numbers, at, roots, part = (x[order] for x in (groups, keys, numbers, at, roots, part))
-            active = np.arange(len(keys) - 1)
-            for shift in range(1, len(keys)):
-                active = active[active + shift < len(keys)]
-                other = active + shift
-                active = active[(groups[active] == groups[other]) & (numbers[active] >= similar * numbers[other] - 1e-9)]
+            roots, keys, low, high, at, part = (now.column(c).to_numpy().astype(np.int64) for c in ("root", "text_key", "low", "high", "at", "part"))
+            several = now.column("several").to_numpy(zero_copy_only=False)
+            sketches = np.array(now.column("odd").combine_chunks().flatten()).reshape(-1, SKETCH).view(np.uint64)
+            order = np.lexsort((high, groups))
+            groups, roots, keys, low, high, at, part, several, sketches = (x[order] for x in (groups, roots, keys, low, high, at, part, several, sketches))
+            found: list[np.ndarray] = []
+
+            def note(a: np.ndarray, b: np.ndarray, kind: int) -> None:
+                if len(a):
+                    found.append(np.unique(np.stack([a, b, np.full(len(a), kind)], axis=1), axis=0))
+
+            alone = np.flatnonzero(~several)
+            active = np.arange(len(alone) - 1)
+            for shift in range(1, len(alone)):
+                active = active[active + shift < len(alone)]
+                a, b = alone[active], alone[active + shift]
+                near = (groups[a] == groups[b]) & (high[a] >= similar * high[b] - 1e-9)
+                active, a, b = active[near], a[near], b[near]
                 if not len(active):
                     break
-                a, b = active, active + shift
-                most = np.minimum(at[a], at[b]) + 1 + np.minimum(numbers[a] - at[a], numbers[b] - at[b]) - 1
-                real = (roots[a] != roots[b]) & ((part[a] != part[b]) | (part[a] < 0)) & (most * (1 + similar) >= similar * (numbers[a] + numbers[b]) - 1e-9)
-                if real.any():
-                    a, b = keys[a[real]], keys[b[real]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                most = np.minimum(at[a], at[b]) + np.minimum(high[a] - at[a], high[b] - at[b])
+                real = ((part[a] != part[b]) | (part[a] < 0)) & (most * (1 + similar) >= similar * (high[a] + high[b]) - 1e-9)
+                a, b = a[real], b[real]
+                limit = np.where(np.ceil(np.log2(np.maximum((high[a] - 1) // HELD + 1, 1))) == np.ceil(np.log2(np.maximum((high[b] - 1) // HELD + 1, 1))), _most_apart(high[a], high[b], similar, slack), np.inf)
+                real = _apart(sketches, a, b) <= limit
+                a, b = a[real], b[real]
+                note(np.minimum(keys[a], keys[b]), np.maximum(keys[a], keys[b]), 0)
+            starts = np.searchsorted(groups, np.arange(groups[-1] + 2)) if len(groups) else []
+            for row in np.flatnonzero(several):
+                others = np.arange(starts[groups[row]], starts[groups[row] + 1])
+                others = others[(others > row) | ~several[others]]
+                fits = (high[others] >= similar * low[row] - 1e-9) & (high[row] >= similar * low[others] - 1e-9) & ((part[others] != part[row]) | (part[row] < 0))
+                others = others[fits]
+                single = others[~several[others]]
+                note(keys[single], np.full(len(single), roots[row]), 1)
+                classes = others[several[others]]
+                note(np.minimum(roots[classes], roots[row]), np.maximum(roots[classes], roots[row]), 2)
+            if found:
+                made = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(made[:, i])) for i in range(3)], names=["a", "b", "kind"])
 
     return run
 
 
+def _meeting(similar: float, slack: float | None):
+    """Of each text of the one side the first link to a text of the other."""
+
+    def run(key: tuple, texts: pa.Table, members: pa.Table) -> pa.Table:
+        found = []
+        sizes = members.column("n").to_numpy()
+        theirs = np.array(members.column("odd").combine_chunks().flatten()).reshape(-1, SKETCH).view(np.uint64)
+        lists = members.column("hashes").combine_chunks()
+        halved = np.array([share_of(n) for n in sizes.tolist()])
+        for text, n, odd, own in zip(texts.column("text_key").to_pylist(), texts.column("n").to_pylist(), texts.column("odd"), texts.column("hashes"), strict=True):
+            apart = np.bitwise_count(theirs ^ np.array(odd.values).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            limit = np.where(halved == share_of(n), _most_apart(sizes, n, similar, slack), np.inf)
+            near = (np.minimum(sizes, n) >= similar * np.maximum(sizes, n) - 1e-9) & (apart <= limit)
+            mine = np.array(own.values)
+            for i in sorted(np.flatnonzero(near), key=lambda i: apart[i]):
+                common = len(np.intersect1d(mine, np.array(lists[i].values), assume_unique=True))
+                if common >= similar * (n + sizes[i] - common) - 1e-9:
+                    found.append((text, members.column("text_key")[i].as_py()))
+                    break
+        return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
+
+    return run
+
+
+def _met(targets: DataFrame, classes: DataFrame, sketches: DataFrame, texts: DataFrame, similar: float, slack: float | None, meet: int) -> DataFrame:
+    """Links of texts to classes, of ``targets`` (text_key, root): each text meets all texts of the class (text_key, root) on whole sets, ``meet`` by ``meet``. No more than one link for each meeting leaves the task."""
+    number = classes.join(targets.select("root").distinct(), "root").groupBy("root").agg(F.ceil(F.count("*") / meet).cast("int").alias("chunks"))
+    shapes = targets.groupBy("root").agg(F.ceil(F.count("*") / meet).cast("int").alias("blocks")).join(number, "root")
+    shapes = keep(shapes)
+    block = lambda n: F.pmod(F.xxhash64("text_key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    come = targets.join(shapes, "root").select("text_key", "root", block("blocks").alias("block"), every("chunks").alias("chunk"))
+    stay = classes.join(shapes, "root").select("text_key", "root", every("blocks").alias("block"), block("chunks").alias("chunk"))
+    both = targets.select("text_key").union(stay.select("text_key")).distinct()
+    sets = keep(_of_texts(sketches, texts.join(both, "text_key"), "n", "odd", "hashes"))
+    on = ["root", "block", "chunk"]
+    # names of its own for each side, so that the two sides of the meeting are told apart
+    left, right = (side.join(sets, "text_key").select(*[F.col(c).alias(c) for c in (*on, "text_key", "n", "odd", "hashes")]) for side in (come, stay))
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(_meeting(similar, slack), "a bigint, b bigint")
+
+
 def _simhash_proposals(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of texts with equal or close fingerprints of single words: each with the smallest and the closest of its part."""
     proposals = None
@@ -455,28 +605,52 @@ def _simhash_proposals(rows: DataFrame) -> DataFrame:
     return proposals
 
 
-def near_duplicate_links(docs: DataFrame, rows: DataFrame, similar: float = SIMILAR, size: int = VERIFY_SHINGLE, block: int = BLOCK) -> DataFrame:
+def near_duplicate_links(
+    docs: DataFrame, rows: DataFrame, similar: float = SIMILAR, size: int = VERIFY_SHINGLE, block: int = BLOCK, sketches: DataFrame | None = None, slack: float | None = SLACK, meet: int = MEET
+) -> DataFrame:
     """Links (a, b) that connect all text keys whose sets of ``size``-word shingles have a Jaccard similarity of ``similar`` or more.
 
     Every link is such a pair. Cheap proposals come first: SimHash of single words, and for
     each hash of a text's prefix the smallest text that has it too. What these connect is one
-    class. Then all texts that share a prefix hash and are of different classes are
-    compared, so no pair is missed and pairs inside a large group of copies are not listed.
+    class. Then classes that share a prefix hash are compared: texts that stand alone for their class under the
+    hash in pairs, which sketches test where they meet, and classes of several texts as a whole, against
+    the texts of the others. So no pair is missed, and neither pairs inside a group of copies nor pairs that only share a passage
+    are listed. Sketches of sets of up to ``HELD`` hashes drop no pair; those of larger sets err by chance
+    beyond ``slack`` standard deviations, unless it is None.
     """
-    texts = keep(rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")))
-    sketches = _sketches(docs, size)
+    sketches = _sketches(docs, size) if sketches is None else sketches
+    texts = keep(sketches.groupBy("text_key").agg(F.min("row").alias("row")))
     shared = _shared_prefixes(sketches, texts, similar)
     stars = shared.where(_can_be_alike(F.col("n"), F.col("at"), F.col("rep.n"), F.col("rep.at"), similar)).select(F.col("rep.text_key").alias("a"), F.col("text_key").alias("b"))
     proposals = _simhash_proposals(rows).union(stars).where("a <> b")
     proposals = keep(proposals.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = keep(verified(proposals, sketches, texts, similar))
-    roots = connected_components(found).select(F.col("node").alias("text_key"), "root")
+    found = keep(connecting(proposals, sketches, texts, similar, slack))
+    roots = _classes(found)
     classed = shared.drop("rep").join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
-    classed = _stored(classed, "classes")
-    mixed = classed.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k")
-    open_rows = _stored(classed.join(mixed, "k"), "open")
-    rest = _dealt(open_rows, "text_key", block).mapInArrow(_across(similar), "a bigint, b bigint").distinct()
-    return found.union(verified(keep(rest.join(proposals, ["a", "b"], "left_anti")), sketches, texts, similar))
+    each = classed.groupBy("k", "root").agg(F.count("*").alias("texts"), F.min("n").alias("low"), F.max("n").alias("high"), F.min(F.struct("text_key", "at")).alias("one"))
+    # under a hash that only one class has there is nothing to compare
+    each = stored(each, "classes")
+    mixed = each.groupBy("k").agg(F.count("*").alias("roots")).where("roots > 1").select("k")
+    open_rows = keep(each.join(mixed, "k").select("k", "root", (F.col("texts") > 1).alias("several"), "low", "high", "one.text_key", "one.at"))
+    # only texts that stand alone for their class are told apart by sketches
+    alone = open_rows.where("NOT several")
+    odd = _of_texts(sketches, texts.join(alone.select("text_key").distinct(), "text_key"), "odd")
+    none = F.array_repeat(F.lit(0).cast("bigint"), SKETCH)
+    marked = _dealt(alone.join(odd, "text_key").unionByName(open_rows.where("several").withColumn("odd", none)), "root", block)
+    rest = keep(marked.mapInArrow(_across(similar, slack), "a bigint, b bigint, kind bigint").distinct())
+    pairs = rest.where("kind = 0").select("a", "b").join(proposals, ["a", "b"], "left_anti")
+    found = found.union(verified(keep(pairs), sketches, texts, similar))
+    of_classes = rest.where("kind = 2").select("a", "b")
+    targets = rest.where("kind = 1").select(F.col("a").alias("text_key"), F.col("b").alias("root"))
+    sizes = roots.groupBy("root").agg(F.count("*").alias("texts"))
+    if not of_classes.isEmpty():  # the smaller class goes to the larger one, text by text
+        both = of_classes.join(sizes.select(F.col("root").alias("a"), F.col("texts").alias("n_a")), "a").join(sizes.select(F.col("root").alias("b"), F.col("texts").alias("n_b")), "b")
+        smaller = both.select(F.when(F.col("n_a") <= F.col("n_b"), F.col("a")).otherwise(F.col("b")).alias("from"), F.when(F.col("n_a") <= F.col("n_b"), F.col("b")).otherwise(F.col("a")).alias("root"))
+        targets = targets.union(smaller.join(roots.select("text_key", F.col("root").alias("from")), "from").select("text_key", "root"))
+    targets = keep(targets.distinct())
+    if targets.isEmpty():
+        return found
+    return found.union(_met(targets, roots, sketches, texts, similar, slack, meet))
 
 
 def near_deduplicate(docs: DataFrame, similar: float = SIMILAR, size: int = VERIFY_SHINGLE) -> DataFrame:
@@ -485,24 +659,24 @@ def near_deduplicate(docs: DataFrame, similar: float = SIMILAR, size: int = VERI
     Groups are the components of ``near_duplicate_links``; equal texts always belong
     together, texts without words too. Nulls: a null text counts as empty, a null ``doc_id``
     comes after all others. Of rows that share ``doc_id`` and text one stays. Columns are
-    passed as they are. Whole texts are only shuffled where many rows go.
+    passed as they are, whatever their names. Whole texts are only shuffled where many rows go.
     """
-    marked = keep(with_fingerprints(docs, 1, PROPOSE_SEEDS))
-    prints = [c for c in marked.columns if c.startswith("f")]
-    rows = keep(marked.groupBy("doc_id", "text_key", *prints).agg(F.count("*").alias("times")))
-    texts = rows.groupBy("text_key", *prints).agg(F.min("doc_id").alias("doc_id"))
-    roots = connected_components(near_duplicate_links(docs, texts, similar, size)).select(F.col("node").alias("text_key"), "root")
+    sketches = _sketches(docs, size)
+    rows = keep(sketches.groupBy("doc_id", "text_key", "f0").agg(F.count("*").alias("times")))
+    texts = rows.groupBy("text_key", "f0").agg(F.min("doc_id").alias("doc_id"))
+    roots = connected_components(near_duplicate_links(docs, texts, similar, size, sketches=sketches)).select(F.col("node").alias("text_key"), "root")
     grouped = rows.select("doc_id", "text_key", "times").join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
     first = grouped.groupBy("root").agg(F.min(order).alias("first"), F.sum("times").alias("members")).where("members > 1")
     judged = keep(grouped.join(first, "root").select("doc_id", "text_key", "times", (order == F.col("first")).alias("stays")))
     losers = judged.where("NOT stays").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     repeated = judged.where("stays AND times > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    own = docs.columns
-    keyed = docs.select(*own, F.col("doc_id").cast("bigint").alias("_doc"), F.xxhash64(text_or_empty()).alias("_text_key"))
-    on = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    # the row goes as one value, so that its names meet no others
+    own = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("own")
+    keyed = docs.select(own, F.col("doc_id").cast("bigint").alias("doc"), F.xxhash64(text_or_empty().cast("string")).alias("text_key"))
+    on = F.col("doc").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
     kept = keyed.join(small(losers), on, "left_anti")
     if repeated.isEmpty():
-        return kept.select(*own)
-    again = kept.join(small(repeated), on, "left_semi").groupBy("_doc", "_text_key").agg(F.first(F.struct(*own)).alias("row")).select("row.*")
-    return kept.join(small(repeated), on, "left_anti").select(*own).unionByName(again)
+        return kept.select("own.*")
+    again = kept.join(small(repeated), on, "left_semi").groupBy("doc", "text_key").agg(F.first("own").alias("own")).select("own.*")
+    return kept.join(small(repeated), on, "left_anti").select("own.*").unionByName(again)
