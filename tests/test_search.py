@@ -80,6 +80,19 @@ def test_no_vector_is_copied(spark, points):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "Generate" not in plan
 
 
+def test_queries_go_once_to_each_group_of_cells(spark, points):
+    """Copies of queries grow with the groups, of a bounded number of vectors, and not with the cells."""
+    made, asked = points
+    stored, queries = vectors_of(spark, made, "vec_id"), vectors_of(spark, asked, "query_id")
+    index = cells.build_cells(stored, 40)
+    shapes = index.cells.toPandas().sort_values("cell", ignore_index=True)
+    first, parts = cells._grouped(shapes, 200)
+    groups = int((first + parts).max())
+    assert 4 <= groups <= 12 < len(shapes)
+    copies, filed = cells._by_cells(queries, index.vectors, ["vec_id"], shapes, cells._probed(shapes, "l2", 1e9, None), 200)
+    assert copies.count() <= len(asked) * groups and filed.count() == len(made)
+
+
 def _bm25(texts, questions, k):
     words = {n: t.lower().split() for n, t in texts.items()}
     avg = sum(map(len, words.values())) / len(words)
