@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import normalize_question
 from corpusmill.operators.cells import CellIndex, build_cells, nearest_in_cells
-from corpusmill.operators.dense import nearest
-from corpusmill.operators.scale import HOUR_US, latest_before, running, stage, top_n
+from corpusmill.operators.dense import QUERY_BLOCK, nearest
+from corpusmill.operators.scale import HOUR_US, latest_before, running, stage, top_n, within
 
 ANSWER_TTL, CONTEXT_TTL = 86_400, 21_600
 SIMILAR = 0.92
@@ -67,9 +67,11 @@ def reuse_semantic(
     Both sides carry tenant_id and embedding; queries have ts, entries cached_at.
     ``isolate=False`` lets answers cross tenants. With ``cells`` entries are filed in so many
     cells (0: about the root of their number), and a query reads those that may hold an entry as near as
-    the threshold asks: the same result, without comparing every pair.
+    the threshold asks: the same result, without comparing every pair. Beyond ``query_block`` queries, either
+    way, a query meets only entries of its tenant stored in the span of ``ttl`` it lies in or the one before.
     """
     ttl_us = int(ttl) * 1_000_000
+    span = max(ttl_us, 1)
 
     def usable(asked: pd.DataFrame, stored: pd.DataFrame) -> np.ndarray:
         age = asked["at"].to_numpy()[:, None] - stored["stored_at"].to_numpy()[None, :]
@@ -87,12 +89,17 @@ def reuse_semantic(
         F.unix_micros("cached_at").alias("stored_at"),
     )
     limit = 1.0 - threshold + 1e-9
-    if cells is None:
+    if cells is None and (blocks or within(asked, QUERY_BLOCK)):
         best = nearest(asked, stored, ["entry_id"], 1, limit, "cosine", usable, **blocks)
     else:
-        filed = build_cells(stage(stored, "entries"), cells or None, "cosine")
+        # Whatever serves a query was stored in one of two spans, and is nearest in one of them.
+        by = ["span", *(["tenant_id"] if isolate else [])]
+        at = lambda name: F.floor(F.col(name) / F.lit(span)).cast("long")
+        asked = asked.withColumn("span", F.explode(F.array(at("at"), at("at") - 1)))
+        stored = stage(stored.withColumn("span", at("stored_at")), "entries")
+        filed = build_cells(stored, 1 if cells is None else cells or None, "cosine")
         index = CellIndex(stage(filed.vectors, "entry-cells"), filed.cells, "cosine")
-        best = nearest_in_cells(asked, index, ["entry_id"], 1, limit, usable)
+        best = nearest_in_cells(stage(asked, "asks"), index, ["entry_id"], 1, limit, usable, by=by)
     return best.select("query_id", "entry_id", F.round(1.0 - F.col("distance"), 4).alias("similarity"))
 
 

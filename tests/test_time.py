@@ -106,6 +106,24 @@ def test_semantic_reuse_isolates_tenants(spark):
     assert grid == shared
 
 
+@pytest.mark.parametrize("cells", [0, None])
+def test_semantic_reuse_meets_entries_of_two_spans(spark, monkeypatch, cells):
+    """A query is compared with its tenant's entries of two spans only; the result is that of all pairs."""
+    hour = datetime.timedelta(hours=1)
+    pick = random.Random(3)
+    asks = [(n, pick.randrange(3), [1.0, pick.random()], START + n * 3 * hour) for n in range(200)]
+    kept = [(1000 + n, f"q{n}", pick.randrange(3), [1.0, pick.random()], START + n * 3 * hour - hour) for n in range(200)]
+    asked = spark.createDataFrame(asks, "query_id long, tenant_id long, embedding array<float>, ts timestamp")
+    entries = spark.createDataFrame(kept, "entry_id long, question string, tenant_id long, embedding array<float>, cached_at timestamp")
+    exact = sorted(map(str, reuse.reuse_semantic(asked, entries, 0.99, query_block=10_000).collect()))
+    seen = []
+    search = reuse.nearest_in_cells
+    monkeypatch.setattr(reuse, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(reuse, "nearest_in_cells", lambda *a, **b: (seen.append((a[0], b["by"])), search(*a, **b))[1])
+    assert sorted(map(str, reuse.reuse_semantic(asked, entries, 0.99, cells=cells).collect())) == exact
+    assert len(exact) > 50 and seen[0][1] == ["span", "tenant_id"] and seen[0][0].count() == 2 * len(asks)
+
+
 def test_hot_stream_matches_the_loop(spark, tmp_path):
     rows = sorted(log(12, n=200), key=lambda r: r[1])
     for part in range(4):
