@@ -46,3 +46,13 @@ def test_counts_agree_with_lists_and_admins_see_most(spark):
     raised = users.withColumn("clearance_level", F.lit(4))
     more = {r.user_id: r.visible for r in access.visible_counts(chunks, raised, acl).collect()}
     assert all(more[u] >= counts[u] for u in counts)
+
+
+def test_grants_of_many_documents_leave_the_index_in_place(spark):
+    """Rows of an index are not shuffled for the grants of more documents than a side of any kind may have."""
+    chunks = spark.range(120_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("chunk_index"))
+    acl = spark.range(0, 120_000, 2).select(F.col("id").alias("document_id"), (F.col("id") % 3).alias("user_id"))
+    callers = spark.createDataFrame([(0,), (1,), (2,)], "user_id long")
+    attached = access.attach_grants(chunks, acl, callers)
+    assert "hint" in attached._jdf.queryExecution().logical().toString().lower()
+    assert attached.filter("size(granted_to) = 1").count() == 60_000
