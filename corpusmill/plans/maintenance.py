@@ -386,11 +386,15 @@ def _(i: Inputs):
     return hits.select("query_id", "rank", "doc_id", "title", "chunk_index", F.md5("content").alias("content"), F.round("rerank_norm", 6).alias("rerank_norm"))
 
 
+# One for each worker, which keeps its words.
+_embedder = models.hashing_embedder()
+
+
 def _picky(texts):
     """A model that fails on texts that begin with a Q or a T."""
     if texts.str.startswith(("Q", "T")).any():
         raise ValueError("not this text")
-    return models.hashing_embedder()(texts)
+    return _embedder(texts)
 
 
 @query(

@@ -4,6 +4,7 @@ import datetime
 
 import pandas as pd
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from corpusmill.operators import chunking, lexical, models, reuse
@@ -47,6 +48,21 @@ def test_versions_keep_counts_and_older_states(spark, tmp_path):
     assert len(store.manifest()["commits"]) == 1
 
 
+def test_documents_of_one_file_are_work_for_several_tasks(spark, tmp_path):
+    rows = [(n, f"t{n}", f"text number {n} " * 20, 1, "public", 1, 1) for n in range(200)]
+    spark.createDataFrame(rows, ingest.STAGED).coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def where(texts):
+        number = TaskContext.get().partitionId()
+        return pd.Series([[float(number)]] * len(texts), index=texts.index)
+
+    ingest.ingest_to_store(spark, str(tmp_path / "in"), str(tmp_path / "store"), 1, where, buckets=2).awaitTermination()
+    part = ingest.document_store(spark, str(tmp_path / "store"), 2).tables()
+    assert part["vectors"].select("embedding").distinct().count() > 1
+    assert part["parents"].select("doc_id").distinct().count() == 200
+    assert {(r.status, r.text) for r in part["documents"].collect()} == {("completed", r[2]) for r in rows}
+
+
 def test_rebuild_keeps_what_has_no_source(spark, tmp_path):
     store = VersionedIndex(spark, str(tmp_path / "store"), buckets=4)
     old = docs(spark, {1: "old one", 2: "old two", 3: "old three"})
