@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from corpusmill.operators.lexical import LexicalIndex, with_idf
 from corpusmill.operators.maintenance import dedup_chunks
-from corpusmill.operators.scale import small_side, stage
+from corpusmill.operators.scale import NARROW_ROWS, small_side, stage
 from corpusmill.sources.index_store import BUCKETS
 
 COUNTS = "doc_bucket int, term string, df bigint"
@@ -106,7 +106,7 @@ class VersionedIndex:
             entry["removed"] = gone.schema["doc_id"].dataType.simpleString()
             if "postings" in now["schemas"] and not fresh:
                 touched = [r["doc_bucket"] for r in gone.select("doc_bucket").distinct().collect()]
-                old = self.tables(["postings"], buckets=touched)["postings"].join(small_side(gone.select("doc_id")), "doc_id", "left_semi")
+                old = self.tables(["postings"], buckets=touched)["postings"].join(small_side(gone.select("doc_id"), NARROW_ROWS), "doc_id", "left_semi")
                 changed = old.select("doc_id", "n_tokens", "terms", F.lit(-1).alias("sign"))
         if "postings" in added:
             new = self.spark.read.schema(self._stored_schema(schemas, "postings")).parquet(f"{self.path}/postings/commit={name}")
@@ -165,7 +165,7 @@ class VersionedIndex:
             rows = self.spark.read.option("basePath", f"{self.path}/_removed").schema(schema).parquet(*paths)
             if buckets is not None and not set(names or now["schemas"]) & set(self.bucket_by):
                 rows = rows.where(F.col("doc_bucket").isin(buckets))
-            gone = small_side(rows.groupBy("doc_id").agg(F.max(number(F.col("commit"))).alias("_gone")))
+            gone = small_side(rows.groupBy("doc_id").agg(F.max(number(F.col("commit"))).alias("_gone")), NARROW_ROWS)
         out = {}
         for name in names or sorted(now["schemas"]):
             held = [c for c in now["commits"] if name in c["tables"]]
@@ -205,9 +205,10 @@ def drop_copies(store: VersionedIndex) -> int:
     chunks = live["chunks"] if "page" in live["chunks"].columns else live["chunks"].withColumn("page", F.lit(None).cast("int"))
     kept = stage(dedup_chunks(chunks), "kept-chunks")
     touched = stage(kept.where("copies > 1").select("doc_id").distinct(), "touched")
-    stays = kept.join(small_side(touched), "doc_id", "left_semi").select("doc_id", "chunk_index")
+    few = small_side(touched, NARROW_ROWS)
+    stays = kept.join(few, "doc_id", "left_semi").select("doc_id", "chunk_index")
     added = {}
     for name, table in live.items():
-        mine = table.join(small_side(touched), "doc_id", "left_semi")
+        mine = table.join(few, "doc_id", "left_semi")
         added[name] = mine.join(stays, ["doc_id", "chunk_index"], "left_semi").select(table.columns) if "chunk_index" in table.columns else mine
     return store.commit(added, touched)
