@@ -160,3 +160,11 @@ def test_prompt_keeps_braces_of_texts(spark):
 def test_retrieve_rejects_unknown_mode(spark):
     with pytest.raises(ValueError):
         retrieval.retrieve(None, None, "nope")
+
+
+def test_words_of_a_long_text_are_counted_in_its_row(spark):
+    texts = {1: "b a b c a b", 2: "", 3: "x " * 5000 + " ".join(f"w{n}" for n in range(3000)), 4: None}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("chunk_index", F.lit(0))
+    counted = {r.doc_id: {t.term: t.tf for t in r.terms or []} for r in lexical.index_rows(rows).collect()}
+    assert counted[1] == {"a": 2, "b": 3, "c": 1} and counted[2] == {} and counted[4] == {}
+    assert counted[3] == {"x": 5000, **{f"w{n}": 1 for n in range(3000)}}
