@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import keep, quoted, small, spread_join, stored, text_or_empty
-from corpusmill.llm.components import connected_components
+from corpusmill.llm.common import keep, quoted, release, small, spread_join, stored, text_or_empty
+from corpusmill.llm.components import connected_components, lowest_rows
 
 BITS = 3
 SHINGLE = 3
@@ -166,25 +166,6 @@ def _pairs_of(key: np.ndarray, prints: np.ndarray, part: np.ndarray, bits: int)
             yield order[a[real]], order[b[real]]
 
 
-def _smallest(size: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For every row the lowest row of its component; links are merged as they come, so memory stays in the order of the rows."""
-    label = np.arange(size)
-
-    def top() -> None:
-        while not np.array_equal(up := label[label], label):
-            label[:] = up
-
-    for a, b in pairs:
-        while True:
-            la, lb = label[a], label[b]
-            differ = la != lb
-            if not differ.any():
-                break
-            np.minimum.at(label, np.maximum(la, lb)[differ], np.minimum(la, lb)[differ])
-            top()
-    return label
-
-
 def _noting_closest(prints: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], closest: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Passes pairs on and leaves in ``closest`` every row's partner of the fewest differing bits, the lowest of several. A block has a row once on each side."""
     differ = np.full(len(prints), 65)
@@ -229,7 +210,7 @@ def _compare(bits: int, closest_too: bool):
             pairs = _pairs_of(groups, prints, part, bits)
             own = np.arange(len(groups))
             closest = own.copy()
-            label = _smallest(len(groups), _noting_closest(prints, pairs, closest) if closest_too else pairs)
+            label = lowest_rows(len(groups), _noting_closest(prints, pairs, closest) if closest_too else pairs)
             made = prints.view(np.int64)
             for to in (label, closest):
                 linked = np.nonzero(to != own)[0]
@@ -375,13 +356,22 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
     return stored(rows.mapInArrow(_sketched(size), "doc_id bigint, text_key bigint, row bigint, f0 bigint, n int, odd array<bigint>, hashes array<int>"), "sketches")
 
 
-def _of_texts(sketches: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
-    """(text_key, ``columns``) once for each of ``texts`` (text_key, row), from that row; copies of a text meet in no key."""
-    wanted = small(texts.select(F.col("row").alias("of")), BROADCAST_NUMBERS)
+def _of_texts(sketches: DataFrame, texts: DataFrame, *columns: str, few: bool = False) -> DataFrame:
+    """(text_key, ``columns``) once for each of ``texts`` (text_key, row), from that row; copies of a text meet in no key.
+
+    With ``few`` there are no more than ``BROADCAST_NUMBERS`` texts in all, so those wanted are not counted.
+    """
+    wanted = texts.select(F.col("row").alias("of"))
+    wanted = F.broadcast(wanted) if few else small(wanted, BROADCAST_NUMBERS)
     own = sketches.select("row", "text_key", *columns)
     return own.join(wanted, F.col("row") == F.col("of")).select("text_key", *columns)
 
 
+def _narrow(sketches: DataFrame, *columns: str) -> DataFrame:
+    """(text_key, ``columns``) once for each text, for columns that are short and the same for all copies: these are dropped in the scan, nothing is broadcast."""
+    return sketches.select("text_key", *columns).dropDuplicates(["text_key"])
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     """(text_key): every text of the pairs once."""
     return pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct()
@@ -406,9 +396,9 @@ def _may_be_alike(similar: float, slack: float | None) -> Column:
     return sizes & ((halved("n_a") != halved("n_b")) | (apart <= limit))
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similar: float = SIMILAR, few: bool = False) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets of shingle hashes have a Jaccard similarity of ``similar`` or more."""
-    whole = _with_both(pairs, _of_texts(sketches, texts.join(_ends(pairs), "text_key"), "hashes"), ["hashes"])
+    whole = _with_both(pairs, _of_texts(sketches, texts.join(_ends(pairs), "text_key"), "hashes", few=few), ["hashes"])
     common = F.size(F.array_intersect("hashes_a", "hashes_b"))
     union = F.size("hashes_a") + F.size("hashes_b") - common
     return whole.where((union == 0) | (common >= union * similar - 1e-9)).select("a", "b")
@@ -416,21 +406,22 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similar: f
 
 def _classes(links: DataFrame) -> DataFrame:
     """(text_key, root) of the texts that have a link."""
-    return keep(connected_components(links).select(F.col("node").alias("text_key"), "root"))
+    return connected_components(links).select(F.col("node").alias("text_key"), "root")
 
 
-def connecting(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similar: float = SIMILAR, slack: float | None = SLACK) -> DataFrame:
+def connecting(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similar: float = SIMILAR, slack: float | None = SLACK, few: bool = False) -> DataFrame:
     """Links among ``pairs`` (a, b), all verified on whole sets, that connect what all of those pairs that are alike would connect.
 
     Sketches drop most pairs that aren't. Of the others each text's closest is verified first, and after that
     only pairs whose ends aren't linked to the same text yet, so sets are moved about once for each text.
     """
-    near = _with_both(pairs, _of_texts(sketches, texts, "n", "odd"), ["n", "odd"], spread=True)
+    near = _with_both(pairs, _narrow(sketches, "n", "odd"), ["n", "odd"], spread=True)
     apart = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     first = keep(near.where(_may_be_alike(similar, slack)).select("a", "b", apart.alias("apart")))
     ends = first.union(first.select("b", "a", "apart")).groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
     closest = keep(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = keep(verified(closest, sketches, texts, similar))
+    found = keep(verified(closest, sketches, texts, similar, few))
+    release(sketches.sparkSession)
     # the smallest text that a text is linked to stands for its class; pairs with the same one are connected
     both = found.union(found.select("b", "a"))
     labels = keep(both.groupBy(F.col("a").alias("text_key")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
@@ -438,13 +429,13 @@ def connecting(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similar:
     for end in "ab":
         rest = rest.join(labels.select(F.col("text_key").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
     rest = keep(rest.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"))
-    return found if rest.isEmpty() else found.union(verified(rest, sketches, texts, similar))
+    return found if rest.isEmpty() else found.union(verified(rest, sketches, texts, similar, few))
 
 
-def _common_hashes(sketches: DataFrame, texts: DataFrame) -> list[int]:
-    """Hashes that are in many texts of a sample by text key, the rarest first: no more than ``COMMON``, whatever the corpus."""
-    sample = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(max(1, texts.count() // SAMPLE))) == 0)
-    hashes = _of_texts(sketches, sample, "hashes").select(F.explode("hashes").alias("h"))
+def _common_hashes(sketches: DataFrame, texts: DataFrame, number: int) -> list[int]:
+    """Hashes that are in many of a sample by text key of the ``number`` texts, the rarest first: no more than ``COMMON``, whatever the corpus."""
+    sample = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(max(1, number // SAMPLE))) == 0)
+    hashes = _of_texts(sketches, sample, "hashes", few=number <= BROADCAST_NUMBERS).select(F.explode("hashes").alias("h"))
     top = hashes.groupBy("h").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(COMMON)
     return [r["h"] for r in sorted(top.collect(), key=lambda r: (r["count"], r["h"]))]
 
@@ -480,12 +471,12 @@ def _prefixes(common: list[int], similar: float):
     return run
 
 
-def _shared_prefixes(sketches: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+def _shared_prefixes(sketches: DataFrame, texts: DataFrame, number: int, similar: float) -> DataFrame:
     """(k, text_key, n, at, rep): prefix hashes that two texts or more have; the number of the text's hashes, the place of this one, and the (text_key, n, at) of the smallest text that has it.
 
     One shuffle by hash; a hash of one text alone goes in its task and is never stored.
     """
-    dealt = sketches.select("text_key", "n", "hashes").mapInArrow(_prefixes(_common_hashes(sketches, texts), similar), "k int, text_key bigint, n int, at int").repartition("k")
+    dealt = sketches.select("text_key", "n", "hashes").mapInArrow(_prefixes(_common_hashes(sketches, texts, number), similar), "k int, text_key bigint, n int, at int").repartition("k")
     ends = dealt.groupBy("k").agg(F.min(F.struct("text_key", "n", "at")).alias("rep"), F.max("text_key").alias("last"))
     several = ends.where("rep.text_key <> last").drop("last")
     return stored(dealt.join(several.hint("merge"), "k").dropDuplicates(["k", "text_key"]), "prefixes")
@@ -574,7 +565,7 @@ def _meeting(similar: float, slack: float | None):
     return run
 
 
-def _met(targets: DataFrame, classes: DataFrame, sketches: DataFrame, texts: DataFrame, similar: float, slack: float | None, meet: int) -> DataFrame:
+def _met(targets: DataFrame, classes: DataFrame, sketches: DataFrame, texts: DataFrame, similar: float, slack: float | None, meet: int, few: bool) -> DataFrame:
     """Links of texts to classes, of ``targets`` (text_key, root): each text meets all texts of the class (text_key, root) on whole sets, ``meet`` by ``meet``. No more than one link for each meeting leaves the task."""
     number = classes.join(targets.select("root").distinct(), "root").groupBy("root").agg(F.ceil(F.count("*") / meet).cast("int").alias("chunks"))
     shapes = targets.groupBy("root").agg(F.ceil(F.count("*") / meet).cast("int").alias("blocks")).join(number, "root")
@@ -584,7 +575,7 @@ def _met(targets: DataFrame, classes: DataFrame, sketches: DataFrame, texts: Dat
     come = targets.join(shapes, "root").select("text_key", "root", block("blocks").alias("block"), every("chunks").alias("chunk"))
     stay = classes.join(shapes, "root").select("text_key", "root", every("blocks").alias("block"), block("chunks").alias("chunk"))
     both = targets.select("text_key").union(stay.select("text_key")).distinct()
-    sets = keep(_of_texts(sketches, texts.join(both, "text_key"), "n", "odd", "hashes"))
+    sets = keep(_of_texts(sketches, texts.join(both, "text_key"), "n", "odd", "hashes", few=few))
     on = ["root", "block", "chunk"]
     # names of its own for each side, so that the two sides of the meeting are told apart
     left, right = (side.join(sets, "text_key").select(*[F.col(c).alias(c) for c in (*on, "text_key", "n", "odd", "hashes")]) for side in (come, stay))
@@ -620,12 +611,16 @@ def near_duplicate_links(
     """
     sketches = _sketches(docs, size) if sketches is None else sketches
     texts = keep(sketches.groupBy("text_key").agg(F.min("row").alias("row")))
-    shared = _shared_prefixes(sketches, texts, similar)
+    number = texts.count()
+    few = number <= BROADCAST_NUMBERS
+    shared = _shared_prefixes(sketches, texts, number, similar)
+    release(docs.sparkSession)
     stars = shared.where(_can_be_alike(F.col("n"), F.col("at"), F.col("rep.n"), F.col("rep.at"), similar)).select(F.col("rep.text_key").alias("a"), F.col("text_key").alias("b"))
     proposals = _simhash_proposals(rows).union(stars).where("a <> b")
     proposals = keep(proposals.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = keep(connecting(proposals, sketches, texts, similar, slack))
+    found = keep(connecting(proposals, sketches, texts, similar, slack, few))
     roots = _classes(found)
+    release(docs.sparkSession)
     classed = shared.drop("rep").join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
     each = classed.groupBy("k", "root").agg(F.count("*").alias("texts"), F.min("n").alias("low"), F.max("n").alias("high"), F.min(F.struct("text_key", "at")).alias("one"))
     # under a hash that only one class has there is nothing to compare
@@ -634,12 +629,12 @@ def near_duplicate_links(
     open_rows = keep(each.join(mixed, "k").select("k", "root", (F.col("texts") > 1).alias("several"), "low", "high", "one.text_key", "one.at"))
     # only texts that stand alone for their class are told apart by sketches
     alone = open_rows.where("NOT several")
-    odd = _of_texts(sketches, texts.join(alone.select("text_key").distinct(), "text_key"), "odd")
     none = F.array_repeat(F.lit(0).cast("bigint"), SKETCH)
-    marked = _dealt(alone.join(odd, "text_key").unionByName(open_rows.where("several").withColumn("odd", none)), "root", block)
+    marked = _dealt(alone.join(_narrow(sketches, "odd"), "text_key").unionByName(open_rows.where("several").withColumn("odd", none)), "root", block)
     rest = keep(marked.mapInArrow(_across(similar, slack), "a bigint, b bigint, kind bigint").distinct())
+    release(docs.sparkSession)
     pairs = rest.where("kind = 0").select("a", "b").join(proposals, ["a", "b"], "left_anti")
-    found = found.union(verified(keep(pairs), sketches, texts, similar))
+    found = found.union(verified(keep(pairs), sketches, texts, similar, few))
     of_classes = rest.where("kind = 2").select("a", "b")
     targets = rest.where("kind = 1").select(F.col("a").alias("text_key"), F.col("b").alias("root"))
     sizes = roots.groupBy("root").agg(F.count("*").alias("texts"))
@@ -650,7 +645,7 @@ def near_duplicate_links(
     targets = keep(targets.distinct())
     if targets.isEmpty():
         return found
-    return found.union(_met(targets, roots, sketches, texts, similar, slack, meet))
+    return found.union(_met(targets, roots, sketches, texts, similar, slack, meet, few))
 
 
 def near_deduplicate(docs: DataFrame, similar: float = SIMILAR, size: int = VERIFY_SHINGLE) -> DataFrame:
@@ -665,6 +660,7 @@ def near_deduplicate(docs: DataFrame, similar: float = SIMILAR, size: int = VERI
     rows = keep(sketches.groupBy("doc_id", "text_key", "f0").agg(F.count("*").alias("times")))
     texts = rows.groupBy("text_key", "f0").agg(F.min("doc_id").alias("doc_id"))
     roots = connected_components(near_duplicate_links(docs, texts, similar, size, sketches=sketches)).select(F.col("node").alias("text_key"), "root")
+    release(docs.sparkSession)
     grouped = rows.select("doc_id", "text_key", "times").join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
     first = grouped.groupBy("root").agg(F.min(order).alias("first"), F.sum("times").alias("members")).where("members > 1")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from corpusmill.llm import decontaminate, pii, secrets, simhash, slots, toxicity, url_trust, weak_labels
 from corpusmill.llm.common import quoted
+from corpusmill.llm.components import connected_components
 
 CLASHING = ["measured", "failures", "_doc", "_text_key", "_id", "_key", "_own_text_key", "_hit_key", "own", "row", "key", "text_key", "doc", "a.b", "spans", "found", "clean", "body", "run", "root", "n", "marked"]
 
@@ -99,6 +100,36 @@ def test_classes_meet_outside_texts(spark):
     assert all((max(ids[r.a], ids[r.b]), min(ids[r.a], ids[r.b])) in set(alike) for r in small.collect())
 
 
+def _jobs(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    made = work()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return made, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_components_take_few_jobs(spark):
+    pick = random.Random(4)
+    links = [(pick.randrange(-5000, 5000), pick.randrange(-5000, 5000)) for _ in range(3000)]
+    links += [(i, i + 1) for i in range(20_000, 20_300)] + [(-9_000, n) for n in range(30_000, 31_000)]  # a chain and a star
+    pick.shuffle(links)
+    root = {n: n for link in links for n in link if link[0] != link[1]}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    frame = spark.createDataFrame(links, "a bigint, b bigint").repartition(20)
+    for at_once in (3, 200_000):
+        got, jobs = _jobs(spark, f"components {at_once}", lambda n=at_once: {r.node: r.root for r in connected_components(frame, n).collect()})
+        assert set(got) == set(root) and len({(got[n], find(n)) for n in root}) == len({find(n) for n in root}) == len(set(got.values()))
+    assert jobs <= 20  # with links in rounds of nine shuffles: over 40
+
+
 def test_weak_labels_train_on_different_rows(spark, monkeypatch):
     seen = []
     real = weak_labels.train
