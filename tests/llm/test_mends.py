@@ -127,7 +127,7 @@ def test_components_take_few_jobs(spark):
     for at_once in (3, 200_000):
         got, jobs = _jobs(spark, f"components {at_once}", lambda n=at_once: {r.node: r.root for r in connected_components(frame, n).collect()})
         assert set(got) == set(root) and len({(got[n], find(n)) for n in root}) == len({find(n) for n in root}) == len(set(got.values()))
-    assert jobs <= 20  # with links in rounds of nine shuffles: over 40
+    assert jobs <= 20  # one shuffle a round
 
 
 def test_weak_labels_train_on_different_rows(spark, monkeypatch):
