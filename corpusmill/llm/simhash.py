@@ -46,6 +46,8 @@ SKETCH, HELD = 8, 256
 SLACK = 6.0
 #: Texts of one class that meet texts of others in one group.
 MEET = 1024
+#: What tells one meeting from another.
+MEETING = ("root", "block", "chunk")
 #: Row numbers that may be broadcast, a long each.
 BROADCAST_NUMBERS = 500_000
 #: Texts of the sample that says which hashes are common, in how many of them a common one is, and the bound of their number.
@@ -312,6 +314,21 @@ def odd_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(hashes: np.ndarray) -> np.ndarray:
+    """An odd sketch of the whole set, on two places or more for each of its hashes: a power of two of longs, so that the longer of two folds to the other's places."""
+    places = 64 << max(0, (2 * len(hashes) - 1) // 64).bit_length()
+    spread = (hashes.view(np.uint32).astype(np.uint64) + np.uint64(1)) * MIX
+    odd = np.bincount(((spread >> np.uint64(32)) & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def wide_apart(one: np.ndarray, other: np.ndarray) -> int:
+    """The bits in which two wide sketches differ, on the places of the shorter one: never more than their sets in hashes."""
+    longs = min(len(one), len(other))
+    one, other = (np.bitwise_xor.reduce(x.reshape(-1, longs), axis=0) for x in (one, other))
+    return int(np.bitwise_count((one ^ other).view(np.uint64)).sum())
+
+
 def _most_apart(n, m, similar: float, slack: float | None = SLACK):
     """The bits in which sketches of sets of ``n`` and ``m`` hashes, alike by ``similar``, may differ; for numbers, or arrays of them."""
     apart = (n + m) * (1 - similar) / (1 + similar) + 1e-6
@@ -396,8 +413,37 @@ def _may_be_alike(similar: float, slack: float | None) -> Column:
     return sizes & ((halved("n_a") != halved("n_b")) | (apart <= limit))
 
 
+def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(2)
+        made = [wide_sketch(np.array(lists[i].values)) for i in range(batch.num_rows)]
+        ends = np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int32)
+        wide = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*made, np.empty(0, np.int64)])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), wide], names=["text_key", "n", "wide"])
+
+
+def _not_told_apart(similar: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            ones, others = batch.column("wide_a"), batch.column("wide_b")
+            apart = np.array([wide_apart(np.array(ones[i].values), np.array(others[i].values)) for i in range(batch.num_rows)], np.int64)
+            near = (np.minimum(n, m) >= similar * np.maximum(n, m) - 1e-9) & (apart <= (n + m) * (1 - similar) / (1 + similar) + 1e-6)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return run
+
+
+def likely(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similar: float = SIMILAR, few: bool = False) -> DataFrame:
+    """Those of ``pairs`` (a, b) that wide sketches, made in the scan of the sets, don't tell apart: all that are alike, whatever the size of the sets, and few that are not."""
+    sets = _of_texts(sketches, texts.join(_ends(pairs), "text_key"), "n", "hashes", few=few)
+    wide = sets.mapInArrow(_widened, "text_key bigint, n int, wide array<bigint>")
+    return _with_both(pairs, wide, ["n", "wide"]).mapInArrow(_not_told_apart(similar), "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similar: float = SIMILAR, few: bool = False) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets of shingle hashes have a Jaccard similarity of ``similar`` or more."""
+    """Those of ``pairs`` (a, b) whose whole sets of shingle hashes have a Jaccard similarity of ``similar`` or more; sets only move for pairs that are ``likely``."""
+    pairs = keep(likely(pairs, sketches, texts, similar, few))
     whole = _with_both(pairs, _of_texts(sketches, texts.join(_ends(pairs), "text_key"), "hashes", few=few), ["hashes"])
     common = F.size(F.array_intersect("hashes_a", "hashes_b"))
     union = F.size("hashes_a") + F.size("hashes_b") - common
@@ -541,32 +587,61 @@ def _across(similar: float, slack: float | None):
     return run
 
 
+def _near_members(texts: pa.Table, members: pa.Table, similar: float, slack: float | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, members, bits apart) for each text: the rows of the members whose sizes and sketches allow the similarity."""
+    sizes = members.column("n").to_numpy()
+    theirs = np.array(members.column("odd").combine_chunks().flatten()).reshape(-1, SKETCH).view(np.uint64)
+    halved = np.array([share_of(n) for n in sizes.tolist()])
+    for row, (n, odd) in enumerate(zip(texts.column("n").to_pylist(), texts.column("odd"), strict=True)):
+        apart = np.bitwise_count(theirs ^ np.array(odd.values).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        limit = np.where(halved == share_of(n), _most_apart(sizes, n, similar, slack), np.inf)
+        near = np.flatnonzero((np.minimum(sizes, n) >= similar * np.maximum(sizes, n) - 1e-9) & (apart <= limit))
+        yield row, near, apart[near]
+
+
+def _worth_meeting(similar: float, slack: float | None):
+    """The texts of a meeting that may be alike to one of its members, and those members, by sketches: one row for each."""
+
+    def run(key: tuple, texts: pa.Table, members: pa.Table) -> pa.Table:
+        come, stay = np.zeros(texts.num_rows, bool), np.zeros(members.num_rows, bool)
+        if texts.num_rows and members.num_rows:
+            for row, near, _ in _near_members(texts, members, similar, slack):
+                come[row] = len(near) > 0
+                stay[near] = True
+        columns = ["text_key", *MEETING]
+        sides = [side.select(columns).filter(pa.array(taken)).append_column("comes", pa.array([comes] * int(taken.sum()), pa.bool_())) for side, taken, comes in ((texts, come, True), (members, stay, False))]
+        return pa.concat_tables(sides)
+
+    return run
+
+
 def _meeting(similar: float, slack: float | None):
     """Of each text of the one side the first link to a text of the other."""
 
     def run(key: tuple, texts: pa.Table, members: pa.Table) -> pa.Table:
         found = []
-        sizes = members.column("n").to_numpy()
-        theirs = np.array(members.column("odd").combine_chunks().flatten()).reshape(-1, SKETCH).view(np.uint64)
-        lists = members.column("hashes").combine_chunks()
-        halved = np.array([share_of(n) for n in sizes.tolist()])
-        for text, n, odd, own in zip(texts.column("text_key").to_pylist(), texts.column("n").to_pylist(), texts.column("odd"), texts.column("hashes"), strict=True):
-            apart = np.bitwise_count(theirs ^ np.array(odd.values).view(np.uint64)).sum(axis=1, dtype=np.int64)
-            limit = np.where(halved == share_of(n), _most_apart(sizes, n, similar, slack), np.inf)
-            near = (np.minimum(sizes, n) >= similar * np.maximum(sizes, n) - 1e-9) & (apart <= limit)
-            mine = np.array(own.values)
-            for i in sorted(np.flatnonzero(near), key=lambda i: apart[i]):
-                common = len(np.intersect1d(mine, np.array(lists[i].values), assume_unique=True))
-                if common >= similar * (n + sizes[i] - common) - 1e-9:
-                    found.append((text, members.column("text_key")[i].as_py()))
-                    break
+        if texts.num_rows and members.num_rows:
+            lists, keys = members.column("hashes").combine_chunks(), members.column("text_key").to_pylist()
+            sizes = members.column("n").to_pylist()
+            own = texts.select(["text_key", "n", "hashes"]).combine_chunks().to_batches()[0]
+            for row, near, apart in _near_members(texts, members, similar, slack):
+                text, n, mine = own.column(0)[row].as_py(), own.column(1)[row].as_py(), np.array(own.column(2)[row].values)
+                for i in near[np.argsort(apart, kind="stable")].tolist():
+                    common = len(np.intersect1d(mine, np.array(lists[i].values), assume_unique=True))
+                    if common >= similar * (n + sizes[i] - common) - 1e-9:
+                        found.append((text, keys[i]))
+                        break
         return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
 
     return run
 
 
 def _met(targets: DataFrame, classes: DataFrame, sketches: DataFrame, texts: DataFrame, similar: float, slack: float | None, meet: int, few: bool) -> DataFrame:
-    """Links of texts to classes, of ``targets`` (text_key, root): each text meets all texts of the class (text_key, root) on whole sets, ``meet`` by ``meet``. No more than one link for each meeting leaves the task."""
+    """Links of texts to classes, of ``targets`` (text_key, root): each text meets all texts of the class (text_key, root), ``meet`` by ``meet``. No more than one link for each meeting leaves the task.
+
+    They meet by their sketches first. Whole sets, which are many times as long, only move for the
+    texts and the members that sketches leave in a meeting.
+    """
     number = classes.join(targets.select("root").distinct(), "root").groupBy("root").agg(F.ceil(F.count("*") / meet).cast("int").alias("chunks"))
     shapes = targets.groupBy("root").agg(F.ceil(F.count("*") / meet).cast("int").alias("blocks")).join(number, "root")
     shapes = keep(shapes)
@@ -574,12 +649,17 @@ def _met(targets: DataFrame, classes: DataFrame, sketches: DataFrame, texts: Dat
     every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
     come = targets.join(shapes, "root").select("text_key", "root", block("blocks").alias("block"), every("chunks").alias("chunk"))
     stay = classes.join(shapes, "root").select("text_key", "root", every("blocks").alias("block"), block("chunks").alias("chunk"))
-    both = targets.select("text_key").union(stay.select("text_key")).distinct()
-    sets = keep(_of_texts(sketches, texts.join(both, "text_key"), "n", "odd", "hashes", few=few))
-    on = ["root", "block", "chunk"]
-    # names of its own for each side, so that the two sides of the meeting are told apart
-    left, right = (side.join(sets, "text_key").select(*[F.col(c).alias(c) for c in (*on, "text_key", "n", "odd", "hashes")]) for side in (come, stay))
-    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(_meeting(similar, slack), "a bigint, b bigint")
+
+    def together(come: DataFrame, stay: DataFrame, sets: DataFrame):
+        # names of its own for each side, so that the two sides of the meeting are told apart
+        left, right = (side.join(sets, "text_key").select(*[F.col(c).alias(c) for c in (*MEETING, *sets.columns)]) for side in (come, stay))
+        return left.groupBy(*MEETING).cogroup(right.groupBy(*MEETING))
+
+    worth = together(come, stay, _narrow(sketches, "n", "odd")).applyInArrow(_worth_meeting(similar, slack), "text_key bigint, root bigint, block int, chunk int, comes boolean")
+    worth = keep(worth)
+    release(sketches.sparkSession)
+    sets = _of_texts(sketches, texts.join(worth.select("text_key").distinct(), "text_key"), "n", "odd", "hashes", few=few)
+    return together(worth.where("comes"), worth.where("NOT comes"), sets).applyInArrow(_meeting(similar, slack), "a bigint, b bigint")
 
 
 def _simhash_proposals(rows: DataFrame) -> DataFrame:
@@ -627,6 +707,7 @@ def near_duplicate_links(
     each = stored(each, "classes")
     mixed = each.groupBy("k").agg(F.count("*").alias("roots")).where("roots > 1").select("k")
     open_rows = keep(each.join(mixed, "k").select("k", "root", (F.col("texts") > 1).alias("several"), "low", "high", "one.text_key", "one.at"))
+    release(docs.sparkSession)
     # only texts that stand alone for their class are told apart by sketches
     alone = open_rows.where("NOT several")
     none = F.array_repeat(F.lit(0).cast("bigint"), SKETCH)
@@ -634,7 +715,9 @@ def near_duplicate_links(
     rest = keep(marked.mapInArrow(_across(similar, slack), "a bigint, b bigint, kind bigint").distinct())
     release(docs.sparkSession)
     pairs = rest.where("kind = 0").select("a", "b").join(proposals, ["a", "b"], "left_anti")
-    found = found.union(verified(keep(pairs), sketches, texts, similar, few))
+    # sets that were moved go before others come
+    found = found.union(keep(verified(keep(pairs), sketches, texts, similar, few)))
+    release(docs.sparkSession)
     of_classes = rest.where("kind = 2").select("a", "b")
     targets = rest.where("kind = 1").select(F.col("a").alias("text_key"), F.col("b").alias("root"))
     sizes = roots.groupBy("root").agg(F.count("*").alias("texts"))
@@ -645,7 +728,9 @@ def near_duplicate_links(
     targets = keep(targets.distinct())
     if targets.isEmpty():
         return found
-    return found.union(_met(targets, roots, sketches, texts, similar, slack, meet, few))
+    found = found.union(keep(_met(targets, roots, sketches, texts, similar, slack, meet, few)))
+    release(docs.sparkSession)
+    return found
 
 
 def near_deduplicate(docs: DataFrame, similar: float = SIMILAR, size: int = VERIFY_SHINGLE) -> DataFrame:

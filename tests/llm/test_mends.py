@@ -77,6 +77,61 @@ def test_odd_sketches_never_differ_more_than_sets():
             assert apart <= len(np.setxor1d(base, other))
 
 
+def test_wide_sketches_never_differ_more_than_sets():
+    pick = np.random.default_rng(5)
+    some = lambda n: np.unique(pick.integers(-(2**31), 2**31, n).astype(np.int32))
+    for n in (0, 1, 32, 33, 300, 5000):
+        base = some(n)
+        for kept, added in ((1.0, 0), (0.9, 0.1), (0.8, 0), (0.5, 0.5), (1.0, 0.25), (1.0, 2.0), (0.0, 0.0)):
+            other = np.unique(np.concatenate([base[: int(len(base) * kept)], some(int(n * added))]))
+            one, two = simhash.wide_sketch(base), simhash.wide_sketch(other)
+            assert 32 * len(one) >= len(base) and simhash.wide_apart(one, two) == simhash.wide_apart(two, one) <= len(np.setxor1d(base, other))
+
+
+def test_sets_of_pairs_that_are_not_alike_stay_in_place(spark, monkeypatch):
+    pick = random.Random(6)
+    fresh = lambda n: [f"u{pick.randrange(10**9)}" for _ in range(n)]
+    base = fresh(1000)
+    texts = [base, *(base[: 840 + i] + fresh(160 - i) for i in range(12)), base[:960] + fresh(40), base + fresh(150)]  # of similarity 0.72 to 0.75, 0.92 and 0.87
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    sketches = simhash._sketches(frame, 5)
+    keys = {r.doc_id: r.text_key for r in sketches.select("doc_id", "text_key").collect()}
+    pairs = spark.createDataFrame([(keys[0], keys[i]) for i in range(1, len(texts))], "a bigint, b bigint")
+    moved, real = [], simhash._with_both
+
+    def noted(pairs, sets, columns, *a, **b):
+        moved.extend(pairs.collect() if "hashes" in columns else [])
+        return real(pairs, sets, columns, *a, **b)
+
+    monkeypatch.setattr(simhash, "_with_both", noted)
+    found = simhash.verified(pairs, sketches, sketches.select("text_key", "row"))
+    assert {r.b for r in found.collect()} == {r.b for r in moved} == {keys[13], keys[14]}
+
+
+def test_sets_of_classes_that_sketches_tell_apart_stay_in_place(spark, monkeypatch):
+    pick = random.Random(8)
+    fresh = lambda n: [f"u{pick.randrange(10**9)}" for _ in range(n)]
+    base = fresh(200)
+    texts = [base[:i] + fresh(200 - i) for i in range(185, 200)]  # a class
+    texts += [base[:100] + fresh(100) for _ in range(10)] + [base[:180] + fresh(15)]  # outside of it, but for the last
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    sketches = simhash._sketches(frame, 5)
+    keys = {r.doc_id: r.text_key for r in sketches.select("doc_id", "text_key").collect()}
+    root = keys[0]
+    classes = spark.createDataFrame([(keys[i], root) for i in range(15)], "text_key bigint, root bigint")
+    targets = spark.createDataFrame([(keys[i], root) for i in range(15, 26)], "text_key bigint, root bigint")
+    moved, real = [], simhash._of_texts
+
+    def noted(sketches, texts, *columns, **b):
+        moved.extend(texts.select("text_key").collect() if "hashes" in columns else [])
+        return real(sketches, texts, *columns, **b)
+
+    monkeypatch.setattr(simhash, "_of_texts", noted)
+    links = simhash._met(targets, classes, sketches, sketches.select("text_key", "row"), 0.8, simhash.SLACK, 4, True).collect()
+    assert links and all(keys[25] in (r.a, r.b) for r in links)
+    assert not {r.text_key for r in moved} & {keys[i] for i in range(15, 25)}
+
+
 def test_classes_meet_outside_texts(spark):
     pick = random.Random(3)
     fresh = lambda n: [f"u{pick.randrange(10**9)}" for _ in range(n)]
