@@ -496,23 +496,31 @@ def _prefixes(common: list[int], similar: float):
     by_value = np.argsort(values)
     ordered = values[by_value]
 
+    def taken(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, numbers = (batch.column(i).to_numpy() for i in (0, 1))
+        hashes = batch.column(2).flatten().to_numpy()
+        row = np.repeat(np.arange(len(numbers)), numbers)
+        rank = np.zeros(len(hashes), dtype=np.int64)
+        if len(ordered):
+            at = np.minimum(np.searchsorted(ordered, hashes), len(ordered) - 1)
+            rank = np.where(ordered[at] == hashes, by_value[at] + 1, 0)
+        order = np.lexsort((hashes, rank, row))
+        place = np.arange(len(hashes)) - np.repeat(np.cumsum(numbers) - numbers, numbers)
+        prefix = numbers - np.ceil(similar * numbers - 1e-9).astype(np.int64) + 1
+        first = place < prefix[row]
+        row, place, hashes = row[first], place[first], hashes[order][first]
+        return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(keys[row]), pa.array(numbers[row].astype(np.int32)), pa.array(place.astype(np.int32))], names=["k", "text_key", "n", "at"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # copies in a batch have the same rows
             batch = batch.take(pa.array(np.unique(batch.column(0).to_numpy(), return_index=True)[1]))
-            keys, numbers = (batch.column(i).to_numpy() for i in (0, 1))
-            hashes = batch.column(2).flatten().to_numpy()
-            row = np.repeat(np.arange(len(numbers)), numbers)
-            rank = np.zeros(len(hashes), dtype=np.int64)
-            if len(ordered):
-                at = np.minimum(np.searchsorted(ordered, hashes), len(ordered) - 1)
-                rank = np.where(ordered[at] == hashes, by_value[at] + 1, 0)
-            order = np.lexsort((hashes, rank, row))
-            place = np.arange(len(hashes)) - np.repeat(np.cumsum(numbers) - numbers, numbers)
-            prefix = numbers - np.ceil(similar * numbers - 1e-9).astype(np.int64) + 1
-            taken = place < prefix[row]
-            row, place, hashes = row[taken], place[taken], hashes[order][taken]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(keys[row]), pa.array(numbers[row].astype(np.int32)), pa.array(place.astype(np.int32))], names=["k", "text_key", "n", "at"])
+            ends = np.cumsum(batch.column(1).to_numpy(), dtype=np.int64)
+            start = 0
+            while start < batch.num_rows:  # the order of a batch's hashes is never made at once
+                end = max(start + 1, int(np.searchsorted(ends, AT_ONCE + (ends[start - 1] if start else 0), side="right")))
+                yield taken(batch.slice(start, end - start))
+                start = end
 
     return run
 
