@@ -514,12 +514,12 @@ def _prefixes(common: list[int], similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # copies in a batch have the same rows
-            batch = batch.take(pa.array(np.unique(batch.column(0).to_numpy(), return_index=True)[1]))
-            ends = np.cumsum(batch.column(1).to_numpy(), dtype=np.int64)
+            own = np.unique(batch.column(0).to_numpy(), return_index=True)[1]
+            ends = np.cumsum(batch.column(1).to_numpy()[own], dtype=np.int64)
             start = 0
-            while start < batch.num_rows:  # the order of a batch's hashes is never made at once
+            while start < len(own):  # a batch's hashes are neither copied nor ordered all at once
                 end = max(start + 1, int(np.searchsorted(ends, AT_ONCE + (ends[start - 1] if start else 0), side="right")))
-                yield taken(batch.slice(start, end - start))
+                yield taken(batch.take(pa.array(own[start:end])))
                 start = end
 
     return run
