@@ -5,8 +5,11 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.operators import dense
+from corpusmill.plans import inputs, retrieval  # noqa: F401
+from corpusmill.plans.registry import QUERIES
 
 
 def made_batch(rng, n_vectors=900, n_queries=140, width=6):
@@ -106,3 +109,14 @@ def test_a_batch_beyond_the_bound_copies_few_rows(spark, monkeypatch):
     found = dense.nearest(frame("query_id"), frame("vec_id"), ["vec_id"], 1, query_block=60)  # 50 batches
     assert found.where("query_id <> vec_id").count() == 0 and found.count() == 3000
     assert [s.count() <= 4 * 3000 for s in sides] == [True, True]
+
+
+def test_cells_are_made_once_for_a_query(spark, monkeypatch, tmp_path):
+    for name in ("embeddings", "documents", "labels", "customer"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").where("true").write.parquet(str(tmp_path / f"{name}.parquet"))
+    calls = []
+    build = inputs.build_cells
+    monkeypatch.setattr(inputs, "build_cells", lambda *a: (calls.append(1), build(*a))[1])
+    assert QUERIES["R3_dense_probed"](spark, str(tmp_path)).agg(F.count("*").alias("n")).first().n > 0
+    QUERIES["R3_dense_cells"](spark, str(tmp_path))
+    assert len(calls) == 1
