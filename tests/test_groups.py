@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import dense
+from corpusmill.operators import cells, dense
 from corpusmill.plans import inputs, retrieval  # noqa: F401
 from corpusmill.plans.registry import QUERIES
 
@@ -111,6 +111,21 @@ def test_a_batch_beyond_the_bound_copies_few_rows(spark, monkeypatch):
     assert [s.count() <= 4 * 3000 for s in sides] == [True, True]
 
 
+def test_probed_cells_are_the_nearest_allowed_ones():
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(40, 3))
+    centers[20:30] = centers[7]  # equally far from everything
+    table = pd.DataFrame({"cell": range(40), "center": list(centers), "radius": rng.random(40), "rows": 1})
+    queries = rng.normal(size=(200, 3))
+    apart = cells._apart(queries, centers)
+    allowed = cells._probed(table, "l2", 1.5, None)(queries)
+    for probes in (1, 5, 25, 39):
+        nearest = np.argsort(np.where(allowed, apart, np.inf), axis=1, kind="stable")[:, :probes]
+        want = np.zeros_like(allowed)
+        np.put_along_axis(want, nearest, True, axis=1)
+        assert (cells._probed(table, "l2", 1.5, probes)(queries) == (want & allowed)).all()
+
+
 def test_cells_are_made_once_for_a_query(spark, monkeypatch, tmp_path):
     for name in ("embeddings", "documents", "labels", "customer"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").where("true").write.parquet(str(tmp_path / f"{name}.parquet"))
