@@ -68,8 +68,10 @@ def _paged_chunks(i: Inputs):
     """Chunks with a copy of each, some with a page and some without."""
     chunks = i.chunks().select("doc_id", "chunk_index", "text")
     page = F.when(F.col("chunk_index") % 3 == 0, 0).when(F.col("chunk_index") % 3 == 1, 1 + F.col("chunk_index"))
-    copy = chunks.select("doc_id", (F.col("chunk_index") + 100_000).alias("chunk_index"), F.concat(F.lit(" "), "text").alias("text"))
-    return chunks.withColumn("page", page).unionByName(copy.withColumn("page", F.lit(9)))
+    own = F.struct(F.col("chunk_index"), F.col("text"), page.cast("int").alias("page"))
+    copy = F.struct((F.col("chunk_index") + 100_000).alias("chunk_index"), F.concat(F.lit(" "), "text").alias("text"), F.lit(9).alias("page"))
+    # One row after the other, so that what is alike lies together where it is written or counted.
+    return chunks.select("doc_id", F.inline(F.array(own, copy)))
 
 
 @query(
@@ -95,7 +97,7 @@ def _(i: Inputs):
 )
 def _(i: Inputs):
     """Copies are taken out of chunks, postings and vectors of a store; ``indexed`` says that a chunk is still in all of them, and nothing else is."""
-    copied = lambda rows: rows.unionByName(rows.withColumn("chunk_index", F.col("chunk_index") + 100_000))
+    copied = lambda rows: rows.withColumn("chunk_index", F.explode(F.array(F.col("chunk_index"), F.col("chunk_index") + 100_000)))
     store = VersionedIndex(i.spark, f"{shared_folder(i.spark)}/{i.spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}", buckets=8)
     store.commit({"chunks": _paged_chunks(i), "parents": i.parents(), "postings": copied(i.lexical().chunks), "vectors": copied(i.chunk_vectors())})
     drop_copies(store)

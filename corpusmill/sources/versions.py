@@ -9,6 +9,7 @@ commit removed. Term frequencies and corpus sizes are sums of the stored changes
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.llm.common import release
 from corpusmill.operators.lexical import LexicalIndex, with_idf
 from corpusmill.operators.maintenance import dedup_chunks
 from corpusmill.operators.scale import NARROW_ROWS, small_side, stage
@@ -83,21 +85,29 @@ class VersionedIndex:
     def _bucket(self, column: str) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
 
-    def commit(self, added: dict[str, DataFrame], removed: DataFrame | None = None, batch: str | None = None, fresh: bool = False) -> int:
+    def commit(
+        self, added: dict[str, DataFrame | list[DataFrame]], removed: DataFrame | None = None, batch: str | None = None, fresh: bool = False, instead: bool = False
+    ) -> int:
         """Adds rows and removes the documents ``removed`` (doc_id) of earlier versions, in one step; returns the version.
 
         A document that is removed and added is replaced. A ``batch`` that some version has already isn't
-        committed again. ``fresh`` starts from nothing, as a compaction does.
+        committed again. ``fresh`` starts from nothing, as a compaction does; ``instead`` puts the tables of ``added`` in
+        the place of what is stored of them, and leaves the others. Rows that come as several tables are written one after another.
         """
         now = self.manifest()
         if batch is not None and any(c.get("batch") == batch for c in now["commits"]):
             return now["version"]
         name = f"{now['version'] + 1:08d}-{uuid.uuid4().hex[:12]}"
         schemas = dict(now["schemas"])
+        earlier = now["commits"]
+        if instead:
+            recounted = {"counted": False} if "postings" in added else {}
+            earlier = [c | {"tables": [t for t in c["tables"] if t not in added]} | recounted for c in earlier]
         for table, rows in added.items():
-            schemas[table] = rows.schema.jsonValue()
-            placed = rows.withColumn("doc_bucket", self._bucket(self.bucket_by.get(table, "doc_id")))
-            placed.write.partitionBy("doc_bucket").parquet(f"{self.path}/{table}/commit={name}")
+            for some in rows if isinstance(rows, list) else [rows]:
+                schemas[table] = some.schema.jsonValue()
+                placed = some.withColumn("doc_bucket", self._bucket(self.bucket_by.get(table, "doc_id")))
+                placed.write.mode("append").option("compression", "zstd").partitionBy("doc_bucket").parquet(f"{self.path}/{table}/commit={name}")
         entry: dict = {"name": name, "tables": sorted(added), "removed": None, "batch": batch}
         changed = None
         if removed is not None:
@@ -117,10 +127,10 @@ class VersionedIndex:
             words = changed.select("doc_bucket", "sign", F.explode("terms.term").alias("term"))
             counts = words.groupBy("doc_bucket", "term").agg(F.sum("sign").alias("df")).where("df <> 0")
             sizes = changed.groupBy("doc_bucket").agg(F.sum("sign").alias("chunks"), F.sum(F.col("sign") * F.col("n_tokens")).alias("tokens"))
-            counts.write.parquet(f"{self.path}/_counts/commit={name}")
+            counts.write.option("compression", "zstd").parquet(f"{self.path}/_counts/commit={name}")
             sizes.write.parquet(f"{self.path}/_sizes/commit={name}")
             entry["counted"] = True
-        commits = [entry] if fresh else [*now["commits"], entry]
+        commits = [entry] if fresh else [*earlier, entry]
         self._publish({"version": now["version"] + 1, "commits": commits, "schemas": schemas})
         return now["version"] + 1
 
@@ -199,16 +209,41 @@ class VersionedIndex:
 def drop_copies(store: VersionedIndex) -> int:
     """Takes the copies of chunks inside a document (``maintenance.dedup_chunks``) out of every table that is keyed by chunk, in one version.
 
-    Only documents that have copies are written anew; what else is stored of them stays.
+    Only documents that have copies are written anew; what else is stored of them stays. Where they are most of the store,
+    the tables that are keyed by chunk are written as a whole instead, so that no reader looks for documents that were removed.
+    Tables meet one row for each document and 64 chunks, some buckets at a time, so that they aren't shuffled.
     """
+    release(store.spark)
     live = store.tables()
     chunks = live["chunks"] if "page" in live["chunks"].columns else live["chunks"].withColumn("page", F.lit(None).cast("int"))
-    kept = stage(dedup_chunks(chunks), "kept-chunks")
-    touched = stage(kept.where("copies > 1").select("doc_id").distinct(), "touched")
-    few = small_side(touched, NARROW_ROWS)
-    stays = kept.join(few, "doc_id", "left_semi").select("doc_id", "chunk_index")
-    added = {}
+    kept = stage(dedup_chunks(chunks).select("doc_id", "chunk_index", "copies"), "kept-chunks")
+    touched = stage(kept.where("copies > 1").select("doc_id").distinct().withColumn("doc_bucket", store._bucket("doc_id")), "touched")
+    stays = kept.join(small_side(touched.select("doc_id"), NARROW_ROWS), "doc_id", "left_semi")
+    block, bit = F.expr("shiftright(cast(chunk_index AS bigint), 6)"), F.expr("shiftleft(1L, cast(chunk_index & 63 AS int))")
+    bits = stays.groupBy("doc_id", block.alias("_block")).agg(F.bit_or(bit).alias("_bits")).withColumn("doc_bucket", store._bucket("doc_id"))
+    bits = stage(bits, "kept-bits")
+    whole = 2 * stays.count() > kept.count()
+    passes = min(store.buckets, max(1, math.ceil(bits.count() / (NARROW_ROWS // 2))))
+    added: dict[str, DataFrame | list[DataFrame]] = {}
     for name, table in live.items():
-        mine = table.join(few, "doc_id", "left_semi")
-        added[name] = mine.join(stays, ["doc_id", "chunk_index"], "left_semi").select(table.columns) if "chunk_index" in table.columns else mine
-    return store.commit(added, touched)
+        keyed = "chunk_index" in table.columns
+        if whole and not keyed:
+            continue
+        added[name] = []
+        shares = 1 if name in store.bucket_by else passes
+        for share in range(shares):
+            buckets = list(range(share, store.buckets, shares))
+            here = lambda rows: rows.where(F.col("doc_bucket").isin(buckets)).drop("doc_bucket")  # noqa: B023, E731
+            rows = table if shares == 1 else store.tables([name], buckets=buckets)[name]
+            mine = small_side(here(touched), NARROW_ROWS)
+            if whole:
+                rows = rows.join(mine.withColumn("_touched", F.lit(True)), "doc_id", "left")
+            else:
+                rows = rows.join(mine, "doc_id", "left_semi").withColumn("_touched", F.lit(True))
+            if keyed:
+                rows = rows.withColumn("_block", block).join(small_side(here(bits), NARROW_ROWS), ["doc_id", "_block"], "left")
+                rows = rows.where(F.col("_touched").isNull() | F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False)))
+            added[name].append(rows.select(table.columns))
+    version = store.commit(added, None if whole else touched, instead=whole)
+    release(store.spark)
+    return version

@@ -8,6 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from corpusmill.operators import chunking, lexical, models, reuse
+from corpusmill.sources import versions
 from corpusmill.sources.versions import VersionedIndex
 from corpusmill.streaming import ingest, live
 
@@ -166,3 +167,44 @@ def test_sketches_are_near_exact(spark, tmp_path):
         rank = sum(v <= got[name] for v in values) / len(values)
         assert abs(rank - q) < 0.02
     assert got.n == 1500
+
+
+@pytest.mark.parametrize("narrow", [2_000_000, 20])
+@pytest.mark.parametrize("copied", [3, 40])
+def test_copies_leave_without_a_shuffle_of_the_tables(spark, tmp_path, monkeypatch, narrow, copied):
+    """Of few or most documents, in one pass or bucket by bucket; parents stay, and counts are those of what is left."""
+    monkeypatch.setattr(versions, "NARROW_ROWS", narrow)
+    rows = [(n, c, f"alpha d{n} c{c} " + ("same" if c >= 70 else "own"), c % 3) for n in range(40) for c in [*range(n % 5), 64, 70, 100_070, 200_000]]
+    rows = [(n, c, "alpha twice" if n < copied and c in (70, 100_070) else text, page) for n, c, text, page in rows]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_index int, text string, page int")
+    postings = lexical.index_rows(chunks)
+    orphans = spark.createDataFrame([(1, 7, 1, [("orphan", 1)]), (39, 9, 1, [("orphan", 1)])], postings.schema)
+    parents = spark.createDataFrame([(n, f"p{n}") for n in range(40)], "doc_id long, parent_id string")
+    store = versions.VersionedIndex(spark, str(tmp_path / "store"), buckets=4)
+    store.commit({"chunks": chunks, "postings": postings.unionByName(orphans), "parents": parents})
+    written = []
+    commit = store.commit
+    monkeypatch.setattr(store, "commit", lambda added, *a, **b: (written.append(added), commit(added, *a, **b))[1])
+    versions.drop_copies(store)
+    gone = {(n, 100_070 if 70 % 3 else 70) for n in range(copied)}
+    want = {(n, c) for n, c, _, _ in rows} - gone
+    part = store.tables()
+    key = lambda name: [(r.doc_id, r.chunk_index) for r in part[name].select("doc_id", "chunk_index").collect()]
+    assert sorted(key("chunks")) == sorted(want)
+    # What no chunk stands behind leaves with the copies of its document only.
+    assert sorted(key("postings")) == sorted(want | ({(39, 9)} if copied == 3 else set()))
+    assert sorted(r.doc_id for r in part["parents"].collect()) == list(range(40))
+    assert sorted(map(str, store.tables(["chunks"], 1)["chunks"].collect())) == sorted(map(str, chunks.collect()))
+    left = lexical.build_lexical_index(spark.createDataFrame(part["chunks"].toPandas()))
+    found = {r.term: r.df for r in store.lexical().terms.where("term <> 'orphan'").collect()}
+    assert found == {r.term: r.df for r in left.terms.collect()}
+    assert ("parents" in written[0]) == (copied == 3)
+    if narrow > 20:
+        for table in written[0].values():
+            for some in table:
+                assert "Exchange hashpartitioning" not in some._jdf.queryExecution().executedPlan().toString()
+    elif copied == 40:
+        assert [len(t) for t in written[0].values()] == [4, 4]
+    store.purge(docs(spark, {2: ""}).select("doc_id"))
+    assert not [r for name in part for r in store.tables([name])[name].where("doc_id = 2").collect()]
+    assert store.lexical().terms.where("term = 'd2'").count() == 0
